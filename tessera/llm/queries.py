@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, decontaminate, licenses, quality, sharding
+from tessera.llm import bpe, decontaminate, jaccard, licenses, quality, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,12 +36,17 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, with_ids=False)
 
 
+def op10_partenum_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minimax_shards": op2_minimax_shards,
     "op3_suffix_decontamination": op3_suffix_decontamination,
     "op4_license_diagonals": op4_license_diagonals,
     "op5_line_quality": op5_line_quality,
     "op7_byte_bpe": op7_byte_bpe,
+    "op10_partenum_join": op10_partenum_join,
 }
 
 ORACLE_SQL: dict[str, str] = {}
