@@ -14,6 +14,7 @@ import pyarrow as pa
 
 #: Bytes of text handled at once; a longer text is handled alone.
 CHUNK_BYTES = 2 << 20
+CHUNK_ROWS = 4096
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -154,8 +155,8 @@ def sum_by(first: np.ndarray, values: np.ndarray) -> np.ndarray:
     return total[first[1:]] - total[first[:-1]]
 
 
-def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BYTES) -> Iterator[Chunk]:
-    """Cut batches into chunks of at most so many bytes of text, at least one row each."""
+def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BYTES, most_rows: int = CHUNK_ROWS) -> Iterator[Chunk]:
+    """Cut batches into chunks of at most so many rows and bytes of text, at least one row each."""
     for batch in batches:
         if batch.num_rows == 0:
             continue
@@ -164,6 +165,7 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BY
         while row < batch.num_rows:
             base = ends[row - 1] if row else 0
             stop = max(row + 1, int(np.searchsorted(ends, base + limit, side="right")))
+            stop = min(stop, row + most_rows)
             yield Chunk(batch.slice(row, stop - row), column)
             row = stop
 

@@ -8,8 +8,8 @@ first d + 1 partitions that hold something of it, d being the most shingles it
 can differ in from a set of the band.  Two such sets agree in one signature at
 least, since each shingle they differ in spoils one partition.  (This is the
 enumeration with second-level subsets of size one; of all exact forms it has
-the fewest signatures.  In bands of small sets every shingle is a partition of
-its own.  Should a set ever fill too few partitions, its band is done again
+the fewest signatures.  In bands of small sets there are 2**40 partitions,
+one for each shingle.  Should a set ever fill too few partitions, its band is done again
 that way, so that no case is lost.)
 
 Signatures travel as packed arrays, by hash bucket.  Sets that meet in a
@@ -49,7 +49,7 @@ _FLUSH, _BUCKETS, BLOCK = 2_000_000, 4, 2048
 
 
 class ShingleSets:
-    """The sets of a chunk's rows: values grouped by row, ascending in each."""
+    """The sets of a chunk's rows: values of 52 bits grouped by row, ascending in each."""
 
     def __init__(self, chunk: bk.Chunk, shingle: int):
         starts, ends, first = chunk.runs(bk.SPACED_WORD)
@@ -66,12 +66,13 @@ class ShingleSets:
                     joined = joined * _U(0xD6E8FEB86659FD93) + words[first[short] + j]
                 values.append(bk.mix(joined + _U(n)))
                 rows.append(short)
-        value, owner = np.concatenate(values), np.concatenate(rows)
-        order = np.lexsort((value, owner))
-        value, owner = value[order], owner[order]
-        new = np.ones(len(value), dtype=bool)
-        new[1:] = (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])
-        self.value, self.row = value[new], owner[new]
+        # Sorted as one number, the row above 52 bits of the hash.
+        both = np.concatenate(values) >> _U(12) | np.concatenate(rows).astype(_U) << _U(52)
+        both.sort()
+        new = np.ones(len(both), dtype=bool)
+        new[1:] = both[1:] != both[:-1]
+        both = both[new]
+        self.value, self.row = both & _U((1 << 52) - 1), (both >> _U(52)).astype(np.int64)
         self.first = np.searchsorted(self.row, np.arange(chunk.rows + 1))
         self.size = np.diff(self.first)
         total = np.concatenate([np.zeros(1, _U), np.cumsum(bk.mix(self.value ^ _U(0x5851F42D4C957F2D)))])
@@ -110,8 +111,8 @@ def signatures(sets: ShingleSets, rows: np.ndarray, percent: int, fine: frozense
             continue
         single = np.isin(band, list(fine)) | (band < _FINE_BELOW)
         spot = bk.mix(v ^ _U(0x2545F4914F6CDD1D) + band[r].astype(_U))
-        part = np.where(single[r], spot >> _U(1), spot % parts[r].astype(_U)).astype(np.int64)
-        order = np.lexsort((part, r))
+        part = np.where(single[r], spot >> _U(24), spot % parts[r].astype(_U)).astype(np.int64)
+        order = np.argsort(r << 40 | part)
         v, r, part = v[order], r[order], part[order]
         heads = np.flatnonzero(np.concatenate([[True], (r[1:] != r[:-1]) | (part[1:] != part[:-1])]))
         held = np.add.reduceat(bk.mix(v ^ _U(0x9FB21C651E98DF25)), heads)
@@ -244,99 +245,113 @@ def _folded(maps: list[bytes]) -> np.ndarray:
     return out.view(_U)
 
 
-def offers(keys: np.ndarray, sizes: np.ndarray, maps: list[bytes], yes: list[set[int]], no: list[set[int]], percent: int) -> list[tuple[int, int]]:
-    """Pairs of a group worth verifying: a spanning forest of what may link, and each node's nearest.
+def _apart(x: bytes, y: bytes) -> int:
+    """Bits in which two bitmaps, brought to one length, are apart."""
+    if len(x) != len(y):
+        short, long = sorted((x, y), key=len)
+        x, y = short, np.bitwise_xor.reduce(np.frombuffer(long, np.uint8).reshape(-1, len(short)), axis=0).tobytes()
+    return (int.from_bytes(x) ^ int.from_bytes(y)).bit_count()
 
-    yes and no hold, by node, the keys already verified.  No offer means that
-    what may still link is linked already, inside the group.
+
+def offers(keys: np.ndarray, sizes: np.ndarray, maps: list[bytes], yes: list[set[int]], no: list[set[int]], percent: int, nearest: int = 1) -> tuple[list[tuple[int, int]], list[int]]:
+    """Pairs of a group worth verifying, and the nodes that are in any pair that may link.
+
+    The pairs are a spanning forest of what may link and is not linked yet, and
+    for each node in it some nearest ones.  yes and no hold, by node, the keys
+    already verified.  No pair means that what may link is linked already.
     """
     n = len(keys)
+    if n == 2:
+        total = int(sizes.sum())
+        low, high = sorted(sizes.tolist())
+        may = low * 100 >= percent * high and _apart(*maps) <= _differ(total, percent) and int(keys[1]) not in yes[0] | no[0]
+        return ([(int(keys.min()), int(keys.max()))], keys.tolist()) if may else ([], [])
     bits = _folded(maps)
     may = np.zeros((n, n), dtype=bool)
-    nearest = np.full(n, -1)
-    place = {int(k): i for i, k in enumerate(keys)} if any(yes) or any(no) else {}
-    for i in range(n):
-        apart = np.bitwise_count(bits ^ bits[i]).sum(axis=1, dtype=np.int64)
-        total = sizes + sizes[i]
-        may[i] = (apart <= _differ(total, percent)) & (np.minimum(sizes, sizes[i]) * 100 >= percent * np.maximum(sizes, sizes[i]))
-        may[i, i] = False
-        for k in no[i]:
-            if k in place:
-                may[i, place[k]] = False
-        if may[i].any():
-            nearest[i] = int(np.argmin(np.where(may[i], apart / total, 2.0)))
-    if not may.any():
-        return []
-    known = np.zeros((n, n), dtype=bool)
-    for i in range(n):
-        for k in yes[i]:
-            if k in place:
-                known[i, place[k]] = known[place[k], i] = True
-    may |= known
-    found: set[tuple[int, int]] = set()
-    open_ = np.ones(n, dtype=bool)
-    joined_by_new = False
-    # Known links first, so that trees need few offers.
+    close = np.zeros((n, n), dtype=np.float32)
+    for i in range(n - 1):
+        apart = np.bitwise_count(bits[i + 1 :] ^ bits[i]).sum(axis=1, dtype=np.int64)
+        total = sizes[i + 1 :] + sizes[i]
+        may[i, i + 1 :] = (apart <= _differ(total, percent)) & (np.minimum(sizes[i + 1 :], sizes[i]) * 100 >= percent * np.maximum(sizes[i + 1 :], sizes[i]))
+        close[i, i + 1 :] = apart / total
+    may |= may.T
+    active = np.flatnonzero(may.any(axis=1))
+    if not len(active):
+        return [], []
+    # Only nodes that may link at all go on.
+    keys, n = keys[active], len(active)
+    yes, no = [yes[i] for i in active], [no[i] for i in active]
+    may, close = may[np.ix_(active, active)], close[np.ix_(active, active)]
+    close += close.T
     label = np.arange(n)
-    for i in range(n):
-        if open_[i] and known[i].any():
-            frontier = np.zeros(n, dtype=bool)
-            frontier[i] = True
-            reached = frontier.copy()
-            while frontier.any():
-                frontier = known[frontier].any(axis=0) & ~reached
-                reached |= frontier
-            label[reached] = i
-            open_[reached] = False
-    open_[:] = True
+    if any(yes) or any(no):
+        place = {int(k): i for i, k in enumerate(keys)}
+        known = np.zeros((n, n), dtype=bool)
+        for i in range(n):
+            known[i, [place[k] for k in yes[i] if k in place]] = True
+            may[i, [place[k] for k in no[i] if k in place]] = False
+        known |= known.T
+        for i in range(n):
+            if label[i] == i and known[i].any():
+                reached, frontier = np.zeros(n, dtype=bool), np.zeros(n, dtype=bool)
+                frontier[i] = True
+                while frontier.any():
+                    reached |= frontier
+                    frontier = known[frontier].any(axis=0) & ~reached
+                label[reached] = i
+        may &= label[:, None] != label[None, :]
+    found: set[tuple[int, int]] = set()
+    free = np.ones(n, dtype=bool)
     for start in np.argsort(-may.sum(axis=1), kind="stable"):
-        if not open_[start]:
+        if not free[start]:
             continue
         level = np.flatnonzero(label == label[start])
-        open_[level] = False
+        free[level] = False
         while len(level):
-            reach = may[level] & open_
-            hit = np.flatnonzero(reach.any(axis=0))
-            if not len(hit):
-                break
-            parent = level[np.argmax(reach[:, hit], axis=0)]
-            grown = np.zeros(n, dtype=bool)
-            for child, p in zip(hit.tolist(), parent.tolist(), strict=True):
-                if open_[child]:
-                    found.add((p, child))
-                    joined_by_new = True
-                    same = label == label[child]
-                    grown |= same
-                    open_ &= ~same
-            level = np.flatnonzero(grown)
-    if joined_by_new:
-        found |= {(i, int(j)) for i, j in enumerate(nearest) if j >= 0 and label[i] != label[j]}
-    return [(int(min(keys[i], keys[j])), int(max(keys[i], keys[j]))) for i, j in found if not known[i, j]]
-
-
-def _offered(members: DataFrame, percent: int, parts: int) -> DataFrame:
-    """Distinct offers of all groups; members: group, key, size, bitmap, yes, no."""
+            hit = np.flatnonzero(may[level].any(axis=0) & free)
+            grown = []
+            for child in hit.tolist():
+                if free[child]:
+                    above = level[may[level, child]]
+                    found.add((int(above[np.argmin(close[above, child])]), child))
+                    same = np.flatnonzero(label == label[child])
+                    free[same] = False
+                    grown.append(same)
+            level = np.concatenate(grown) if grown else np.zeros(0, np.int64)
+    if n > 2:
+        for i in np.flatnonzero(may.any(axis=1)).tolist():
+            near = np.flatnonzero(may[i])
+            found |= {(i, int(j)) for j in near[np.argsort(close[i, near], kind="stable")[:nearest]]}
+    return [(int(min(keys[i], keys[j])), int(max(keys[i], keys[j]))) for i, j in found], keys.tolist()
+
+
+def _offered(members: DataFrame, percent: int, parts: int, nearest: int) -> DataFrame:
+    """Distinct offers (a, b) of all groups, and rows (a, null) of nodes that may link; members: group, key, size, bitmap, yes, no."""
     schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
         seen: set[tuple[int, int]] = set()
+        active: set[int] = set()
 
-        def work(table: pa.Table) -> list[tuple[int, int]]:
+        def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
             group = table["group"].to_numpy()
             keys, sizes = table["key"].to_numpy(), table["size"].to_numpy()
             maps, yes, no = (table[n].to_pylist() for n in ("bitmap", "yes", "no"))
             heads = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-            out = []
+            pairs, nodes = [], []
             for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(group)], strict=True):
-                _, once = np.unique(keys[a:b], return_index=True)
-                at = (a + once).tolist()
-                if len(at) > 1:
-                    for pair in offers(keys[at], sizes[at], [maps[i] for i in at], [set(yes[i] or ()) for i in at], [set(no[i] or ()) for i in at], percent):
-                        if pair not in seen:
-                            seen.add(pair)
-                            out.append(pair)
-            return out
+                if b - a < 2:
+                    continue
+                told = [set(yes[i] or ()) for i in range(a, b)], [set(no[i] or ()) for i in range(a, b)]
+                new, linkable = offers(keys[a:b], sizes[a:b], maps[a:b], *told, percent, nearest)
+                pairs += [p for p in new if p not in seen and not seen.add(p)]
+                nodes += [k for k in linkable if k not in active and not active.add(k)]
+            if len(seen) + len(active) > _FLUSH:
+                seen.clear()
+                active.clear()
+            if nodes or pairs:
+                yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs] + nodes, pa.int64()), pa.array([p[1] for p in pairs] + [None] * len(nodes), pa.int64())], names=["a", "b"])
 
         for batch in batches:
             table = pa.Table.from_batches([batch])
@@ -345,13 +360,10 @@ def _offered(members: DataFrame, percent: int, parts: int) -> DataFrame:
             group = table["group"].to_numpy()
             last = int(np.searchsorted(group, group[-1]))  # sorted: the last group may go on
             if last:
-                if out := work(table.slice(0, last)):
-                    yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
+                yield from work(table.slice(0, last))
             rest = table.slice(last)
-            if len(seen) > _FLUSH:
-                seen.clear()
-        if rest is not None and rest.num_rows and (out := work(rest)):
-            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
+        if rest is not None and rest.num_rows:
+            yield from work(rest)
 
     return members.repartition(parts, "group").sortWithinPartitions("group").mapInArrow(run, schema).distinct()
 
@@ -421,34 +433,30 @@ def links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle
             break
         fine |= lacking
     docs = met.where("group is null").select("id", "key", "size", "bitmap")
-    groups = _blocked(met.where("group is not null").select("group", "key").distinct())
-    nodes = docs.where("key is not null").groupBy("key").agg(F.first("size").alias("size"), F.first("bitmap").alias("bitmap"))
-    members = checkpointed(groups.join(nodes, "key"))
-    none = F.array().cast("array<bigint>")
-    tested, sets = None, None
-    while True:
-        if tested is None:
-            now = members.withColumn("yes", none).withColumn("no", none)
-        else:
-            told = tested.select(F.col("a").alias("key"), F.col("b").alias("with"), "linked").union(tested.select(F.col("b").alias("key"), F.col("a").alias("with"), "linked"))
-            by_node = told.groupBy("key").agg(F.collect_list(F.when(F.col("linked"), F.col("with"))).alias("yes"), F.collect_list(F.when(~F.col("linked"), F.col("with"))).alias("no"))
-            again = members.join(by_node.where(F.size("no") > 0).select("key"), "key", "left_semi").select("group").distinct()
-            now = members.join(again, "group", "left_semi").join(by_node, "key", "left")
-        pairs = checkpointed(_offered(now.select("group", "key", "size", "bitmap", "yes", "no"), percent, parts))
+    groups = checkpointed(_blocked(met.where("group is not null").select("group", "key").distinct()))
+    met_keys = groups.select("key").distinct()
+    nodes = checkpointed(docs.join(met_keys, "key", "left_semi").groupBy("key").agg(F.first("size").alias("size"), F.first("bitmap").alias("bitmap")))
+    none = F.lit(None).cast("array<bigint>")
+    first = checkpointed(_offered(groups.join(nodes, "key").withColumn("yes", none).withColumn("no", none), percent, parts, 1))
+    pairs = first.where("b is not null")
+    sets = checkpointed(_sets_of(df, text_col, shingle, first.where("b is null").select(F.col("a").alias("key"))))
+    checked = checkpointed(_verified(pairs, sets, percent))
+    tested, nearest = checked, 1
+    while not (refused := checked.where("not linked")).isEmpty():
+        # Only groups that hold a refused pair have something left to offer; they offer more each time.
+        nearest = min(64, nearest * 4)
+        at_a = refused.join(groups.select("group", F.col("key").alias("a")), "a")
+        again = at_a.select("group", F.col("b").alias("key")).join(groups, ["group", "key"]).select("group").distinct()
+        open_groups = groups.join(again, "group", "left_semi")
+        told = tested.select(F.col("a").alias("key"), F.col("b").alias("with"), "linked").union(tested.select(F.col("b").alias("key"), F.col("a").alias("with"), "linked"))
+        by_node = told.groupBy("key").agg(F.collect_list(F.when(F.col("linked"), F.col("with"))).alias("yes"), F.collect_list(F.when(~F.col("linked"), F.col("with"))).alias("no"))
+        now = open_groups.join(nodes.join(by_node, "key", "left"), "key")
+        pairs = checkpointed(_offered(now.select("group", "key", "size", "bitmap", "yes", "no"), percent, parts, nearest)).where("b is not null")
         if pairs.isEmpty():
             break
-        wanted = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
-        missing = wanted if sets is None else wanted.join(sets, "key", "left_anti")
-        if not missing.isEmpty():
-            more = checkpointed(_sets_of(df, text_col, shingle, missing))
-            sets = more if sets is None else sets.union(more)
         checked = checkpointed(_verified(pairs, sets, percent))
-        tested = checked if tested is None else checkpointed(tested.union(checked))
-        if checked.where("not linked").isEmpty():
-            break
-    schema = "a long, b long"
-    found = tested.where("linked").select("a", "b") if tested is not None else spark.createDataFrame([], schema)
-    return docs.select("id", "key", "size"), found
+        tested = checkpointed(tested.union(checked))
+    return docs.select("id", "key", "size"), tested.where("linked").select("a", "b")
 
 
 def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
