@@ -6,13 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, decontaminate, jaccard, licenses, quality, repeats, sharding
+from tessera.llm import bpe, decontaminate, jaccard, language, licenses, quality, repeats, sharding, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxic_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    model = toxicity.fit(documents, labels.where(language.fold("doc_id", 3) != 1))
+    scored = toxicity.score(documents, model)
+    return scored.select("doc_id", (language.fold("doc_id", 3) == 1).alias("held_out"), "score", "predicted", "n_clauses")
+
+
 def op2_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_table(spark, sf_dir, "documents"), 16).drop("digest")
 
@@ -36,6 +43,13 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, with_ids=False)
 
 
+def op8_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    fold = language.fold("doc_id", 4)
+    profiles = language.fit(documents.where(fold != 2))
+    return language.predict(documents, profiles).select("doc_id", (fold == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op9_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.report(_table(spark, sf_dir, "documents")).drop("spans")
 
@@ -45,11 +59,13 @@ def op10_partenum_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxic_grammar": op1_toxic_grammar,
     "op2_minimax_shards": op2_minimax_shards,
     "op3_suffix_decontamination": op3_suffix_decontamination,
     "op4_license_diagonals": op4_license_diagonals,
     "op5_line_quality": op5_line_quality,
     "op7_byte_bpe": op7_byte_bpe,
+    "op8_rank_order_language": op8_rank_order_language,
     "op9_suffix_repeats": op9_suffix_repeats,
     "op10_partenum_join": op10_partenum_join,
 }
