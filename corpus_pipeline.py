@@ -1,21 +1,57 @@
-"""A corpus-cleaning pipeline: quality rules, near-duplicate join, repeated passages, decontamination, tokens."""
+"""A corpus-cleaning pipeline over the documents table.
+
+quality rules -> near duplicates -> repeated passages -> benchmark passages ->
+tokens.  Each stage is (spark, docs, sf_dir) -> DataFrame and works on all rows
+its predecessor kept; all but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import quality
+from tessera.llm import bpe, decontaminate, jaccard, quality, repeats
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the line-first rules keep, all columns."""
+    """Documents that the line-first rules keep."""
     return quality.clean(docs)
 
 
-STAGES = [("quality_rules", quality_rules)]
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, the one with the least id."""
+    return jaccard.keep_one(docs)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without strings of 400 bytes that occur twice; documents with nothing but white space left go."""
+    left = repeats.remove(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return left.where(F.col("text").rlike(r"\S")).select(*docs.columns)
+
+
+def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any passage of the benchmark."""
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of what is left, with digests of the ids and of the decoded bytes."""
+    import public_tokenizers
+
+    return bpe.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("repeated_passages", repeated_passages),
+    ("benchmark_passages", benchmark_passages),
+    ("tokens", tokens),
+]
 
+#: SQL can express neither the line rules nor the encoder; tests hold run() against brute force.
 ORACLE_SQL = None
 
 

@@ -475,7 +475,10 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle:
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
-    """One row of df for each component, that of the least id; all columns."""
+    """The row of df with the least id of each component; all columns.
+
+    Rows with a null id stay, as do rows that repeat the least id.
+    """
     found = join(df, id_col, text_col, shingle, percent)
     gone = found.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
     return df.join(gone, id_col, "left_anti")
