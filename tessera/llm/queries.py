@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, decontaminate, jaccard, language, licenses, quality, repeats, sharding, toxicity
+from tessera.llm import bpe, decontaminate, jaccard, language, licenses, ngram_lm, quality, repeats, sharding, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,12 @@ def op5_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(_table(spark, sf_dir, "documents"))
 
 
+def op6_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fold = language.fold("doc_id", 10)
+    scored = ngram_lm.score(_table(spark, sf_dir, "documents"), held_out=fold == 0, deleted=fold == 9)
+    return scored.select("doc_id", (fold == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -64,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_suffix_decontamination": op3_suffix_decontamination,
     "op4_license_diagonals": op4_license_diagonals,
     "op5_line_quality": op5_line_quality,
+    "op6_deleted_interpolation": op6_deleted_interpolation,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_rank_order_language": op8_rank_order_language,
     "op9_suffix_repeats": op9_suffix_repeats,
