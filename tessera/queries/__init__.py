@@ -23,4 +23,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
-from tessera.queries import relational  # noqa: E402,F401
+from tessera.queries import graph, relational  # noqa: E402,F401
