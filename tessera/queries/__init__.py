@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.session import prepare
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -15,7 +18,12 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     """Register a query under a name, with the SQL that gives the same rows."""
 
     def register(f: Query) -> Query:
-        QUERIES[name] = f
+        @wraps(f)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            prepare(spark)
+            return f(spark, sf_dir)
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLE_SQL[name] = sql
         return f
@@ -23,4 +31,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
-from tessera.queries import graph, relational  # noqa: E402,F401
+from tessera.queries import graph, relational, vectors  # noqa: E402,F401
