@@ -30,7 +30,7 @@ from tessera.llm import bytekit as bk
 from tessera.llm.runtime import ship
 
 #: Pieces whose encodings a worker remembers; beyond it the memory starts anew.
-REMEMBERED = 600_000
+REMEMBERED = 300_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -52,7 +52,7 @@ class PrefixEncoder:
                 lengths.setdefault(token[-3:], set()).add(len(token))
         #: By the last three bytes: lengths of tokens with that ending, longest first, then two bytes and one.
         self.lengths = {end: (*sorted(found, reverse=True), 2, 1) for end, found in lengths.items()}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.alone: dict[int, bool] = {}
 
     def merged(self, data: bytes) -> list[int]:
@@ -71,9 +71,9 @@ class PrefixEncoder:
         return self.alone[token]
 
     def compatible(self, left: int, right: int) -> bool:
-        key = (left, right)
+        key = left << 32 | right
         if key not in self.pairs:
-            if len(self.pairs) > 4 * REMEMBERED:
+            if len(self.pairs) >= REMEMBERED:
                 self.pairs.clear()
             self.pairs[key] = self.merged(self.tokens[left] + self.tokens[right]) == [left, right]
         return self.pairs[key]
@@ -93,7 +93,7 @@ class PrefixEncoder:
                     if self.stands_alone(token):
                         break
                 else:
-                    fits = pairs.get((last[start - 1], token))
+                    fits = pairs.get(last[start - 1] << 32 | token)
                     if self.compatible(last[start - 1], token) if fits is None else fits:
                         break
             else:

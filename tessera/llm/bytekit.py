@@ -7,19 +7,22 @@ polynomial over random byte values, modulo 2**64, finished by a mixer.
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once; a longer text is handled alone.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 CHUNK_ROWS = 4096
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: dict[str, np.ndarray] = {}
+_LIBC = ctypes.CDLL("libc.so.6") if sys.platform == "linux" else None
 
 
 def _table(seed: int, fold: bool) -> np.ndarray:
@@ -49,11 +52,14 @@ ALNUM_WORD = byte_class((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF))
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The base's first n powers and the inverses of them, modulo 2**64."""
     if "up" not in _powers or len(_powers["up"]) < n:
-        size = 1 << max(16, (n - 1).bit_length())
+        size = (n + (1 << 18) - 1) >> 18 << 18
         for name, base in (("up", _BASE), ("down", _BASE_INVERSE)):
-            out = np.ones(1, dtype=_U)
-            while len(out) < size:
-                out = np.concatenate([out, out * _U(pow(base, len(out), 1 << 64))])
+            out = np.ones(size, dtype=_U)
+            done = 1
+            while done < size:
+                more = min(done, size - done)
+                np.multiply(out[:more], _U(pow(base, done, 1 << 64)), out=out[done : done + more])
+                done += more
             _powers[name] = out
     return _powers["up"][:n], _powers["down"][:n]
 
@@ -168,6 +174,14 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BY
             stop = min(stop, row + most_rows)
             yield Chunk(batch.slice(row, stop - row), column)
             row = stop
+    trim()
+
+
+def trim() -> None:
+    """Give memory that is free back to the system: a worker lives on for other tasks."""
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+    pa.default_memory_pool().release_unused()
 
 
 def duplicates(row: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -45,7 +45,7 @@ _U = np.uint64
 #: Bands below this one, sets of fewer than 32 shingles, have a partition for each shingle.
 _FINE_BELOW = 5
 #: Signatures a task gathers before it sends them on; buckets per shuffle partition; nodes of a block.
-_FLUSH, _BUCKETS, BLOCK = 2_000_000, 4, 2048
+_FLUSH, _BUCKETS, BLOCK = 1_000_000, 4, 2048
 
 
 class ShingleSets:

@@ -41,7 +41,7 @@ _BITS = 51
 _END = _U(0x1F3D5B79A2C4E)
 #: Context-frequency buckets, bins per doubling of an estimate, and the least estimate told apart (as a power of two).
 BUCKETS, _FINE, _DEEP = 24, 8, 40
-_BLOCK_BYTES, _FLUSH = 24 << 20, 2_500_000
+_BLOCK_BYTES, _FLUSH = 16 << 20, 2_000_000
 _WORDS, _PAIRS, _TOTALS = 0, 1, 2
 
 

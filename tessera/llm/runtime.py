@@ -9,12 +9,22 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Spark's default of rows an Arrow batch, and ours: texts are thousands of bytes each.
+_DEFAULT_ROWS, _ROWS = "10000", "1000"
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once a session.
+    """Send this package to the executors, once a session, and keep Arrow batches of texts small.
 
-    The driver serves the archive itself, so no shared folder is needed.
+    The driver serves the archive itself, so no shared folder is needed.  A
+    batch size that the user has set stays.
     """
     sc = spark.sparkContext
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(rows, _DEFAULT_ROWS) == _DEFAULT_ROWS:
+        spark.conf.set(rows, _ROWS)
+    # Spark 4.1 may take unions of children that were coalesced differently for partitioned alike.
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
     if getattr(sc, "_tessera_shipped", False):
         return
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
