@@ -50,7 +50,8 @@ def cosine(x: Column, y: Column) -> Column:
 def unit(x: Column) -> Column:
     """x at length 1; null for a zero vector."""
     n = norm(x)
-    return F.when(n > 0, F.transform(x, lambda v: v.cast("double") / n))
+    # Beside each element stands the norm, which is so evaluated once and not for every element.
+    return F.when(n > 0, F.zip_with(x, F.array_repeat(n, F.size(x)), lambda v, m: v.cast("double") / m))
 
 
 def digest(seed: int | str, *parts: Column) -> Column:
