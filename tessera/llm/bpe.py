@@ -17,8 +17,9 @@ are ordinary text.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -30,7 +31,9 @@ from tessera.llm import bytekit as bk
 from tessera.llm.runtime import ship
 
 #: Pieces whose encodings a worker remembers; beyond it the memory starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
+#: Bytes of text whose new pieces are encoded together.
+_TEXT_BYTES = 2 << 20
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -45,7 +48,10 @@ class PrefixEncoder:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.tokens = {rank: token for token, rank in ranks.items()}
-        self.longest = max(map(len, ranks), default=1)
+        #: By rank: bytes of the token, and the rank as text.
+        top = max(self.tokens, default=-1) + 1
+        self.sizes = [len(self.tokens.get(i, b"")) for i in range(top)]
+        self.names = [str(i) for i in range(top)]
         lengths: dict[bytes, set[int]] = {}
         for token in ranks:
             if len(token) > 2:
@@ -57,12 +63,20 @@ class PrefixEncoder:
 
     def merged(self, data: bytes) -> list[int]:
         """Plain merging, lowest rank first: only for the few bytes of one or two tokens."""
+        rank, none = self.ranks.get, 1 << 60
         parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            best = min(range(len(parts) - 1), key=lambda i: (self.ranks.get(parts[i] + parts[i + 1], 1 << 60), i))
-            if parts[best] + parts[best + 1] not in self.ranks:
+        joins = [rank(data[i : i + 2], none) for i in range(len(data) - 1)]
+        while joins:
+            least = min(joins)
+            if least == none:
                 break
-            parts[best : best + 2] = [parts[best] + parts[best + 1]]
+            i = joins.index(least)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del joins[i]
+            if i:
+                joins[i - 1] = rank(parts[i - 1] + parts[i], none)
+            if i < len(joins):
+                joins[i] = rank(parts[i] + parts[i + 1], none)
         return [self.ranks[p] for p in parts]
 
     def stands_alone(self, token: int) -> bool:
@@ -103,11 +117,13 @@ class PrefixEncoder:
 
     def ids(self, data: bytes, last: list[int]) -> list[int]:
         """Follow the table back from the end."""
-        out, end = [], len(data)
+        out, end, sizes = [], len(data), self.sizes
         while end:
-            out.append(last[end - 1])
-            end -= len(self.tokens[last[end - 1]])
-        return out[::-1]
+            token = last[end - 1]
+            out.append(token)
+            end -= sizes[token]
+        out.reverse()
+        return out
 
     def encode_piece(self, data: bytes) -> list[int]:
         whole = self.ranks.get(data)
@@ -133,18 +149,47 @@ class TextEncoder:
         self.encoder, self.find = encoder, regex.compile(pattern).findall
         self.known: dict[str, tuple[str, int, bytes]] = {}
 
-    def _piece(self, piece: str) -> tuple[str, int, bytes]:
-        ids = self.encoder.encode_piece(piece.encode("utf-8"))
-        found = (",".join(map(str, ids)), len(ids), self.encoder.decode(ids))
-        if len(piece) <= 64:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            self.known[piece] = found
-        return found
+    def learn(self, unknown: Iterable[str]) -> dict[str, tuple[str, int, bytes]]:
+        """Encode pieces in order of their bytes: each table continues that of the piece before from where they part."""
+        encoder, out = self.encoder, {}
+        whole, tokens, extend, follow, name = encoder.ranks.get, encoder.tokens, encoder.extend, encoder.ids, encoder.names.__getitem__
+        before, table = b"", []
+        for data, piece in sorted((p.encode("utf-8"), p) for p in unknown):
+            token = whole(data)
+            if token is not None:
+                out[piece] = (name(token), 1, tokens[token])
+                continue
+            same = 0
+            if data.startswith(before):
+                same = len(before)
+            else:
+                for x, y in zip(before, data):
+                    if x != y:
+                        break
+                    same += 1
+            del table[same:]
+            ids = follow(data, extend(data, table))
+            before = data
+            out[piece] = (",".join(map(name, ids)), len(ids), b"".join(map(tokens.__getitem__, ids)))
+        return out
+
+    def pieces_of(self, texts: list[str]) -> list[list[tuple[str, int, bytes]]]:
+        """By text, its pieces' ids as text, how many, and the bytes they decode to."""
+        found = [self.find(text) for text in texts]
+        unknown = set().union(*found).difference(self.known)
+        if unknown:
+            if len(self.known) + len(unknown) > REMEMBERED:
+                # The half that was learned last stays, and what this call needs.
+                needed = set().union(*found)
+                recent = list(self.known.items())[len(self.known) // 2 :]
+                self.known = {p: v for p, v in self.known.items() if p in needed} | dict(recent)
+                unknown = needed.difference(self.known)
+            self.known |= self.learn(unknown)
+        known = self.known.__getitem__
+        return [list(map(known, pieces)) for pieces in found]
 
     def pieces(self, text: str) -> list[tuple[str, int, bytes]]:
-        known, make = self.known.get, self._piece
-        return [known(p) or make(p) for p in self.find(text)]
+        return self.pieces_of([text])[0]
 
     def encode(self, text: str) -> list[int]:
         return [int(i) for ids, _, _ in self.pieces(text) for i in ids.split(",")]
@@ -166,10 +211,10 @@ def encode(df: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = text_encoder(vocabulary, pattern)
-        for chunk in bk.chunks(batches, "text"):
+        gc.disable()  # nothing here is in a cycle, and there is much to look through
+        for chunk in bk.chunks(batches, "text", _TEXT_BYTES):
             counts, coded, decoded, lists = [], [], [], []
-            for text in chunk.batch.column(1):
-                parts = encoder.pieces(text.as_py() or "")
+            for parts in encoder.pieces_of([text or "" for text in chunk.batch.column(1).to_pylist()]):
                 joined = ",".join([p[0] for p in parts])
                 counts.append(sum([p[1] for p in parts]))
                 coded.append(hashlib.sha256(joined.encode()).hexdigest())
@@ -178,5 +223,6 @@ def encode(df: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id",
                     lists.append([int(i) for i in joined.split(",")] if joined else [])
             columns = [chunk.batch.column(0), pa.array(counts, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())]
             yield pa.RecordBatch.from_arrays(columns + ([pa.array(lists, pa.list_(pa.int32()))] if with_ids else []), names=schema.names)
+        gc.enable()
 
     return source.mapInArrow(run, schema).withColumnRenamed("id", id_col)
