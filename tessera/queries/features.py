@@ -441,3 +441,90 @@ def f_pair_features(spark: S, d: str) -> D:
     raw = pairs.select("q", "c", F.when(known, 1.0).otherwise(0.0).alias("has_year"), F.when(known, F.abs(F.col("qy") - F.col("year")).cast("double")).alias("year_gap"), x.ratio(F.col("qd"), F.col("duration")).alias("ratio"))
     filled = features.filled_with_median(raw, ["year_gap"])
     return filled.select("q", "c", "has_year", "year_gap", F.round(F.col("ratio") * F.col("year_gap"), 6).alias("interaction"))
+
+
+@query("r_ordinal_moe")
+def r_ordinal_moe(spark: S, d: str) -> D:
+    from tessera.operators import moe
+
+    t = _training(spark, d).select("track_id", F.array("f1", "f2", "f3").alias("x"), (F.col("y") * 6 + 1995).alias("year"))
+    shape = moe.Shape(3, 1990, 2005)
+    p, _ = moe.train(t, shape, "track_id", "x", "year", epochs=2)
+    return moe.predict(t, shape, p, "track_id", "x")
+
+
+@query("r_tune")
+def r_tune(spark: S, d: str) -> D:
+    """A staged search: the better depth first, then the better rate at that depth."""
+    t = _training(spark, d).persist()
+    train, held = t.where("artist_id % 10 <> 0"), t.where("artist_id % 10 = 0")
+    error = F.sqrt(F.avg((F.col("prediction") - F.col("y")) ** 2))
+    rows, best = [], {"maxDepth": 2, "stepSize": 0.1}
+    for name, values in (("maxDepth", [2, 3]), ("stepSize", [0.1, 0.3])):
+        tried = []
+        for value in values:
+            found = models.boosted_trees(train, ["f1", "f2", "f3"], "y", maxIter=2, **(best | {name: value})).transform(held).agg(error).first()[0]
+            tried.append((float(found or 0.0), float(value)))
+            rows.append((name, float(value), float(found or 0.0)))
+        best[name] = type(best[name])(min(tried)[1])
+    t.unpersist()
+    return spark.createDataFrame(rows, "parameter string, value double, rmse double")
+
+
+@query("hash_schema")
+def hash_schema(spark: S, d: str) -> D:
+    """Digests of each table's ordered columns."""
+    import hashlib
+
+    rows = [(t, hashlib.sha256(v.table(spark, d, t).schema.json().encode()).hexdigest()) for t in ("orders", "lineitem", "part", "customer")]
+    return spark.createDataFrame(rows, "name string, digest string")
+
+
+@query("hash_assignments")
+def hash_assignments(spark: S, d: str) -> D:
+    """One digest of a table's rows that does not depend on their order: the sum of the rows' hashes."""
+    t = d_split_artist(spark, d)
+    row = F.conv(F.substring(F.sha2(F.concat_ws("\0", "track_id", "split"), 256), 1, 15), 16, 10).cast("decimal(38,0)")
+    return t.agg(F.sum(row).cast("string").alias("digest"), F.count("*").alias("n"))
+
+
+@query("hash_splitmix", v.sql("SELECT track_id, CAST(('0x' || substr(sha256('42' || chr(0) || track_id || chr(0) || '0'), 1, 12))::UBIGINT % (SELECT count(*) FROM tracks) AS BIGINT) AS drawn FROM tracks", "tracks"))
+def hash_splitmix(spark: S, d: str) -> D:
+    """A draw from the universe by a counter's hash."""
+    t = v.tracks(spark, d).select("track_id")
+    n = t.agg(F.count("*").alias("n"))
+    drawn = F.conv(F.substring(x.digest(42, F.col("track_id"), F.lit("0")), 1, 12), 16, 10).cast("long") % F.col("n")
+    return t.join(F.broadcast(n), F.lit(True)).select("track_id", drawn.alias("drawn"))
+
+
+@query("agg_partial_fold")
+def agg_partial_fold(spark: S, d: str) -> D:
+    with_features = models.fourier_features(_training(spark, d), ["f1", "f2", "f3"], 8, 0.5, 42)
+    weights, bias, loss = models.kernel_descent(with_features, "rff", "y", steps=1)
+    return spark.createDataFrame([(float(loss), float(bias))], "loss double, intercept double")
+
+
+@query("r_lightgbm_eval")
+def r_lightgbm_eval(spark: S, d: str) -> D:
+    """A saved model, loaded again, on the test artists."""
+    from pyspark.ml import PipelineModel
+
+    from tessera.queries.sources import scratch
+
+    t = _training(spark, d)
+    path = scratch(spark, "model")
+    models.boosted_trees(t.where("artist_id % 10 <> 0"), ["f1", "f2", "f3"], "y", maxIter=2, maxDepth=2).write().save(path)
+    return models.regression_metrics(PipelineModel.load(path).transform(t.where("artist_id % 10 = 0")), "prediction", "y", -5.0, 5.0)
+
+
+@query("e_dev_report")
+def e_dev_report(spark: S, d: str) -> D:
+    """Recall, metrics, random expectation and slices as rows (part, measure, value)."""
+    from tessera.queries import vectors as q
+
+    parts = {"metrics": q.e_macro(spark, d), "pool": q.r_pool_audit(spark, d), "sizes": q.r_pool_size_dist(spark, d), "bootstrap": q.e_bootstrap(spark, d), "catalog": q.e_catalog_report(spark, d)}
+    out = None
+    for part, df in parts.items():
+        long = df.select(F.inline(F.array(*(F.struct(F.lit(part).alias("part"), F.lit(c).alias("measure"), F.col(c).cast("double").alias("value")) for c in df.columns))))
+        out = long if out is None else out.unionByName(long)
+    return out

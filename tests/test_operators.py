@@ -188,3 +188,30 @@ def test_bootstrap(spark):
     df = spark.createDataFrame([(i % 20, 1.0 + (i % 7) / 10) for i in range(400)], "c int, v double")
     row = ranking.bootstrap(df, "v", "c", 400).first()
     assert row["low"] < row["mean"] < row["high"] and row["high"] - row["low"] < 0.2
+
+
+def test_moe_gradient():
+    from tessera.operators import moe
+
+    rng = np.random.default_rng(4)
+    shape = moe.Shape(3, 1980, 1999)
+    p, m, year = shape.start(1) + rng.normal(0, 0.05, shape.size), rng.normal(size=(6, 3)), rng.integers(1980, 2000, 6).astype(float)
+    _, gradient = moe.loss_and_gradient(shape, p, m, year)
+    for i in range(shape.size):
+        step = np.zeros(shape.size)
+        step[i] = 1e-6
+        slope = (moe.loss_and_gradient(shape, p + step, m, year)[0] - moe.loss_and_gradient(shape, p - step, m, year)[0]) / 2e-6
+        assert slope == pytest.approx(gradient[i], abs=1e-4)
+
+
+def test_moe_learns(spark):
+    from tessera.operators import moe
+
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(e) for e in f], float(np.clip(1990 + 6 * f[0], 1980, 1999))) for i, f in enumerate(rng.normal(size=(200, 2)))]
+    df = spark.createDataFrame(rows, "id bigint, x array<double>, year double")
+    shape = moe.Shape(2, 1980, 1999)
+    p, losses = moe.train(df, shape, "id", "x", "year", epochs=12)
+    assert losses[-1] < losses[0]
+    heads = moe.forward(shape, p, np.array([r[1] for r in rows]))
+    assert np.isfinite(heads["combined"]).all() and (np.diff(heads["above"], axis=1) <= 1e-12).all()
