@@ -25,7 +25,7 @@ def op2_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return decontaminate.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("longest", "spans")
 
 
 def op4_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,4 +77,38 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_partenum_join": op10_partenum_join,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ALNUM = f"""regexp_extract_all({_FOLD.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"""
+_SPACED = f"""regexp_extract_all({_FOLD.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+')"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op3_suffix_decontamination": f"""
+WITH d AS (SELECT doc_id, {_ALNUM} AS w FROM documents), b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_ALNUM} AS w FROM benchmark),
+t AS (SELECT item, least(10, len(w)) AS n, unnest(list_transform(range(1, CAST(len(w) - least(10, len(w)) + 2 AS BIGINT)), lambda i: array_to_string(w[i : i + least(10, len(w)) - 1], ' '))) AS g FROM b WHERE len(w) > 0),
+lengths AS (SELECT DISTINCT n FROM t),
+g AS (SELECT doc_id, n, unnest(range(1, CAST(len(w) - n + 2 AS BIGINT))) AS i, unnest(list_transform(range(1, CAST(len(w) - n + 2 AS BIGINT)), lambda i: array_to_string(w[i : i + n - 1], ' '))) AS g FROM d, lengths WHERE len(w) >= n),
+m AS (SELECT g.doc_id, g.i, g.n, t.item FROM g JOIN t ON t.g = g.g AND t.n = g.n),
+h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, CAST(i + n AS BIGINT))) AS p FROM (SELECT DISTINCT doc_id, i, n FROM m)) GROUP BY 1),
+k AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM m GROUP BY 1)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h ON h.doc_id = d.doc_id LEFT JOIN k ON k.doc_id = d.doc_id""",
+    "op9_suffix_repeats": """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+p AS (SELECT doc_id, b, unnest(range(1, CAST(n - 398 AS BIGINT))) AS i FROM d WHERE n >= 400), g AS (SELECT doc_id, i, md5(b[i : i + 399]) AS g FROM p),
+m AS (SELECT doc_id, i FROM g WHERE g IN (SELECT g FROM g GROUP BY 1 HAVING count(*) > 1)),
+h AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 400 THEN 0 ELSE 1 END AS h FROM m),
+k AS (SELECT doc_id, i, sum(h) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM h), s AS (SELECT doc_id, min(i) AS a, max(i) + 399 AS z FROM k GROUP BY doc_id, k),
+c AS (SELECT doc_id, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) + 1 AS f, a - 1 AS t FROM s UNION ALL SELECT doc_id, max(z) + 1, NULL FROM s GROUP BY 1),
+x AS (SELECT doc_id, sha256(unhex(string_agg(CASE WHEN coalesce(t, n) >= f THEN hex(b[f : coalesce(t, n)]) ELSE '' END, '' ORDER BY f))) AS kept FROM c JOIN d USING (doc_id) GROUP BY 1),
+r AS (SELECT doc_id, CAST(sum(z - a + 1) AS BIGINT) AS removed, count(*) AS spans FROM s GROUP BY 1)
+SELECT d.doc_id, n AS n_bytes, coalesce(removed, 0) AS n_removed, coalesce(spans, 0) AS n_spans, coalesce(kept, sha256(b)) AS kept_sha256 FROM d LEFT JOIN x ON x.doc_id = d.doc_id LEFT JOIN r ON r.doc_id = d.doc_id""",
+    "op10_partenum_join": f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_SPACED} AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, CAST(greatest(len(w) - 3, 2) AS BIGINT)), lambda i: array_to_string(w[i : i + 4], ' ') || '#' || least(len(w), 5))) AS g FROM d WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 80 * (a.n + b.n - c)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r(x, y) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x)
+SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.y) AS component_id FROM d JOIN r ON r.x = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id""",
+}
