@@ -34,6 +34,8 @@ GRAM = 3
 #: Most template positions; beyond it the templates are not small enough to broadcast.
 MAX_POSITIONS = 1_000_000
 
+_SALTS = 16
+
 #: Base phrases and their labels (fixed values).
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
@@ -142,7 +144,9 @@ def detect(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     positions = spark.createDataFrame(rows, "hash long, template int, template_place long, label string, places long")
     scanned = checkpointed(_scan(df, id_col, text_col, np.array([r[0] for r in rows], dtype=np.int64), gram))
     found = votes(scanned, positions, gram=gram).groupBy("key").agg(F.collect_set("label").alias("found"), F.max("coverage").alias("coverage"))
-    joined = scanned.drop("hits").join(found, "key", "left")
+    # A text with very many copies is one key: its rows are dealt over salts.
+    salted = scanned.drop("hits").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(_SALTS)).cast("int"))
+    joined = salted.join(found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1)))), ["key", "salt"], "left")
     base = F.when(F.col("base_labels") == "", F.array().cast("array<string>")).otherwise(F.split("base_labels", ","))
     return joined.select(
         F.col("id").alias(id_col), "n_words", "n_base", "first_word", "last_word", "base_labels",
