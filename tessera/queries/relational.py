@@ -341,7 +341,7 @@ def agg_stddev(spark: S, d: str) -> D:
     return v.tracks(spark, d).groupBy("year").agg(F.round(F.stddev_pop("duration"), 3).alias("pop"), F.round(F.stddev_samp("duration"), 3).alias("samp"))
 
 
-_GUESS = "SELECT track_id, artist_id, year, year + (track_id % 21 - 10) * 0.75 AS guess FROM tracks"
+_GUESS = "SELECT track_id, artist_id, year, year + (track_id % 21 - 10) * 0.75::DOUBLE AS guess FROM tracks"
 
 
 def guesses(spark: S, d: str) -> D:

@@ -226,3 +226,85 @@ def p_recommend(spark: S, d: str) -> D:
     evidence = F.avg("related").over(Window.partitionBy("query"))
     ready = scored.select("query", "candidate", (F.col("related") + audio / 1e6).alias("learned"), audio.alias("audio"), ranking.gate(evidence, 0.2, 0.8, 10, 4).alias("quota"))
     return ranking.interleave(ready)
+
+
+@query("sink_python_parts", "SELECT s_suppkey, s_name FROM supplier")
+def sink_python_parts(spark: S, d: str) -> D:
+    path = scratch(spark, "zstd")
+    sinks.parquet_strict(v.table(spark, d, "supplier").select("s_suppkey", "s_name"), path, compression="zstd")
+    return spark.read.parquet(path)
+
+
+# Functions of the user's own: what they are replaced by, and where they stay.
+
+
+@query("udf_scalar", v.sql(", n AS (SELECT artist_id, row_number() OVER (ORDER BY artist_id) - 1 AS node FROM (SELECT DISTINCT artist_id FROM tracks)) SELECT track_id, node FROM tracks JOIN n USING (artist_id)", "tracks"))
+def udf_scalar(spark: S, d: str) -> D:
+    """A vocabulary lookup is a join, not a function over a broadcast dictionary."""
+    from tessera.operators.ordering import row_numbers
+
+    t = v.tracks(spark, d).select("track_id", "artist_id")
+    return t.join(row_numbers(t.select("artist_id").distinct(), ["artist_id"], "node"), "artist_id").select("track_id", "node")
+
+
+@query("udf_grouped", v.sql("SELECT artist_id AS query, CAST(count(*) AS BIGINT) AS n, round(sum(duration), 2) AS total FROM tracks GROUP BY 1", "tracks"))
+def udf_grouped(spark: S, d: str) -> D:
+    """A query's rows as one frame: for sequential scoring of bounded lists."""
+    import pandas as pd
+
+    def score(frame: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"query": [frame["artist_id"].iloc[0]], "n": [len(frame)], "total": [frame["duration"].sum()]})
+
+    found = v.tracks(spark, d).select("artist_id", "duration").groupBy("artist_id").applyInPandas(score, "query bigint, n bigint, total double")
+    return found.withColumn("total", F.round("total", 2))
+
+
+@query("udf_partition", "SELECT event_id, round((value - 40.0::DOUBLE) / 30.0::DOUBLE, 6) AS z FROM events")
+def udf_partition(spark: S, d: str) -> D:
+    """A frozen model over Arrow batches."""
+
+    def scale(frames):
+        for frame in frames:
+            yield frame.assign(z=(frame["value"] - 40.0) / 30.0)[["event_id", "z"]]
+
+    found = v.table(spark, d, "events").select("event_id", "value").mapInPandas(scale, "event_id bigint, z double")
+    return found.withColumn("z", F.round("z", 6))
+
+
+@query("hof_lambda", "SELECT vec_id, CAST(len(list_filter(embedding, lambda e: e > 0)) AS INT) AS positive, round(list_sum(list_transform(embedding, lambda e: abs(CAST(e AS DOUBLE)))), 4) AS total FROM embeddings")
+def hof_lambda(spark: S, d: str) -> D:
+    e = v.table(spark, d, "embeddings")
+    total = F.aggregate(F.transform("embedding", lambda c: F.abs(c.cast("double"))), F.lit(0.0), lambda s, c: s + c)
+    return e.select("vec_id", F.size(F.filter("embedding", lambda c: c > 0)).alias("positive"), F.round(total, 4).alias("total"))
+
+
+@query("s_split", v.sql(", k AS (SELECT track_id, CASE WHEN mode = 'P' THEN 'track:' || track_id ELSE 'song:' || artist_id END AS k FROM tracks), u AS (SELECT track_id, CAST(('0x' || substr(sha256('42' || chr(0) || k), 1, 16))::UBIGINT AS DOUBLE) / 18446744073709551616.0 AS h FROM k) SELECT track_id, CASE WHEN h < 0.10 THEN 'A' WHEN h < 0.11 THEN 'B_tune' WHEN h < 0.13 THEN 'C' WHEN h >= 0.15 AND h < 0.17 THEN 'B_confirm' ELSE 'remaining' END AS split FROM u", "tracks"))
+def s_split(spark: S, d: str) -> D:
+    """Splits by song where it is known, so that versions of a song stay together."""
+    key = F.when(F.col("mode") == "P", F.concat(F.lit("track:"), "track_id")).otherwise(F.concat(F.lit("song:"), "artist_id"))
+    h = x.unit_hash(42, key)
+    split = F.when(h < 0.10, "A").when(h < 0.11, "B_tune").when(h < 0.13, "C").when((h >= 0.15) & (h < 0.17), "B_confirm").otherwise("remaining")
+    return v.tracks(spark, d).select("track_id", split.alias("split"))
+
+
+@query("src_sqlite", "SELECT n_nationkey, n_name FROM nation")
+def src_sqlite(spark: S, d: str) -> D:
+    """A small table out to a SQLite file and back through the row-range source.
+
+    The file is written beside the session's checkpoints, which must be in a
+    file system that SQLite can open.
+    """
+    import os
+    import sqlite3
+    from urllib.parse import urlparse
+
+    path = urlparse(scratch(spark, "sqlite"))
+    rows = v.table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("n_nationkey"), "n_name")
+    if path.scheme not in ("", "file"):
+        raise ValueError(f"SQLite cannot open files of {path.scheme}")
+    os.makedirs(os.path.dirname(path.path), exist_ok=True)
+    with sqlite3.connect(path.path) as con:
+        con.execute("CREATE TABLE nation (n_nationkey INTEGER, n_name TEXT)")
+        con.executemany("INSERT INTO nation VALUES (?, ?)", [tuple(r) for r in rows.toLocalIterator()])
+    found = readers.sqlite(spark, path.path, "nation", 3)
+    return found.select(F.col("n_nationkey").cast("int").alias("n_nationkey"), "n_name")
