@@ -22,6 +22,7 @@ import hashlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,9 +32,9 @@ from tessera.llm import bytekit as bk
 from tessera.llm.runtime import ship
 
 #: Pieces whose encodings a worker remembers; beyond it the memory starts anew.
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 #: Bytes of text whose new pieces are encoded together.
-_TEXT_BYTES = 2 << 20
+_TEXT_BYTES = 1 << 20
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -211,18 +212,21 @@ def encode(df: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = text_encoder(vocabulary, pattern)
-        gc.disable()  # nothing here is in a cycle, and there is much to look through
         for chunk in bk.chunks(batches, "text", _TEXT_BYTES):
             counts, coded, decoded, lists = [], [], [], []
-            for parts in encoder.pieces_of([text or "" for text in chunk.batch.column(1).to_pylist()]):
+            gc.disable()  # nothing made here is in a cycle, and there is much to look through
+            try:
+                pieces = encoder.pieces_of([text or "" for text in chunk.batch.column(1).to_pylist()])
+            finally:
+                gc.enable()
+            for parts in pieces:
                 joined = ",".join([p[0] for p in parts])
                 counts.append(sum([p[1] for p in parts]))
                 coded.append(hashlib.sha256(joined.encode()).hexdigest())
                 decoded.append(hashlib.sha256(b"".join([p[2] for p in parts])).hexdigest())
                 if with_ids:
-                    lists.append([int(i) for i in joined.split(",")] if joined else [])
+                    lists.append(np.array(joined.split(","), dtype=np.int32) if joined else [])
             columns = [chunk.batch.column(0), pa.array(counts, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())]
             yield pa.RecordBatch.from_arrays(columns + ([pa.array(lists, pa.list_(pa.int32()))] if with_ids else []), names=schema.names)
-        gc.enable()
 
     return source.mapInArrow(run, schema).withColumnRenamed("id", id_col)

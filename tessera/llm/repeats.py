@@ -43,10 +43,10 @@ from tessera.llm.runtime import checkpointed, ship, width
 from tessera.llm.suffix import suffix_array
 
 _U = np.uint64
-_BUCKETS, _FLUSH = 4, 400_000
+_BUCKETS, _FLUSH = 4, 200_000
 #: Different pieces of a minimizer that are sorted together; more are dealt out by window.
 _MOST_PIECES = 3000
-_SORTED_BYTES = 1_600_000
+_SORTED_BYTES = 800_000
 _FILTER_BITS = 1 << 26
 
 
