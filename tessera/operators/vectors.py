@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import exprs as x
+from tessera.plans.materialize import checkpointed
 
 
 def top_k(pairs: DataFrame, query: str, score: str, ties: str, k: int) -> DataFrame:
@@ -79,15 +80,52 @@ def tag_weights(owners: DataFrame) -> DataFrame:
     return owners.join(idf, "tag")
 
 
-def tag_cosine(weights: DataFrame, queries: DataFrame, most_owners: int = 5000) -> DataFrame:
-    """(query, candidate, score): idf cosine between artists; tags with too many owners count in norms only."""
-    norms = weights.groupBy("artist_id").agg(F.sqrt(F.sum(F.col("idf") * F.col("idf"))).alias("norm"))
-    rare = weights.where(F.col("df") <= most_owners)
-    mine = rare.join(queries.select(F.col("artist_id")), "artist_id", "left_semi").select(F.col("artist_id").alias("query"), "tag")
-    both = mine.join(rare.select(F.col("artist_id").alias("candidate"), "tag", "idf"), "tag").where("query <> candidate")
-    summed = both.groupBy("query", "candidate").agg(F.sum(F.col("idf") * F.col("idf")).alias("common"))
-    a, b = norms.select(F.col("artist_id").alias("query"), F.col("norm").alias("a")), norms.select(F.col("artist_id").alias("candidate"), F.col("norm").alias("b"))
-    return summed.join(a, "query").join(b, "candidate").select("query", "candidate", x.ratio(F.col("common"), F.col("a") * F.col("b")).alias("score"))
+def tag_cosine(weights: DataFrame, queries: DataFrame, most_owners: int | None = None, block: int = 1024) -> DataFrame:
+    """(query, candidate, score): idf cosine between artists that share a tag.
+
+    Blocks of queries meet blocks of artists as matrices over their tags, so a
+    tag of very many owners costs no more rows than a rare one and no pair is
+    summed in two tasks.  With most_owners, tags with more owners count in norms
+    only.
+    """
+    import numpy as np
+    import pandas as pd
+
+    counted = F.lit(True) if most_owners is None else F.col("df") <= most_owners
+    owned = weights.groupBy("artist_id").agg(F.sqrt(F.sum(F.col("idf") * F.col("idf"))).alias("norm"), F.collect_list(F.when(counted, F.struct("tag", "idf"))).alias("owned"))
+    packed = checkpointed(owned.where(F.size("owned") > 0).select("artist_id", "norm", F.col("owned.tag").alias("tags"), F.col("owned.idf").alias("idfs")))
+    asked = checkpointed(packed.join(queries.select("artist_id").distinct(), "artist_id", "left_semi"))
+
+    def blocks(df: DataFrame) -> int:
+        return max(1, -(-df.count() // block))
+
+    n_asked, n_packed = blocks(asked), blocks(packed)
+    dealt = lambda n: F.pmod(F.xxhash64("artist_id"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    # Both sides come from one table: new names keep a cogroup's columns apart.
+    named = lambda df, side: df.select(*(F.col(c).alias(f"{side}_{c}") for c in df.columns))
+    left = named(asked.withColumn("i", dealt(n_asked)).withColumn("j", every(n_packed)), "q")
+    right = named(packed.withColumn("j", dealt(n_packed)).withColumn("i", every(n_asked)), "c")
+    kind = dict(weights.dtypes)["artist_id"]
+
+    def compare(mine: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
+        if not len(mine) or not len(others):
+            return pd.DataFrame({"query": mine["q_artist_id"][:0], "candidate": others["c_artist_id"][:0], "score": np.zeros(0)})
+        tags, _ = pd.factorize(np.concatenate([*mine["q_tags"], *others["c_tags"]]))
+        idf = np.concatenate([*mine["q_idfs"], *others["c_idfs"]])
+        row = np.repeat(np.arange(len(mine) + len(others)), [len(t) for t in (*mine["q_tags"], *others["c_tags"])])
+        common = np.zeros((len(mine), len(others)))
+        for first in range(0, int(tags.max()) + 1, 4096):  # so many tags at a time
+            at = np.flatnonzero((tags >= first) & (tags < first + 4096))
+            part = np.zeros((len(mine) + len(others), 4096))
+            part[row[at], tags[at] - first] = idf[at]
+            common += part[: len(mine)] @ part[len(mine) :].T
+        a, b = mine["q_artist_id"].to_numpy(), others["c_artist_id"].to_numpy()
+        i, j = np.nonzero((common > 0) & (a[:, None] != b[None, :]))
+        score = common[i, j] / (mine["q_norm"].to_numpy()[i] * others["c_norm"].to_numpy()[j])
+        return pd.DataFrame({"query": a[i], "candidate": b[j], "score": score})
+
+    return left.groupBy("q_i", "q_j").cogroup(right.groupBy("c_i", "c_j")).applyInPandas(compare, f"query {kind}, candidate {kind}, score double")
 
 
 def standardized(df: DataFrame, columns: list[str], limit: float = 10.0) -> DataFrame:

@@ -1,6 +1,8 @@
 """Operators against hand-made cases."""
 
+import math
 import sqlite3
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -122,6 +124,26 @@ def test_knn(spark):
         assert [got[i, k + 1] for k in range(5)] == [j for _, j in best]
 
 
+@pytest.mark.parametrize("cap", [None, 5000])
+def test_tag_cosine_with_a_hot_tag(spark, cap):
+    n = 5100
+    tags = {i: {"hot", f"t{i % 700}", f"u{i % 41}"} for i in range(n)}
+    rows = [(i, t) for i, mine in tags.items() for t in mine]
+    owners = Counter(t for _, t in rows)
+    idf = {t: math.log((n + 1) / (k + 1)) + 1 for t, k in owners.items()}
+    norm = {i: math.sqrt(sum(idf[t] ** 2 for t in mine)) for i, mine in tags.items()}
+    expected = {}
+    for q in (0, 7, 5099):
+        for c in tags:
+            common = [t for t in tags[q] & tags[c] if cap is None or owners[t] <= cap]
+            if c != q and common:
+                expected[q, c] = sum(idf[t] ** 2 for t in common) / (norm[q] * norm[c])
+    weights = vectors.tag_weights(spark.createDataFrame(rows, "artist_id long, tag string"))
+    got = vectors.tag_cosine(weights, spark.createDataFrame([(0,), (7,), (5099,), (9999,)], "artist_id long"), cap).collect()
+    assert len(got) == len(expected)
+    assert all(abs(r["score"] - expected[r["query"], r["candidate"]]) < 1e-9 for r in got)
+
+
 def test_pca_target(spark):
     rng = np.random.default_rng(3)
     rows = [(i, [float(a), float(2 * a), float(b)]) for i, (a, b) in enumerate(rng.normal(size=(50, 2)))]
