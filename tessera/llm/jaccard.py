@@ -33,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -475,10 +475,19 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle:
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
-    """The row of df with the least id of each component; all columns.
+    """One row of df of each component, that with the least id; all columns.
 
-    Rows with a null id stay, as do rows that repeat the least id.
+    Null ids come after all others; ties of one id are settled by digests of the
+    text and of the row, so a repeated row stays once.  Rows without shingles
+    link with nothing and all stay.
     """
-    found = join(df, id_col, text_col, shingle, percent)
-    gone = found.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
-    return df.join(gone, id_col, "left_anti")
+    mark, size, place = "mark", "n_shingles", "place"
+    while {mark, size, place} & set(df.columns):
+        mark, size, place = mark + "_", size + "_", place + "_"
+    text = F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256))
+    marked = df.withColumn(mark, F.struct(F.col(id_col).isNull().alias("unnamed"), F.col(id_col).alias("id"), text.alias("digest")))
+    found = join(marked.select(mark, text_col), mark, text_col, shingle, percent)
+    first = found.where(F.col(mark) == F.col("component_id")).groupBy(mark).agg(F.first("n_shingles").alias(size))
+    rest = F.xxhash64(*(c for c in df.columns if not dict(df.dtypes)[c].startswith("map")))
+    ranked = marked.join(first, mark).withColumn(place, F.row_number().over(Window.partitionBy(mark).orderBy(rest)))
+    return ranked.where((F.col(place) == 1) | (F.col(size) == 0)).select(*df.columns)

@@ -57,6 +57,14 @@ def test_join(table, request):
     assert kept.schema == df.schema
 
 
+def test_keep_one_of_repeated_rows_and_null_ids(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(3, a, 1), (3, a, 1), (3, a, 2), (4, a, 1), (None, a, 1), (None, b, 1), (None, b, 1), (None, b + " end", 2), (3, c, 1), (5, c, 1), (6, None, 1), (None, "", 1), (None, "", 1)]
+    kept = jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string, place int").repartition(3)).collect()
+    assert Counter((r["doc_id"], (r["text"] or "-")[0]) for r in kept if r["text"]) == {(3, "a"): 1, (None, "b"): 1, (3, "c"): 1}
+    assert Counter((r["doc_id"], r["text"]) for r in kept if not r["text"]) == {(6, None): 1, (None, ""): 2}
+
+
 def near_copies(seed, bases, copies, words):
     random.seed(seed)
     out = []

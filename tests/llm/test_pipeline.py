@@ -82,6 +82,17 @@ def test_stages(spark):
     assert all(n > 0 for n in got.values())
 
 
+def test_copies_stay_once(spark):
+    """Repeated rows and copies with null ids: one of each stays, whole."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    texts = [" ".join(f"{x}{i} is followed by {x}{i * 7 % 1000}." for i in range(n)) for x, n in (("word", 80), ("item", 80), ("term", 8))]
+    rows = [(1, texts[0]), (1, texts[0]), (None, texts[1]), (None, texts[1]), (2, texts[2]), (2, texts[2]), (None, texts[2])]
+    df = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], docs.schema)
+    steps = dict(corpus_pipeline.STAGES)
+    left = steps["repeated_passages"](spark, steps["near_duplicates"](spark, df, SMALL), SMALL)
+    assert Counter((r["doc_id"], r["text"]) for r in left.collect()) == {(1, texts[0]): 1, (None, texts[1]): 1, (2, texts[2]): 1}
+
+
 def test_empty(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
