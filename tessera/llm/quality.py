@@ -143,7 +143,7 @@ def measure(chunk: bk.Chunk, rules: QualityRules) -> dict[str, np.ndarray]:
     for phrase in BOILERPLATE:
         place = lowered.find(phrase)
         while place >= 0:
-            line = int(np.searchsorted(l_end, place))  # the first line that ends at or after the place
+            line = int(np.searchsorted(l_start, place, side="right")) - 1  # the last line that starts at or before the place: texts abut, so its end may be another's start
             boiler[line] |= place + len(phrase) <= l_end[line] and l_words[line] <= rules.boilerplate_words
             place = lowered.find(phrase, place + 1)
     failed = (l_words > 0) & (bad_marks | navigation | boiler)

@@ -64,6 +64,16 @@ def test_quality_lines(spark):
     assert "|" not in out[0]["text"] and "rights" not in out[0]["text"] and out[0]["text"] == "\n".join(good)
 
 
+def test_quality_boilerplate_at_the_start(spark):
+    """A text's first line is judged alike wherever the text is in its chunk."""
+    good = [f"Sentence {i} tells of thing{i} and of place{i}, and ends with person{i}." for i in range(9)]
+    heads = ["Log in", "Cookie policy", "All rights reserved", "\nLog in", "An honest line, which stays."]
+    rows = [(i, "\n".join([head, *good]) + tail) for i, (head, tail) in enumerate((h, t) for t in ("", "\n") for h in heads)]
+    rows = [*rows[:3], (-1, ""), *rows[3:]]
+    got = quality.assess(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).where("doc_id >= 0").collect()
+    assert {r["doc_id"]: r["n_failed_lines"] for r in got} == {i: int(i % 5 < 4) for i in range(10)}
+
+
 # 2: sharding
 
 
