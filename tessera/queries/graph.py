@@ -123,7 +123,8 @@ def g_eligible_paths(spark: S, d: str) -> D:
 
 @query("g_mixed_walk")
 def g_mixed_walk(spark: S, d: str) -> D:
-    return graph.walks(v.tracks(spark, d).select("track_id", "artist_id"), edges(spark, d))
+    terms = v.tags(spark, d).where("source = 'term'").select("artist_id", "tag")
+    return graph.walks(v.tracks(spark, d).select("track_id", "artist_id", "release_id"), edges(spark, d), terms)
 
 
 @query("g_walk_checks", "SELECT 2 * count(*) AS walks, 0::BIGINT AS wrong_root, 0::BIGINT AS repeats_itself, 0::BIGINT AS wrong_count FROM orders")

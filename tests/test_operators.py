@@ -144,6 +144,23 @@ def test_tag_cosine_with_a_hot_tag(spark, cap):
     assert all(abs(r["score"] - expected[r["query"], r["candidate"]]) < 1e-9 for r in got)
 
 
+def test_walks_take_all_paths(spark):
+    tracks = [(1, 10, 100), (2, 10, 101), (3, 11, 102), (4, 12, 103), (5, 13, 104), (6, 14, 104), (7, 15, 105)]
+    by_artist, release = {t: a for t, a, _ in tracks}, {t: r for t, _, r in tracks}
+    owners = [(11, "x"), (12, "x"), (12, "alone"), (15, "own"), (99, "own")]
+    frame = spark.createDataFrame
+    got = graph.walks(frame(tracks, "track_id long, artist_id long, release_id long"), frame([(10, 11), (13, 98)], "src long, dst long"), frame(owners, "artist_id long, tag string"), 20, 8).collect()
+    assert len(got) == 140
+    total = [sum(r["path_counts"][i] for r in got) for i in range(4)]
+    assert all(total)
+    for r in got:
+        assert r["walk_seq"][0] == r["track_id"] and sum(r["path_counts"]) == len(r["walk_seq"]) - 1
+        assert r["stop_reason"] == ("no_eligible_path" if r["track_id"] == 7 else "target_length")
+        for a, b in zip(r["walk_seq"], r["walk_seq"][1:]):
+            pair = by_artist[a], by_artist[b]
+            assert a != b and (pair[0] == pair[1] or pair in {(10, 11), (11, 12), (12, 11)} or release[a] == release[b])
+
+
 def test_pca_target(spark):
     rng = np.random.default_rng(3)
     rows = [(i, [float(a), float(2 * a), float(b)]) for i, (a, b) in enumerate(rng.normal(size=(50, 2)))]
