@@ -1,8 +1,13 @@
 """Vectorised work on the UTF-8 bytes of Arrow string columns.
 
 Texts are read straight from Arrow's buffers, a few megabytes at a time, so no
-Python string is made for a word, line or n-gram. Hashes are 64-bit: a
-polynomial over random byte values, modulo 2**64, finished by a mixer.
+Python string is made for a word, line or n-gram. Hashes of words, lines and
+pieces are 64-bit chains of a mixer over blocks of eight bytes, as a tree where
+a span is longer than 64 bytes; words of one length up to eight bytes never
+share one. Rolling hashes of all grams of one length are a polynomial over
+random byte values modulo 2**64, good enough to choose and to deal by: it has
+structured collisions between long strings, so nothing is taken for equal
+by it that could be a thousand bytes long.
 """
 
 from __future__ import annotations
@@ -22,18 +27,16 @@ _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: dict[str, np.ndarray] = {}
+_BLOCK, _SEGMENT = 8, 64
+_LOWEST = np.array([(1 << 8 * k) - 1 for k in range(_BLOCK + 1)], dtype=_U)
+#: A-Z as a-z, other bytes as they are.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 _LIBC = ctypes.CDLL("libc.so.6") if sys.platform == "linux" else None
 
 
-def _table(seed: int, fold: bool) -> np.ndarray:
-    values = np.random.Generator(np.random.PCG64(seed)).integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
-    if fold:
-        values[65:91] = values[97:123]
-    return values
-
-
-#: Value of each byte; FOLDED gives A-Z the values of a-z.
-EXACT, FOLDED = _table(20240501, False), _table(20240501, True)
+#: Value of each byte in rolling hashes.
+_VALUES = np.random.Generator(np.random.PCG64(20240501)).integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
 
 
 def byte_class(*ranges: tuple[int, int]) -> np.ndarray:
@@ -73,6 +76,39 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(33))
 
 
+def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of the bytes from each start to its end; equal bytes have equal hashes wherever they stand."""
+    sizes = ends - starts
+    if not len(sizes):
+        return np.zeros(0, dtype=_U)
+    padded = np.concatenate([data, np.zeros(_BLOCK, np.uint8)])
+    blocks = np.ndarray(len(data) + 1, dtype="<u8", buffer=padded, strides=(1,))
+    long = np.flatnonzero(sizes > _SEGMENT)
+    out = _chained(blocks, starts, np.minimum(sizes, _SEGMENT))
+    if len(long):
+        count = -(-sizes[long] // _SEGMENT)
+        first = np.concatenate([[0], np.cumsum(count)])
+        owner = np.repeat(long, count)
+        at = starts[owner] + _SEGMENT * (np.arange(first[-1]) - np.repeat(first[:-1], count))
+        segments = _chained(blocks, at, np.minimum(ends[owner] - at, _SEGMENT))
+        nested = hash_spans(segments.astype("<u8").view(np.uint8), _BLOCK * first[:-1], _BLOCK * first[1:])
+        out[long] = mix(nested ^ (sizes[long].astype(_U) * _U(0x9E6C63D0876A9A47)))
+    return out
+
+
+def _chained(blocks: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Hashes of spans of at most a segment, block after block."""
+    out = sizes.astype(_U) * _U(0xA0761D6478BD642F) + _U(0xE7037ED1A0B428DB)
+    done = 0
+    live = np.arange(len(sizes))
+    while len(live):
+        value = blocks[starts[live] + done] & _LOWEST[np.minimum(sizes[live] - done, _BLOCK)]
+        out[live] = mix(out[live] ^ (value * _U(0x8EBC6AF09C88C6E3)))
+        done += _BLOCK
+        live = live[sizes[live] > done]
+    return out
+
+
 class Chunk:
     """Some rows of a batch: the bytes of their texts, end to end."""
 
@@ -108,12 +144,12 @@ class Chunk:
     def text(self, row: int) -> bytes:
         return self.data[self.offsets[row] : self.offsets[row + 1]].tobytes()
 
-    def prefix_hash(self, table: np.ndarray = EXACT) -> np.ndarray:
-        """H with (H[e] - H[s]) * down[s] the polynomial of bytes s to e."""
+    def rolling_hash(self, gram: int) -> np.ndarray:
+        """Hashes of the gram bytes from each place; shorter by gram - 1 than the bytes."""
         n = len(self.data)
-        out = np.zeros(n + 1, dtype=_U)
-        np.cumsum(table[self.data] * powers(n)[0], out=out[1:])
-        return out
+        total = np.zeros(n + 1, dtype=_U)
+        np.cumsum(_VALUES[self.data] * powers(n)[0], out=total[1:])
+        return mix((total[gram:] - total[:-gram]) * powers(n + 1)[1][: max(0, n - gram + 1)])
 
     def runs(self, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Starts, ends and, by row, first indexes of maximal runs of bytes in a class; runs stay within a row."""
@@ -137,8 +173,9 @@ class Chunk:
         first = np.searchsorted(starts, self.offsets)
         return starts, ends, first
 
-    def span_hash(self, prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mix((prefix[ends] - prefix[starts]) * powers(len(prefix))[1][starts] + (ends - starts).astype(_U))
+    def span_hash(self, starts: np.ndarray, ends: np.ndarray, folded: bool = False) -> np.ndarray:
+        """Hashes of spans of the bytes; folded, A-Z count as a-z."""
+        return hash_spans(LOWER[self.data] if folded else self.data, starts, ends)
 
 
 def ngram_hash(words: np.ndarray, n: int) -> np.ndarray:

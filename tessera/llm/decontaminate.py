@@ -8,12 +8,15 @@ vocabulary can be in no match, so suffixes that meet one too early are left out
 of the sort; no match is lost by it.  No shuffle.
 
 The benchmark goes to the tasks in blocks of a bounded size; a larger one takes
-more passes over the documents, one after another in the same tasks.
+more passes over the documents, with a checkpoint after each, so that the driver
+and the tasks hold one block and the next at most.
 
 Defined results: a null or empty text has no words, no hits and is clean; an
 item without words matches nothing; items that repeat an id count once; a null
 item id counts as an empty string; an empty benchmark leaves all documents
-clean; null and repeated document ids are kept row by row.
+clean; null and repeated document ids are kept row by row; there are no ties;
+an empty documents table gives an empty one; a text of any length is searched
+whole; columns pass through whatever their names.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm import bytekit as bk
-from tessera.llm.runtime import ship
+from tessera.llm.runtime import checkpointed, ship
 
 WINDOW = 10
 #: Bytes of benchmark text that go to the tasks at once.
@@ -41,7 +44,7 @@ class TestSuffixes:
         batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string())], names=["text"])
         chunk = bk.Chunk(batch, "text")
         starts, ends, first = chunk.runs(bk.ALNUM_WORD)
-        hashes = chunk.span_hash(chunk.prefix_hash(bk.FOLDED), starts, ends)
+        hashes = chunk.span_hash(starts, ends, folded=True)
         self.window, self.ids = window, ids
         self.vocabulary, names = np.unique(hashes, return_inverse=True)
         names = names.astype(np.int64) + 1
@@ -89,7 +92,7 @@ def search(chunk: bk.Chunk, tests: TestSuffixes) -> tuple[np.ndarray, dict[int,
     n_words, longest = np.diff(first), np.zeros(chunk.rows, dtype=np.int64)
     if not len(starts) or not len(tests.keys):
         return n_words, {}, {}, longest
-    hashes = chunk.span_hash(chunk.prefix_hash(bk.FOLDED), starts, ends)
+    hashes = chunk.span_hash(starts, ends, folded=True)
     place = np.minimum(np.searchsorted(tests.vocabulary, hashes), len(tests.vocabulary) - 1)
     names = np.where(tests.vocabulary[place] == hashes, place + 1, 0)
     row = bk.row_of(first)
@@ -172,6 +175,8 @@ def matches(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_co
                 columns = chunk.batch.columns[: len(schema) - 1]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(found, arrow_kind)], names=schema.names)
 
+        if number:
+            out = checkpointed(out)  # so that the block before is no longer held
         out = out.mapInArrow(run, schema)
     return out, name
 

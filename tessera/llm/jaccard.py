@@ -24,7 +24,10 @@ compared in separate tasks.
 Defined results: a text of fewer words than a shingle has one shingle, all its
 words; a null text or one without words has none, links with nothing and is its
 own component; repeated rows share a node; a null id takes part but is never a
-component's name unless all its ids are null.
+component's name unless all its ids are null; ties go to the least id; an empty
+table gives an empty one; a text of any length has all its shingles; columns
+other than id and text are never read, and pass through ``keep_one`` whatever
+their names.
 """
 
 from __future__ import annotations
@@ -53,7 +56,7 @@ class ShingleSets:
 
     def __init__(self, chunk: bk.Chunk, shingle: int):
         starts, ends, first = chunk.runs(bk.SPACED_WORD)
-        words = chunk.span_hash(chunk.prefix_hash(bk.FOLDED), starts, ends)
+        words = chunk.span_hash(starts, ends, folded=True)
         count, row = np.diff(first), bk.row_of(first)
         grams = bk.ngram_hash(words, shingle)
         at = np.flatnonzero(row[: len(grams)] == row[shingle - 1 :]) if len(grams) else np.zeros(0, np.int64)

@@ -2,10 +2,12 @@
 
 The rolling k-word hashes of every text are joined with the positions of the
 same hashes in license templates.  A match votes for its diagonal, text place
-minus template place; votes are counted by diagonal, neighbouring diagonals
-(small insertions and deletions) are merged, and a merged span is accepted if
-it covers enough of the template within a span about as long.  Apart from that,
-plain phrases give base counts and labels.
+minus template place; votes are counted by diagonal.  A diagonal that covers
+enough of the template stands for itself; of the others, neighbouring diagonals
+(small insertions and deletions) are merged, over less than half the template's
+length, so that one notice after another never becomes one long band.  A span is
+accepted if it covers enough of the template within a span about as long.  Apart
+from that, plain phrases give base counts and labels.
 
 A text's task only emits hashes that a bit table of the templates' hashes lets
 pass; the join then decides.  The template table is a parameter of checked size
@@ -13,7 +15,9 @@ and is the broadcast side.
 
 Defined results: a null text is an empty one, without words, places or labels
 (empty strings) and score 0; results depend on the text alone, so repeated rows
-and null ids give a row each; texts are scanned whole.
+and null ids give a row each, and there are no ties; an empty table gives an
+empty one; texts of any length are scanned whole; columns other than id and text
+are never read.
 """
 
 from __future__ import annotations
@@ -64,7 +68,7 @@ TEMPLATES = (
 def _words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     chunk = bk.Chunk(pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"]), "text")
     starts, ends, first = chunk.runs(bk.ALNUM_WORD)
-    return chunk.span_hash(chunk.prefix_hash(bk.FOLDED), starts, ends), first
+    return chunk.span_hash(starts, ends, folded=True), first
 
 
 def template_positions(templates: tuple[tuple[str, str], ...] = TEMPLATES, gram: int = GRAM) -> list[tuple[int, int, int, str, int]]:
@@ -96,7 +100,7 @@ def _scan(df: DataFrame, id_col: str, text_col: str, grams: np.ndarray, gram: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in bk.chunks(batches, "text"):
             starts, ends, first = chunk.runs(bk.ALNUM_WORD)
-            words, row = chunk.span_hash(chunk.prefix_hash(bk.FOLDED), starts, ends), bk.row_of(first)
+            words, row = chunk.span_hash(starts, ends, folded=True), bk.row_of(first)
             n_base, labels = np.zeros(chunk.rows, dtype=np.int64), [set() for _ in range(chunk.rows)]
             low, high = np.full(chunk.rows, 1 << 62), np.full(chunk.rows, -1)
             for phrase, label in phrases:
@@ -130,7 +134,9 @@ def votes(scanned: DataFrame, positions: DataFrame, slack: int = 4, coverage: fl
     voted = hits.join(F.broadcast(positions), "hash").withColumn("diagonal", F.col("place") - F.col("template_place"))
     by_diagonal = voted.groupBy("key", "template", "label", "places", "diagonal").agg(F.collect_set("template_place").alias("covered"), F.min("place").alias("first"), F.max("place").alias("last"))
     along = Window.partitionBy("key", "template").orderBy("diagonal")
-    starts = F.when(F.col("diagonal") - F.lag("diagonal").over(along) <= slack, 0).otherwise(1)
+    alone = F.size("covered") >= F.lit(coverage) * F.col("places")
+    near = F.col("diagonal") - F.lag("diagonal").over(along) <= F.least(F.lit(slack), F.floor(F.col("places") / 2))
+    starts = F.when(near & ~alone & ~F.lag(alone).over(along), 0).otherwise(1)
     merged = by_diagonal.withColumn("head", starts).withColumn("band", F.sum("head").over(along))
     spans = merged.groupBy("key", "template", "label", "places", "band").agg(F.size(F.array_distinct(F.flatten(F.collect_list("covered")))).alias("n"), F.min("first").alias("first"), (F.max("last") + gram).alias("beyond"))
     fits = (F.col("n") >= F.lit(coverage) * F.col("places")) & (F.col("beyond") - F.col("first") <= F.lit(stretch) * (F.col("places") + gram - 1) + slack)

@@ -18,7 +18,9 @@ Every text ends with an end token, which is also the context of its first word.
 N-grams are told apart by 51 bits of a hash.
 
 Defined results: a null or empty text is one end token; repeated rows count and
-score each time; null ids are kept; without training texts every estimate is
+score each time; null ids are kept; there are no ties; an empty table gives an
+empty one; a text longer than a block's share is scored whole in its block;
+columns other than id and text are read only by the two conditions; without training texts every estimate is
 the uniform one and the base score that of an empty corpus.
 """
 
@@ -68,7 +70,7 @@ def bucket_of(context: np.ndarray) -> np.ndarray:
 def streams(chunk: bk.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of all tokens and of the bigrams that end in them, and first indexes by row; each row ends with its end token."""
     starts, ends, first = chunk.runs(bk.SPACED_WORD)
-    words = chunk.span_hash(chunk.prefix_hash(bk.FOLDED), starts, ends) >> _U(64 - _BITS)
+    words = chunk.span_hash(starts, ends, folded=True) >> _U(64 - _BITS)
     begin = first + np.arange(len(first))
     tokens = np.full(begin[-1], _END, dtype=_U)
     tokens[np.arange(len(words)) + bk.row_of(first)] = words
@@ -273,12 +275,12 @@ def score(df: DataFrame, held_out, deleted, id_col: str = "doc_id", text_col: st
     spark = df.sparkSession
     ship(spark)
     parts = width(spark)
-    bits = max(2, min(15, (4 * parts - 1).bit_length()))
+    bits = max(2, min(_BITS - 32, (4 * parts - 1).bit_length()))
     text = F.coalesce(F.col(text_col), F.lit(""))
     sizes = df.agg(F.sum(F.when(deleted & ~held_out, F.octet_length(text) + 8)).alias("d"), F.sum(F.octet_length(text) + 8).alias("all")).first()
     n_deleted = max(1, -(-int(sizes["d"] or 0) // block_bytes))
     n_other = max(1, -(-(int(sizes["all"] or 0) - int(sizes["d"] or 0)) // block_bytes))
-    spot = F.xxhash64(F.col(id_col).cast("string"))
+    spot = F.xxhash64(F.col(id_col).cast("string"), text)  # many rows may share an id, or have none
     block = F.when(deleted & ~held_out, F.pmod(spot, F.lit(n_deleted))).otherwise(F.pmod(spot, F.lit(n_other)) + n_deleted)
     source = df.select(text.alias("text"), block.cast("long").alias("block"), (~held_out).alias("train"), F.col(id_col).alias("id"))
     requests = _requests(source.select("text", "block", "train"), bits)
@@ -304,7 +306,7 @@ def score(df: DataFrame, held_out, deleted, id_col: str = "doc_id", text_col: st
         found, n = np.unique(cell, return_counts=True)
         return pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(n, pa.int64())], names=["cell", "n"])
 
-    tenth = _met(source.where(F.col("block") < n_deleted), told.where(F.col("block") < n_deleted), min(parts, n_deleted), cell_schema, tally, "rest")
+    tenth = _met(source.where(F.col("block") < n_deleted), told.where(F.col("block") < n_deleted), parts, cell_schema, tally, "rest")
     rows = tenth.groupBy("cell").agg(F.sum("n").alias("n")).collect()  # at most buckets x bins x bins cells
     middle = lambda b: np.where(b > 0, 2.0 ** (-(b - 0.5) / _FINE), 0.0)
     cell, n = np.array([r["cell"] for r in rows], dtype=np.int64), np.array([r["n"] for r in rows], dtype=np.float64)

@@ -20,11 +20,19 @@ Consecutive windows with one minimizer travel as one piece:
 
 A task sends on only one of equal pieces, so a passage that very many documents
 share is no hot spot; a minimizer with too many different pieces is dealt out
-again by whole windows.  Hashes are of 64 bits.
+again by whole windows.  Hashes are of 64 bits; neighbours in suffix order are
+compared by their bytes.
+
+With ``least_words``, only maximal repeated runs that hold so many whole words
+count, so that a length short enough for any passage of that many words leaves
+shorter repeats alone.
 
 Defined results: a null text is an empty one; texts shorter than ``length`` and
 windows across documents never match; every copy of a repeated string goes, the
-first included; repeated rows are copies of each other; null ids are kept.
+first included; repeated rows are copies of each other; null ids are kept, ties
+do not occur; an empty table gives an empty one; a text of any length is judged
+whole, alone in its chunk if it is long; columns other than id and text pass
+through whatever their names.
 """
 
 from __future__ import annotations
@@ -47,6 +55,8 @@ _BUCKETS, _FLUSH = 4, 200_000
 #: Different pieces of a minimizer that are sorted together; more are dealt out by window.
 _MOST_PIECES = 3000
 _SORTED_BYTES = 800_000
+#: Bytes and whole words that make a run a passage: 51 words of prose take some 250 bytes or more.
+PASSAGE = (200, 51)
 _FILTER_BITS = 1 << 26
 
 
@@ -65,8 +75,7 @@ def pieces(chunk: bk.Chunk, rows: np.ndarray, length: int, gram: int) -> tuple[n
     count = n - length + 1
     if count <= 0 or not rows.any():
         return tuple(np.zeros(0, t) for t in (_U, _U, np.int64, np.int64, np.int64))
-    prefix, down = chunk.prefix_hash(), bk.powers(n + 1)[1]
-    grams = bk.mix((prefix[gram:] - prefix[:-gram]) * down[: n - gram + 1])
+    grams = chunk.rolling_hash(gram)
     # The leftmost least gram of each window: minima of blocks from their left and right ends.
     key = (grams & ~_U((1 << 31) - 1)) | np.arange(len(grams), dtype=_U)
     blocks = np.concatenate([key, np.full(-len(key) % span, ~_U(0))]).reshape(-1, span)
@@ -82,7 +91,7 @@ def pieces(chunk: bk.Chunk, rows: np.ndarray, length: int, gram: int) -> tuple[n
     keep = valid[start]
     start, windows = start[keep], windows[keep]
     end = start + windows - 1 + length
-    hashed = bk.mix((prefix[end] - prefix[start]) * down[start] + (at[start] - start).astype(_U) * _U(0xC2B2AE3D27D4EB4F) + windows.astype(_U))
+    hashed = bk.mix(chunk.span_hash(start, end) + (at[start] - start).astype(_U) * _U(0xC2B2AE3D27D4EB4F) + windows.astype(_U))
     return grams[at[start]], hashed, row[start], start - chunk.offsets[row[start]], windows
 
 
@@ -104,13 +113,13 @@ _PIECES, _MARKS, _WANTED, _DOCUMENT, _TEXTS, _WINDOWS = range(6)
 
 
 def _schema(id_type: T.DataType) -> T.StructType:
-    """Rows of all kinds: packed values a to e, or a document's id, digest, size and text."""
+    """Rows of all kinds: packed values a to e, or a document's id, digest, size, words and text."""
     packed = [T.StructField(n, T.BinaryType()) for n in _BYTES]
-    return T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("kind", T.IntegerType()), *packed, T.StructField("id", id_type), T.StructField("digest", T.BinaryType()), T.StructField("n_bytes", T.LongType()), T.StructField("text", T.StringType())])
+    return T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("kind", T.IntegerType()), *packed, T.StructField("id", id_type), T.StructField("digest", T.BinaryType()), T.StructField("n_bytes", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("text", T.StringType())])
 
 
 def _types(id_type: pa.DataType) -> list[pa.DataType]:
-    return [pa.int32(), pa.int32(), *[pa.binary()] * 5, id_type, pa.binary(), pa.int64(), pa.string()]
+    return [pa.int32(), pa.int32(), *[pa.binary()] * 5, id_type, pa.binary(), pa.int64(), pa.int64(), pa.string()]
 
 
 def _arrow_type(kind: T.DataType) -> pa.DataType:
@@ -125,7 +134,7 @@ def _dealt(source: DataFrame, length: int, gram: int, buckets: int) -> DataFrame
     kinds = _types(_arrow_type(source.schema["id"].dataType))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, count, seen = [], 0, set()
+        held, count, seen, told = [], 0, set(), 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             mini, hashed, key, place, windows = (np.concatenate([h[i] for h in held]) for i in range(5))
@@ -151,8 +160,10 @@ def _dealt(source: DataFrame, length: int, gram: int, buckets: int) -> DataFrame
             mini, hashed, row, place, windows = pieces(chunk, fresh, length, gram)
             held.append((mini, hashed, keys[row], place, windows))
             count += len(mini)
-            n = chunk.rows
-            yield pa.RecordBatch.from_arrays([pa.array(_bucket(keys, buckets), pa.int32()), pa.array(np.full(n, _DOCUMENT), pa.int32()), *[pa.nulls(n, pa.binary())] * 5, chunk.batch.column(0), pa.array(digests, pa.binary()), pa.array(chunk.sizes, pa.int64()), pa.nulls(n, pa.string())], names=names)
+            n, words = chunk.rows, np.diff(chunk.runs(bk.SPACED_WORD)[2])
+            spread = (told + np.arange(n)) % buckets  # documents only pass through: copies need not meet
+            told += n
+            yield pa.RecordBatch.from_arrays([pa.array(spread, pa.int32()), pa.array(np.full(n, _DOCUMENT), pa.int32()), *[pa.nulls(n, pa.binary())] * 5, chunk.batch.column(0), pa.array(digests, pa.binary()), pa.array(chunk.sizes, pa.int64()), pa.array(words, pa.int64()), pa.nulls(n, pa.string())], names=names)
             if count >= _FLUSH:
                 yield from flush()
                 held, count, seen = [], 0, set()
@@ -222,24 +233,43 @@ def _compared(dealt: DataFrame, parts: int, buckets: int) -> DataFrame:
 
 
 def _filter_of(keys: DataFrame) -> np.ndarray:
-    """A bit table of fixed size for the int64 values packed in column a; a set bit may mean no key, a clear one never does."""
+    """A bit table of fixed size for the int64 values in the only column, packed or plain; a set bit may mean no key, a clear one never does."""
     schema = T.StructType([T.StructField("word", T.IntegerType()), T.StructField("mask", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            place = np.unique(np.concatenate([_bucket(np.frombuffer(x.as_buffer(), dtype=np.int64), _FILTER_BITS) for x in batch.column(0)] or [np.zeros(0, np.int64)]))
+            column = batch.column(0)
+            values = [column.to_numpy()] if pa.types.is_int64(column.type) else [np.frombuffer(x.as_buffer(), dtype=np.int64) for x in column]
+            place = np.unique(np.concatenate([_bucket(x, _FILTER_BITS) for x in values] or [np.zeros(0, np.int64)]))
             if len(place):
                 word = place >> 5
                 heads = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
                 yield pa.RecordBatch.from_arrays([pa.array(word[heads], pa.int32()), pa.array(np.bitwise_or.reduceat(np.int64(1) << (place & 31), heads), pa.int64())], names=["word", "mask"])
 
     table = np.zeros(_FILTER_BITS >> 5, dtype=np.uint32)
-    words = keys.select("a").mapInArrow(run, schema).groupBy("word").agg(F.bit_or("mask").alias("mask"))
+    words = keys.mapInArrow(run, schema).groupBy("word").agg(F.bit_or("mask").alias("mask"))
     for row in words.toLocalIterator():
         table[row["word"]] = row["mask"]
     return table
 
 
+def _told(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether each key may be in the table."""
+    place = _bucket(keys, _FILTER_BITS)
+    return ((table[place >> 5] >> (place & 31).astype(np.uint32)) & 1).astype(bool)
+
+
+def _among(source: DataFrame, table: np.ndarray) -> DataFrame:
+    """The rows of source whose text's key may be in the table."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in bk.chunks(batches, "text"):
+            keys = np.array([_key(chunk.text(r))[1] for r in range(chunk.rows)], dtype=np.int64)
+            yield chunk.batch.filter(pa.array(_told(table, keys)))
+
+    return source.mapInArrow(run, source.schema)
+
+
 def _texts(source: DataFrame, table: np.ndarray, buckets: int) -> DataFrame:
     """One row a task for each text whose key may be in the table, to its bucket."""
     schema, names = _schema(source.schema["id"].dataType), _schema(T.NullType()).names
@@ -248,12 +278,10 @@ def _texts(source: DataFrame, table: np.ndarray, buckets: int) -> DataFrame:
         seen: set[int] = set()
         for chunk in bk.chunks(batches, "text"):
             keys = np.array([_key(chunk.text(r))[1] for r in range(chunk.rows)], dtype=np.int64)
-            place = _bucket(keys, _FILTER_BITS)
-            may = ((table[place >> 5] >> (place & 31).astype(np.uint32)) & 1).astype(bool)
-            rows = [r for r in np.flatnonzero(may).tolist() if keys[r] not in seen and not seen.add(keys[r])]
+            rows = [r for r in np.flatnonzero(_told(table, keys)).tolist() if keys[r] not in seen and not seen.add(keys[r])]
             if rows:
                 n = len(rows)
-                yield pa.RecordBatch.from_arrays([pa.array(_bucket(keys[rows], buckets), pa.int32()), pa.array(np.full(n, _DOCUMENT), pa.int32()), pa.array([keys[r].tobytes() for r in rows], pa.binary()), *[pa.nulls(n, pa.binary())] * 4, chunk.batch.column(0).take(pa.array(rows)), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64()), chunk.batch.column(1).take(pa.array(rows)).cast(pa.string())], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(_bucket(keys[rows], buckets), pa.int32()), pa.array(np.full(n, _DOCUMENT), pa.int32()), pa.array([keys[r].tobytes() for r in rows], pa.binary()), *[pa.nulls(n, pa.binary())] * 4, chunk.batch.column(0).take(pa.array(rows)), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), chunk.batch.column(1).take(pa.array(rows)).cast(pa.string())], names=names)
 
     return source.mapInArrow(run, schema)
 
@@ -306,8 +334,7 @@ def _fetched(wanted: DataFrame, texts: DataFrame, parts: int, buckets: int, leng
             if flag & 2:
                 batch = pa.RecordBatch.from_arrays([pa.array([part], pa.binary())], names=["text"])
                 chunk = bk.Chunk(batch, "text")
-                prefix = chunk.prefix_hash()
-                wide.append((bk.mix((prefix[length:] - prefix[:-length]) * bk.powers(len(prefix))[1][:windows]), key, place, flag & 1))
+                wide.append((chunk.rolling_hash(length), key, place, flag & 1))
             else:
                 held.append((mini, key, place, flag & 1, part))
             size[0] += len(part) * (9 if flag & 2 else 1)
@@ -351,16 +378,27 @@ def agreeing(texts: list[bytes], length: int) -> list[np.ndarray]:
         at += len(text) + 1
     order = suffix_array(joined)
     whole = bk.Chunk(pa.RecordBatch.from_arrays([pa.array([b"\0".join([*texts, b""])], pa.binary())], names=["text"]), "text")
-    prefix, n = whole.prefix_hash(), len(joined)
+    grams, data, n = whole.rolling_hash(length), whole.data, len(joined)
     valid = np.zeros(n, dtype=bool)
     for start, text in zip(starts, texts, strict=True):
         valid[start : start + max(0, len(text) - length + 1)] = True
     order = order[valid[order]]
-    head = bk.mix((prefix[order + length] - prefix[order]) * bk.powers(n + 1)[1][order])
-    agree = head[1:] == head[:-1]
+    head = grams[order]
+    near = np.flatnonzero(head[1:] == head[:-1])
+    one, other = order[near], order[near + 1]
+    # Pairs that follow each other in both texts share most of their bytes: such a run is compared at once.
+    along = np.lexsort((one, other - one))
+    one, other = one[along], other[along]
+    heads = np.flatnonzero(np.concatenate([[True], (np.diff(one) != 1) | (np.diff(other) != 1)])) if len(one) else one
     marked = np.zeros(n, dtype=bool)
-    marked[order[1:][agree]] = True
-    marked[order[:-1][agree]] = True
+    for a, b, m in zip(one[heads].tolist(), other[heads].tolist(), np.diff(np.append(heads, len(one))).tolist(), strict=True):
+        apart = data[a : a + m + length - 1] != data[b : b + m + length - 1]
+        if not apart.any():
+            marked[a : a + m] = marked[b : b + m] = True
+        else:
+            before = np.concatenate([[0], np.cumsum(apart)])
+            same = np.flatnonzero(before[length:] == before[:-length])
+            marked[a + same] = marked[b + same] = True
     return [np.flatnonzero(marked[s : s + len(t)]) for s, t in zip(starts, texts, strict=True)]
 
 
@@ -418,10 +456,19 @@ def _sorted(fetched: DataFrame, parts: int, buckets: int, length: int) -> DataFr
     return _by_bucket(fetched, parts, work, {_TEXTS: ["u8", "i8", "u1"], _WINDOWS: ["u8", "i8", "i8", "i4"]})
 
 
-def _cut(marks: DataFrame, texts: DataFrame, parts: int, length: int) -> DataFrame:
-    """Step 3: by text with marks: key, removed spans, digest of what is left, and what is left."""
+def _whole_words(text: bytes, first: int, beyond: int) -> int:
+    """Words of a span that do not go on outside it."""
+    part = text[first:beyond]
+    words = part.split()
+    begun = first > 0 and not text[first - 1 : first].isspace() and not part[:1].isspace()
+    goes_on = beyond < len(text) and not text[beyond : beyond + 1].isspace() and not part[-1:].isspace()
+    return max(0, len(words) - begun - goes_on) if len(words) > 1 else int(not begun and not goes_on and bool(words))
+
+
+def _cut(marks: DataFrame, texts: DataFrame, parts: int, length: int, least_words: int) -> DataFrame:
+    """Step 3: by text with marks: key, removed spans, digest of what is left, and the longest run, removed or not."""
     span = T.StructType([T.StructField("first", T.LongType()), T.StructField("beyond", T.LongType())])
-    schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("spans", T.ArrayType(span)), T.StructField("kept_sha256", T.StringType())])
+    schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("spans", T.ArrayType(span)), T.StructField("kept_sha256", T.StringType()), T.StructField("longest", T.LongType())])
     arrow_span = pa.list_(pa.struct([("first", pa.int64()), ("beyond", pa.int64())]))
     held: list[tuple] = []
 
@@ -432,73 +479,110 @@ def _cut(marks: DataFrame, texts: DataFrame, parts: int, length: int) -> DataFra
         reach = np.maximum.accumulate(beyond)
         heads = np.flatnonzero(np.concatenate([[True], first[1:] > reach[:-1]]))
         a, b = first[heads], reach[np.append(heads[1:] - 1, len(first) - 1)]
+        longest = int((b - a).max())
+        if least_words:
+            enough = np.array([_whole_words(text, x, y) >= least_words for x, y in zip(a.tolist(), b.tolist(), strict=True)], dtype=bool)
+            a, b = a[enough], b[enough]
         kept, at = hashlib.sha256(), 0
         for x, y in zip(a.tolist(), b.tolist(), strict=True):
             kept.update(text[at:x])
             at = y
         kept.update(text[at:])
-        held.append((key, int((b - a).sum()), [{"first": int(x), "beyond": int(y)} for x, y in zip(a, b, strict=True)], kept.hexdigest()))
+        held.append((key, int((b - a).sum()), [{"first": int(x), "beyond": int(y)} for x, y in zip(a, b, strict=True)], kept.hexdigest(), longest))
 
     def flush(last: bool) -> Iterator[pa.RecordBatch]:
         if held and (last or len(held) >= 2000):
             columns = list(zip(*held, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], arrow_span), pa.array(columns[3], pa.string())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], arrow_span), pa.array(columns[3], pa.string()), pa.array(columns[4], pa.int64())], names=schema.names)
             held.clear()
 
     return _beside(marks, texts, parts, ["i8", "i8", "i4"], each, flush, schema)
 
 
-def _find(df: DataFrame, id_col: str, text_col: str, length: int, gram: int) -> tuple[DataFrame, DataFrame]:
-    """Documents (id, key, digest, n_bytes), and by key of a text that loses something: whole, n_removed, spans, kept_sha256."""
+def _source(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     ship(df.sparkSession)
-    parts = width(df.sparkSession)
+    return df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+
+
+def _find(source: DataFrame, length: int, gram: int, least_words: int) -> tuple[DataFrame, DataFrame]:
+    """Documents (id, key, digest, n_bytes, n_words), and by key of a text with repeats: n_removed, spans, kept_sha256, longest."""
+    parts = width(source.sparkSession)
     buckets = parts * _BUCKETS
-    source = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     compared = checkpointed(_compared(_dealt(source, length, gram, buckets), parts, buckets))
     wanted = compared.where(F.col("kind") == _WANTED)
     marks = compared.where(F.col("kind") == _MARKS)
     if not wanted.isEmpty():
-        fetched = _fetched(wanted, _texts(source, _filter_of(wanted), buckets), parts, buckets, length)
+        fetched = _fetched(wanted, _texts(source, _filter_of(wanted.select("a")), buckets), parts, buckets, length)
         marks = checkpointed(marks.unionByName(_sorted(fetched, parts, buckets, length)))
     key = F.conv(F.substring(F.hex("digest"), 1, 16), 16, -10).cast("long")
-    docs = compared.where(F.col("kind") == _DOCUMENT).select("id", key.alias("key"), "digest", "n_bytes")
-    copies = docs.groupBy("key").agg(F.count("*").alias("n"), F.first("n_bytes").alias("n_bytes")).where((F.col("n") > 1) & (F.col("n_bytes") >= length)).select("key", F.lit(True).alias("whole"))
-    cut = _cut(marks, _texts(source, _filter_of(marks), buckets), parts, length)
-    lost = cut.join(copies, "key", "full_outer")
-    return docs, lost.select("key", F.coalesce("whole", F.lit(False)).alias("whole"), "n_removed", "spans", "kept_sha256")
+    docs = compared.where(F.col("kind") == _DOCUMENT).select("id", key.alias("key"), "digest", "n_bytes", "n_words")
+    return docs, _cut(marks, _texts(source, _filter_of(marks.select("a")), buckets), parts, length, least_words)
+
+
+def _lost(docs: DataFrame, cut: DataFrame, length: int, least_words: int) -> DataFrame:
+    """By key of a text that loses something: whole (it has copies), n_removed, spans, kept_sha256."""
+    copied = (F.col("n") > 1) & (F.col("n_bytes") >= length) & (F.col("n_words") >= least_words)
+    copies = docs.groupBy("key").agg(F.count("*").alias("n"), F.first("n_bytes").alias("n_bytes"), F.first("n_words").alias("n_words")).where(copied).select("key", F.lit(True).alias("whole"))
+    both = cut.where(F.col("n_removed") > 0).join(copies, "key", "full_outer")
+    return both.select("key", F.coalesce("whole", F.lit(False)).alias("whole"), "n_removed", "spans", "kept_sha256")
 
 
 _SALTS = 8
 
 
-def report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, gram: int | None = None) -> DataFrame:
-    """A row for each row of df: id, n_bytes, n_removed, n_spans, kept_sha256, spans."""
-    docs, lost = _find(df, id_col, text_col, length, gram or max(1, length // 2))
-    # A text with very many copies is one key: its rows are dealt over salts.
-    salted = docs.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(_SALTS)).cast("int"))
-    spread = lost.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+def _salted(df: DataFrame, salt: str, *by: str) -> DataFrame:
+    """df with a salt by row, from the given columns: a text with very many copies is one key, whose rows are dealt over salts."""
+    return df.withColumn(salt, F.pmod(F.xxhash64(*by), F.lit(_SALTS)).cast("int"))
+
+
+def _spread(lost: DataFrame, salt: str) -> DataFrame:
+    return lost.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+
+
+def report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, gram: int | None = None, passage: tuple[int, int] | None = None) -> DataFrame:
+    """A row for each row of df: id, n_bytes, n_removed, n_spans, kept_sha256, spans.
+
+    With passage, (bytes, words), also n_passage: the text's bytes in repeated
+    runs of at least so many bytes and whole words; it must not be longer than
+    length.  Texts whose longest such run is shorter than length are then left
+    out of the search for strings of length.
+    """
+    source = _source(df, id_col, text_col)
+    if passage:
+        short, words = passage
+        if short > length:
+            raise ValueError("a passage must not be longer than a string")
+        docs, runs = _find(source, short, max(1, short // 2), words)
+        runs = checkpointed(runs)
+        passages = _lost(docs, runs, short, words).select("key", F.col("whole").alias("whole_passage"), F.col("n_removed").alias("n_passage"))
+        cut = _find(_among(source, _filter_of(runs.where(F.col("longest") >= length).select("key"))), length, gram or max(1, length // 2), 0)[1]
+        lost = _lost(docs, cut, length, 0).join(passages, "key", "full_outer")
+    else:
+        docs, cut = _find(source, length, gram or max(1, length // 2), 0)
+        lost = _lost(docs, cut, length, 0)
+    joined = _salted(docs, "salt", "id").join(_spread(lost, "salt"), ["key", "salt"], "left")
     all_of_it = F.array(F.struct(F.lit(0).cast("long").alias("first"), F.col("n_bytes").alias("beyond")))
-    joined = salted.join(spread, ["key", "salt"], "left")
     spans = F.when(F.col("whole"), all_of_it).otherwise(F.col("spans"))
+    counted = [F.when(F.col("whole_passage"), F.col("n_bytes")).otherwise(F.coalesce("n_passage", F.lit(0))).cast("long").alias("n_passage")] if passage else []
     return joined.select(
         F.col("id").alias(id_col), "n_bytes",
         F.when(F.col("whole"), F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
         F.coalesce(F.size(spans), F.lit(0)).cast("long").alias("n_spans"),
         F.when(F.col("whole"), F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("kept_sha256", F.lower(F.hex("digest")))).alias("kept_sha256"),
-        spans.alias("spans"),
+        spans.alias("spans"), *counted,
     )
 
 
-def remove(df: DataFrame, text_col: str = "text", length: int = 400, gram: int | None = None) -> DataFrame:
+def remove(df: DataFrame, text_col: str = "text", length: int = 400, gram: int | None = None, least_words: int = 0) -> DataFrame:
     """df with repeated strings cut out of its texts, all columns; a character cut in two goes as a whole."""
-    named = df.select(F.lit(0).alias("id"), F.col(text_col).alias("text"))
-    _, lost = _find(named, "id", "text", length, gram or max(1, length // 2))
-    lost = checkpointed(lost)
-    key_name, note = "key", "lost"
-    while key_name in df.columns or note in df.columns:
-        key_name, note = key_name + "_", note + "_"
+    docs, cut = _find(_source(df.select(F.lit(0).alias("id"), F.col(text_col).alias("text")), "id", "text"), length, gram or max(1, length // 2), least_words)
+    lost = checkpointed(_lost(docs, cut, length, least_words))
+    key_name, note, salt = "key", "lost", "salt"
+    while {key_name, note, salt} & set(df.columns):
+        key_name, note, salt = key_name + "_", note + "_", salt + "_"
     keyed = df.withColumn(key_name, F.conv(F.substring(F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256), 1, 16), 16, -10).cast("long"))
-    joined = keyed.join(lost.select(F.col("key").alias(key_name), F.struct("whole", "spans").alias(note)), key_name, "left")
+    told = _spread(lost.select(F.col("key").alias(key_name), F.struct("whole", "spans").alias(note)), salt)
+    joined = _salted(keyed, salt, *(n for n, t in df.dtypes if "map<" not in t and t != "variant")).join(told, [key_name, salt], "left")
     same = joined.where(F.col(note).isNull()).select(*df.columns)
     changed = joined.where(F.col(note).isNotNull()).select(*df.columns, note)
     names, position = df.columns, df.columns.index(text_col)

@@ -42,13 +42,15 @@ def ship(spark: SparkSession) -> None:
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the cluster's shared folder.
 
-    The folder comes from ``spark.checkpoint.dir``; only where that is unset,
-    as in tests on one machine, is a temporary one chosen.
+    The folder comes from ``spark.checkpoint.dir``; only where that is unset and
+    all runs on one machine, as in tests, is a temporary one chosen.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tessera-checkpoint-"))
     return df.checkpoint(eager=True)
 

@@ -13,8 +13,10 @@ sample of at most ``max_rows`` of them (the rows with the least hashes of their
 ids), beside a small built-in lexicon.  Scoring sees nothing but the text.
 
 Defined results: a null or empty text scores as one without any pattern;
-repeated rows score alike; null ids are kept; without labels only the built-in
-lexicon is used.
+repeated rows score alike and there are no ties; null ids are kept but never
+matched with a label; without labels, or for empty tables, only the built-in
+lexicon is used; a text of any length is scored whole; columns other than those
+named are never read.
 """
 
 from __future__ import annotations
@@ -88,18 +90,19 @@ def reported() -> Transducer:
 
 
 def scoring(reach: int = 3) -> Transducer:
-    """Weights: an insult 1, more with a target among the words before; a threat only with one; denied and quoted ones little."""
+    """Weights: an insult by its clause, most with a target among the words before, more after another insult than alone; a threat only with a target; denied and quoted ones little."""
     arcs = {}
     for left in range(reach + 1):
-        down = max(left - 1, 0)
-        for s in range(8):
-            arcs[left, s] = (down, s, 0.0)
-        arcs[left, TARGET] = (reach, TARGET, 0.0)
-        arcs[left, INSULT] = (down, INSULT, 1.3 if left else 1.0)
-        arcs[left, THREAT] = (down, THREAT, 1.0 if left else 0.0)
-        arcs[left, DENIED] = (down, DENIED, 0.15)
-        arcs[left, QUOTED] = (down, QUOTED, 0.4)
-    return Transducer(reach + 1, arcs)
+        for seen in (0, 1):  # whether an insult came before
+            here, down = 2 * left + seen, 2 * max(left - 1, 0)
+            for s in range(8):
+                arcs[here, s] = (down + seen, s, 0.0)
+            arcs[here, TARGET] = (2 * reach + seen, TARGET, 0.0)
+            arcs[here, INSULT] = (down + 1, INSULT, 1.3 if left else 1.0 if seen else 0.7)
+            arcs[here, THREAT] = (down + 1, THREAT, 1.0 if left else 0.0)
+            arcs[here, DENIED] = (down + seen, DENIED, 0.15)
+            arcs[here, QUOTED] = (down + seen, QUOTED, 0.4)
+    return Transducer(2 * (reach + 1), arcs)
 
 
 GRAMMAR = negation().then(reported()).then(scoring())
@@ -107,7 +110,7 @@ GRAMMAR = negation().then(reported()).then(scoring())
 
 def _hash(text: str) -> int:
     chunk = bk.Chunk(pa.RecordBatch.from_arrays([pa.array([text], pa.string())], names=["text"]), "text")
-    return int(chunk.span_hash(chunk.prefix_hash(bk.FOLDED), np.array([0]), np.array([len(chunk.data)]))[0])
+    return int(chunk.span_hash(np.array([0]), np.array([len(chunk.data)]), folded=True)[0])
 
 
 @dataclass
@@ -128,8 +131,7 @@ class Model:
 
 def _words(chunk: bk.Chunk) -> tuple[np.ndarray, ...]:
     starts, ends, first = chunk.runs(bk.ALNUM_WORD)
-    prefix = chunk.prefix_hash(bk.FOLDED)
-    return starts, ends, first, prefix, chunk.span_hash(prefix, starts, ends)
+    return starts, ends, first, chunk.span_hash(starts, ends, folded=True)
 
 
 def _look(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -142,17 +144,17 @@ def _look(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 def pattern_sums(chunk: bk.Chunk, model: Model, tables: list, symbols: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """By row, the sum of clause scores and how many clauses match."""
-    starts, ends, first, prefix, words = _words(chunk)
+    starts, ends, first, words = _words(chunk)
     row = bk.row_of(first)
     weight = np.zeros(len(words))
     for length, keys, weights in tables:
         at = np.arange(len(words)) if length == 0 else np.flatnonzero(ends - starts >= length)
-        values = words if length == 0 else chunk.span_hash(prefix, starts[at], starts[at] + length)
+        values = words if length == 0 else chunk.span_hash(starts[at], starts[at] + length, folded=True)
         place, there = _look(keys, values)
         weight[at[there]] = np.maximum(weight[at[there]], weights[place[there]])
     place, there = _look(symbols[0], words)
     symbol = np.where(there, symbols[1][place], OTHER) if len(words) else np.zeros(0, np.int64)
-    symbol[weight > 0] = INSULT
+    symbol[(weight > 0) & (symbol == OTHER)] = INSULT  # a learned word that the grammar knows keeps its part in it
     weight[(symbol == THREAT)] = 2.0
     sums, matched = np.zeros(chunk.rows), np.zeros(chunk.rows, dtype=np.int64)
     hits = np.flatnonzero((symbol == INSULT) | (symbol == THREAT))
@@ -179,12 +181,12 @@ def _symbols() -> tuple[np.ndarray, np.ndarray]:
 
 def _units(chunk: bk.Chunk) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """Length, rows and hashes of the distinct whole words and beginnings of words in each row, and one of 63 bits for the next word of each."""
-    starts, ends, first, prefix, words = _words(chunk)
+    starts, ends, first, words = _words(chunk)
     row = bk.row_of(first)
     following = np.int64(1) << (bk.mix(np.append(words[1:], np.zeros(min(1, len(words)), np.uint64))) % np.uint64(63)).astype(np.int64)
     for length in (0, *range(_SHORTEST, _LONGEST + 1)):
         at = np.arange(len(words)) if length == 0 else np.flatnonzero(ends - starts >= length)
-        values = words[at] if length == 0 else chunk.span_hash(prefix, starts[at], starts[at] + length)
+        values = words[at] if length == 0 else chunk.span_hash(starts[at], starts[at] + length, folded=True)
         order = np.lexsort((values, row[at]))
         v, r = values[order], row[at][order]
         new = np.ones(len(v), dtype=bool)
@@ -217,7 +219,7 @@ def _counts(sample: DataFrame, only: dict[int, np.ndarray] | None) -> DataFrame:
     return sample.mapInArrow(run, _COUNTED).groupBy("length", "unit", "toxic").agg(F.sum("n").alias("n"), F.bit_count(F.bit_or("next")).alias("contexts"))
 
 
-def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 20_000, max_units: int = 50_000, least_texts: int = 6, least_contexts: int = 6) -> Model:
+def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 20_000, least_texts: int = 6, least_contexts: int = 6) -> Model:
     """Learn units and the logistic function from at most max_rows labelled texts.
 
     A unit must stand before several different words: copies of one toxic text
@@ -230,20 +232,20 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
     part = F.pmod(F.xxhash64("id"), F.lit(3))
     sample = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select("text", "label", part.alias("part")).persist()
     # The logistic function is fitted on a third that the units of this first model have not seen.
-    model = _learned(sample.where("part <> 0"), max_units, least_texts, least_contexts)
+    model = _learned(sample.where("part <> 0"), least_texts, least_contexts)
     _calibrate(sample.where("part = 0"), model)
-    model.units = _learned(sample, max_units, least_texts, least_contexts).units
+    model.units = _learned(sample, least_texts, least_contexts).units
     sample.unpersist()
     return model
 
 
-def _learned(sample: DataFrame, max_units: int, least_texts: int, least_contexts: int) -> Model:
+def _learned(sample: DataFrame, least_texts: int, least_contexts: int) -> Model:
     """A model with the built-in insults and the sample's units."""
     model = Model(units={0: {_hash(w): 2.0 for w in WORDS[INSULT]}})
     sizes = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     if toxic and clean:
-        often = _counts(sample.where("label = 1"), None).where((F.col("n") >= least_texts) & (F.col("contexts") >= least_contexts)).orderBy(F.desc("n"), "length", "unit").limit(max_units).collect()
+        often = _counts(sample.where("label = 1"), None).where((F.col("n") >= least_texts) & (F.col("contexts") >= least_contexts)).collect()  # of a sample of bounded size
         only: dict[int, list[int]] = {}
         for r in often:
             only.setdefault(r["length"], []).append(r["unit"] & (1 << 64) - 1)

@@ -120,3 +120,18 @@ def test_parity_bounds_the_difference():
         sets.size = np.diff(sets.first)
         bits = jaccard._folded(jaccard.bitmaps(sets))
         assert np.bitwise_count(bits[0] ^ bits[1]).sum() <= len(np.setxor1d(a, b))
+
+
+def test_words_that_rolling_hashes_confuse(spark):
+    """Two words that are one under any polynomial modulo a power of two."""
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(4096))
+    rows = [(1, word), (2, word.translate(str.maketrans("ab", "ba"))), (3, word.upper())]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}
+
+
+def test_keep_one_goes_by_row(spark):
+    """An id that stands for two texts loses only the one that has a smaller copy."""
+    rows = [(3, "one text of six short words"), (5, "one text of six short words"), (5, "another text with quite different words")]
+    kept = jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, kept)) == [rows[0], rows[2]]

@@ -1,5 +1,6 @@
 """Operators that learn: 1 toxicity and 8 language."""
 
+import unicodedata
 from collections import Counter
 
 import pytest
@@ -36,15 +37,56 @@ def test_language_cases(table, request, documents):
                 assert r["lang_pred"] in profiles
 
 
-def test_profiles_are_rankings(spark):
-    df = spark.createDataFrame([("x", "aba aba"), ("y", "zzz"), (None, "qqq")], "lang string, text string")
-    profiles = language.fit(df, ranked=5)
-    assert list(profiles) == ["x", "y"]
-    ranks = sorted(r for r in profiles["x"].tolist() if r < 5)
-    assert ranks == [0, 1, 2, 3, 4]
-    code = lambda *k: k[0] << 12 | k[1] << 6 | k[2]
-    # a stands four times, alone and twice before a blank.
-    assert profiles["x"][code(1, 0, 0)] == 0
+def grams(text):
+    """Counts of the n-grams of one to three letters, and of letters beside a blank, of a text's words."""
+    low = "".join((c.lower()[0] if unicodedata.category(c)[0] == "L" else " ") for c in text or "")
+    out = Counter()
+    for word in low.split():
+        padded = f" {word} "
+        out.update(word)
+        out.update(padded[i : i + 2] for i in range(len(padded) - 1))
+        out.update(padded[i : i + 3] for i in range(len(padded) - 2))
+    return out
+
+
+def ranking(counts, ranked):
+    return [g for g, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:ranked]]
+
+
+def number(gram):
+    return sum(ord(c) << 21 * (2 - i) for i, c in enumerate(gram))
+
+
+def nearest(text, profiles, ranked):
+    own = ranking(grams(text), ranked)
+    apart = {lang: sum(abs(p.index(g) - i) if g in p else ranked for i, g in enumerate(own)) for lang, p in profiles.items()}
+    if not own or not profiles:
+        return "und", 0.0
+    best = min(apart, key=lambda lang: (apart[lang], lang))
+    return best, 1 - apart[best] / (len(own) * ranked)
+
+
+@pytest.mark.parametrize("table,ranked", [("awkward", 300), ("awkward", 7), ("documents", 300)])
+def test_languages_by_brute_force(table, ranked, request, spark):
+    df = request.getfixturevalue(table)
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in df.collect()]
+    totals = {}
+    for _, text, lang in rows:
+        if lang is not None:
+            totals.setdefault(lang, Counter()).update(grams(text))
+    profiles = {lang: ranking(n, ranked) for lang, n in totals.items()}
+    got = language.fit(df, ranked=ranked)
+    assert {lang: p.tolist() for lang, p in got.items()} == {lang: [number(g) for g in p] for lang, p in profiles.items()}
+    found = Counter((r["doc_id"], r["lang_pred"], round(r["score"], 12)) for r in language.predict(df, got, ranked=ranked).collect())
+    assert found == Counter((i, lang, round(score, 12)) for i, lang, score in ((i, *nearest(t, profiles, ranked)) for i, t, _ in rows))
+
+
+def test_languages_of_other_scripts(spark):
+    """Letters of any script stand for themselves."""
+    texts = {"ru": "съешь же ещё этих мягких французских булок да выпей чаю", "uk": "чуєш їх доцю га кумедна ж ти прощайся без ґольфів", "el": "ξεσκεπάζω την ψυχοφθόρα βδελυγμία", "ja": "いろはにほへと ちりぬるを わかよたれそ"}
+    df = spark.createDataFrame([(lang, t) for lang, t in texts.items()], "lang string, text string")
+    queries = spark.createDataFrame([(1, "этих французских булок"), (2, "доцю кумедна їх"), (3, "την ψυχοφθόρα"), (4, "ちりぬるを")], "doc_id long, text string")
+    assert {r["doc_id"]: r["lang_pred"] for r in language.predict(queries, language.fit(df)).collect()} == {1: "ru", 2: "uk", 3: "el", 4: "ja"}
 
 
 # 1: toxicity

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -36,6 +37,40 @@ def expected(rows, length):
     return Counter(out)
 
 
+def runs(texts, length, words):
+    """By text, the maximal repeated runs of at least so many whole words."""
+    often = Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
+    out = []
+    for t in texts:
+        gone = np.zeros(len(t) + 2, dtype=bool)
+        for i in range(len(t) - length + 1):
+            if often[t[i : i + length]] > 1:
+                gone[i + 1 : i + 1 + length] = True
+        edges = np.flatnonzero(np.diff(gone.astype(int)))
+        spans = list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
+        whole = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", t)]
+        out.append([(a, b) for a, b in spans if sum(a <= x and y <= b for x, y in whole) >= words])
+    return out
+
+
+@pytest.mark.parametrize("table,short,words,length", [("awkward", 40, 6, 60), ("awkward", 30, 0, 30), ("documents", 200, 51, 400)])
+def test_passages_of_words(table, short, words, length, request):
+    df = request.getfixturevalue(table)
+    rows = [(r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()]
+    spans = runs([(t or "").encode() for _, t in rows], short, words)
+    reported = repeats.report(df, length=length, passage=(short, words)).collect()
+    assert Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in reported) == expected(rows, length)
+    assert Counter((r["doc_id"], r["n_passage"]) for r in reported) == Counter((d, sum(b - a for a, b in s)) for (d, _), s in zip(rows, spans, strict=True))
+    out = []
+    for (d, t), s in zip(rows, spans, strict=True):
+        raw, at, left = (t or "").encode(), 0, ""
+        for a, b in s:
+            left += raw[at:a].decode("utf-8", "ignore")
+            at = b
+        out.append((d, left + raw[at:].decode("utf-8", "ignore") if s else t))
+    assert Counter((r["doc_id"], r["text"]) for r in repeats.remove(df, length=short, least_words=words).collect()) == Counter(out)
+
+
 def got(df, length):
     return Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in repeats.report(df, length=length).collect())
 

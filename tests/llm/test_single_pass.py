@@ -269,3 +269,12 @@ def test_license_spans(spark):
     texts = ["words before " + notice["mpl"] + " and after", " ".join(edited), " ".join(bsd[:6]), "nothing of the kind", (notice["isc"] + " ") * 50]
     got = {r["doc_id"]: r["labels"] for r in licenses.detect(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert got == {0: "mpl", 1: "bsd", 2: "", 3: "", 4: "isc"}
+
+
+@pytest.mark.parametrize("template", range(len(licenses.TEMPLATES)))
+def test_notices_one_after_another(spark, template):
+    """However often a notice stands, and whatever stands between, its label is found."""
+    label, text = licenses.TEMPLATES[template]
+    rows = [(n, (text + between) * n) for n in (1, 2, 4, 9) for between in (". ",)] + [(100 + n, (text + " and " * n) * 4) for n in range(1, 6)]
+    got = licenses.detect(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows) and all(label in r["labels"].split(",") and r["score"] == 1.0 for r in got)
