@@ -57,7 +57,7 @@ def op8_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.report(_table(spark, sf_dir, "documents")).drop("spans")
+    return repeats.report(_table(spark, sf_dir, "documents"), passage=repeats.PASSAGE).drop("spans")
 
 
 def op10_partenum_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,7 +92,7 @@ h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(rang
 k AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM m GROUP BY 1)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN h ON h.doc_id = d.doc_id LEFT JOIN k ON k.doc_id = d.doc_id""",
-    "op9_suffix_repeats": """
+    "op9_suffix_repeats": r"""
 WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
 p AS (SELECT doc_id, b, unnest(range(1, CAST(n - 398 AS BIGINT))) AS i FROM d WHERE n >= 400), g AS (SELECT doc_id, i, md5(b[i : i + 399]) AS g FROM p),
 m AS (SELECT doc_id, i FROM g WHERE g IN (SELECT g FROM g GROUP BY 1 HAVING count(*) > 1)),
@@ -100,8 +100,18 @@ h AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY
 k AS (SELECT doc_id, i, sum(h) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM h), s AS (SELECT doc_id, min(i) AS a, max(i) + 399 AS z FROM k GROUP BY doc_id, k),
 c AS (SELECT doc_id, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) + 1 AS f, a - 1 AS t FROM s UNION ALL SELECT doc_id, max(z) + 1, NULL FROM s GROUP BY 1),
 x AS (SELECT doc_id, sha256(unhex(string_agg(CASE WHEN coalesce(t, n) >= f THEN hex(b[f : coalesce(t, n)]) ELSE '' END, '' ORDER BY f))) AS kept FROM c JOIN d USING (doc_id) GROUP BY 1),
-r AS (SELECT doc_id, CAST(sum(z - a + 1) AS BIGINT) AS removed, count(*) AS spans FROM s GROUP BY 1)
-SELECT d.doc_id, n AS n_bytes, coalesce(removed, 0) AS n_removed, coalesce(spans, 0) AS n_spans, coalesce(kept, sha256(b)) AS kept_sha256 FROM d LEFT JOIN x ON x.doc_id = d.doc_id LEFT JOIN r ON r.doc_id = d.doc_id""",
+r AS (SELECT doc_id, CAST(sum(z - a + 1) AS BIGINT) AS removed, count(*) AS spans FROM s GROUP BY 1),
+pp AS (SELECT doc_id, b, unnest(range(1, CAST(n - 198 AS BIGINT))) AS i FROM d WHERE n >= 200), pg AS (SELECT doc_id, i, md5(b[i : i + 199]) AS g FROM pp),
+pm AS (SELECT doc_id, i FROM pg WHERE g IN (SELECT g FROM pg GROUP BY 1 HAVING count(*) > 1)),
+ph AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 200 THEN 0 ELSE 1 END AS h FROM pm),
+pk AS (SELECT doc_id, i, sum(h) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM ph), ps AS (SELECT doc_id, min(i) AS a, max(i) + 199 AS z FROM pk GROUP BY doc_id, k),
+y AS (SELECT doc_id, i, b[i : i] NOT IN ('\x20'::BLOB, '\x09'::BLOB, '\x0A'::BLOB, '\x0B'::BLOB, '\x0C'::BLOB, '\x0D'::BLOB) AS w FROM (SELECT doc_id, b, unnest(range(1, CAST(n + 1 AS BIGINT))) AS i FROM d WHERE doc_id IN (SELECT doc_id FROM ps))),
+e AS (SELECT doc_id, i, w AND NOT coalesce(lag(w) OVER (PARTITION BY doc_id ORDER BY i), FALSE) AS f, w AND NOT coalesce(lead(w) OVER (PARTITION BY doc_id ORDER BY i), FALSE) AS t FROM y),
+wf AS (SELECT doc_id, i, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM e WHERE f), wt AS (SELECT doc_id, i, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM e WHERE t),
+q AS (SELECT ps.doc_id, a, z FROM ps JOIN wf ON wf.doc_id = ps.doc_id AND wf.i >= a JOIN wt ON wt.doc_id = wf.doc_id AND wt.k = wf.k AND wt.i <= z GROUP BY 1, 2, 3 HAVING count(*) >= 51),
+qs AS (SELECT doc_id, CAST(sum(z - a + 1) AS BIGINT) AS passage FROM q GROUP BY 1)
+SELECT d.doc_id, n AS n_bytes, coalesce(removed, 0) AS n_removed, coalesce(spans, 0) AS n_spans, coalesce(kept, sha256(b)) AS kept_sha256, coalesce(passage, 0) AS n_passage
+FROM d LEFT JOIN x ON x.doc_id = d.doc_id LEFT JOIN r ON r.doc_id = d.doc_id LEFT JOIN qs ON qs.doc_id = d.doc_id""",
     "op10_partenum_join": f"""
 WITH RECURSIVE d AS (SELECT doc_id, {_SPACED} AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, CAST(greatest(len(w) - 3, 2) AS BIGINT)), lambda i: array_to_string(w[i : i + 4], ' ') || '#' || least(len(w), 5))) AS g FROM d WHERE len(w) > 0),
