@@ -3,6 +3,13 @@
 quality rules -> near duplicates -> repeated passages -> benchmark passages ->
 tokens.  Each stage is (spark, docs, sf_dir) -> DataFrame and works on all rows
 its predecessor kept; all but the last return the columns of documents.
+
+Defined results: a null or empty text has too few words and goes in the first
+stage; null ids, repeated ids and repeated rows are kept row by row, but for
+near_duplicates, which keeps one row of each group, that with the least id (a
+null id comes last; ties are settled by digests of the row); an empty table, or
+one of which nothing is kept, gives an empty one; a text of any length is worked
+on whole; further columns pass through until the last stage.
 """
 
 from __future__ import annotations
@@ -15,9 +22,14 @@ from pyspark.sql import functions as F
 from tessera.llm import bpe, decontaminate, jaccard, quality, repeats
 
 
+def _resized(docs: DataFrame) -> DataFrame:
+    """docs with n_chars counted again, in the same columns."""
+    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the line-first rules keep."""
-    return quality.clean(docs)
+    """Documents that the line-first rules keep, without their failing lines."""
+    return _resized(quality.clean(docs, drop_lines=True))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,9 +38,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without strings of 400 bytes that occur twice; documents with nothing but white space left go."""
-    left = repeats.remove(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return left.where(F.col("text").rlike(r"\S")).select(*docs.columns)
+    """Texts without passages of over 50 words that occur twice; documents with nothing but white space left go."""
+    length, words = repeats.PASSAGE
+    left = _resized(repeats.remove(docs, length=length, least_words=words))
+    return left.where(F.col("text").rlike(r"\S"))
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
