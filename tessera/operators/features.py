@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import exprs as x
+from tessera.operators.ordering import quantiles
 
 
 def weighted_quantiles(df: DataFrame, key: str, value: str, weight: str, order: str, qs: dict[str, float]) -> DataFrame:
@@ -72,15 +73,17 @@ def entropy(values: Column) -> Column:
 def filled_with_median(df: DataFrame, columns: list[str]) -> DataFrame:
     """Missing values of the columns at the column's median."""
     good = lambda c: F.when(x.finite(F.col(c)), F.col(c))
-    medians = df.agg(*(F.percentile_approx(good(c), 0.5, 1_000_000).alias(f"_m_{c}") for c in columns))
-    joined = df.join(F.broadcast(medians), F.lit(True))  # one row
+    joined = df
+    for c in columns:
+        joined = joined.join(F.broadcast(quantiles(df, c, {f"_m_{c}": 0.5}, linear=False)), F.lit(True))  # one row
     return joined.select(*(F.coalesce(good(c), F.col(f"_m_{c}")).alias(c) if c in columns else F.col(c) for c in df.columns))
 
 
 def clipped_log(df: DataFrame, columns: list[str], low: float = 0.01, high: float = 0.99) -> DataFrame:
     """log1p of the columns, first clipped to quantiles of what is there."""
-    bounds = df.agg(*(F.percentile_approx(c, q, 1_000_000).alias(f"_{n}_{c}") for c in columns for n, q in (("lo", low), ("hi", high))))
-    joined = df.join(F.broadcast(bounds), F.lit(True))
+    joined = df
+    for c in columns:
+        joined = joined.join(F.broadcast(quantiles(df, c, {f"_lo_{c}": low, f"_hi_{c}": high}, linear=False)), F.lit(True))
     log = lambda c: F.log1p(F.greatest(F.least(F.greatest(F.col(c), F.col(f"_lo_{c}")), F.col(f"_hi_{c}")), F.lit(0.0)))
     return joined.select(*(F.when(F.col(c).isNotNull(), log(c)).alias(c) if c in columns else F.col(c) for c in df.columns))
 

@@ -14,6 +14,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import exprs as x
+from tessera.plans import shipping
+
+shipping.by_value(__name__)
 
 
 @dataclass(frozen=True)

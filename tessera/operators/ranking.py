@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import exprs as x
+from tessera.plans import shipping
+
+shipping.by_value(__name__)
 
 
 def merged(candidates: DataFrame) -> DataFrame:

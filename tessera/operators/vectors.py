@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
+from typing import TYPE_CHECKING
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,6 +11,9 @@ from pyspark.sql import functions as F
 from tessera.functions import exprs as x
 from tessera.plans.materialize import checkpointed
 
+if TYPE_CHECKING:
+    import pandas as pd
+
 
 def top_k(pairs: DataFrame, query: str, score: str, ties: str, k: int) -> DataFrame:
     """The k best rows of each query by score, then ties; adds rank from 1."""
@@ -17,59 +21,73 @@ def top_k(pairs: DataFrame, query: str, score: str, ties: str, k: int) -> DataFr
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def knn(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "id", vector_col: str = "vector", group_col: str | None = None, block: int = 512) -> DataFrame:
+def blockwise(left: DataFrame, right: DataFrame, key: str, compare: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, block: int = 1024) -> DataFrame:
+    """Every block of left rows beside every block of right rows: compare(q, c), columns named q_ and c_, either may be empty.
+
+    Rows are dealt to blocks of about that many by the key's hash, and a task
+    gets one pair of blocks.  Neither side passes through the driver, and a
+    task's memory depends on the block only.
+    """
+    blocks = lambda df: max(1, -(-df.count() // block))
+    n_left, n_right = blocks(left), blocks(right)
+    dealt = lambda n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    # Both sides may come from one table: new names keep a cogroup's columns apart.
+    named = lambda df, side: df.select(*(F.col(c).alias(f"{side}_{c}") for c in df.columns))
+    q = named(left.withColumn("i", dealt(n_left)).withColumn("j", every(n_right)), "q")
+    c = named(right.withColumn("j", dealt(n_right)).withColumn("i", every(n_left)), "c")
+    return q.groupBy("q_i", "q_j").cogroup(c.groupBy("c_i", "c_j")).applyInPandas(compare, schema)
+
+
+def knn(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "id", vector_col: str = "vector", group_col: str | None = None, block: int = 4096) -> DataFrame:
     """Exact inner-product neighbours: (query, candidate, score, rank), by score and then id.
 
-    Queries are packed into blocks of matrix rows; each block meets every
-    partition of the vectors, which keeps the block's k best of its rows, so
-    the shuffle carries k rows a query and partition.  A query skips itself and
-    candidates of its own group.
+    Blocks of queries meet blocks of vectors as a matrix product, which keeps
+    each query's k best, so the last shuffle carries k rows a query and block.
+    A query skips itself and candidates of its own group.
     """
-    import numpy as np
-    import pandas as pd
+    columns = [F.col(id_col).alias("id"), F.col(vector_col).alias("vector")] + ([F.col(group_col).alias("group")] if group_col else [])
+    kind = dict(vectors.dtypes)[id_col]
 
-    spark = vectors.sparkSession
-    columns = [id_col, vector_col] + ([group_col] if group_col else [])
+    def search(mine: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
+        import numpy as np
+        import pandas as pd
+
+        if not len(mine) or not len(others):
+            return pd.DataFrame({"query": mine["q_id"][:0], "candidate": others["c_id"][:0], "score": np.zeros(0)})
+        own, ids = others["c_id"].to_numpy(), mine["q_id"].to_numpy()
+        order = np.argsort(own, kind="stable")  # so that equal scores come in order of id
+        own = own[order]
+        scores = np.stack(mine["q_vector"].to_numpy()).astype(np.float64) @ np.stack(others["c_vector"].to_numpy()).astype(np.float64)[order].T
+        refused = ids[:, None] == own[None, :]
+        if group_col:
+            refused |= mine["q_group"].to_numpy()[:, None] == others["c_group"].to_numpy()[order][None, :]
+        scores[refused] = -np.inf
+        best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+        score = np.take_along_axis(scores, best, axis=1)
+        taken = score > -np.inf
+        return pd.DataFrame({"query": np.repeat(ids, best.shape[1])[taken.ravel()], "candidate": own[best.ravel()][taken.ravel()], "score": score.ravel()[taken.ravel()]})
+
+    found = blockwise(queries.select(*columns), vectors.select(*columns), "id", search, f"query {kind}, candidate {kind}, score double", block)
+    return top_k(found, "query", "score", "candidate", k)
+
+
+def above(vectors: DataFrame, threshold: float, id_col: str = "id", vector_col: str = "vector", block: int = 4096) -> DataFrame:
+    """(query, candidate): pairs whose inner product reaches a threshold, by blocks."""
     kind = dict(vectors.dtypes)[id_col]
-    schema = f"query {kind}, candidate {kind}, score double"
-    best = None
-    # One block at a time is on the driver: its size is bounded by block x dimension.
-    rows = queries.select(*columns).orderBy(id_col).toLocalIterator()
-    blocks: list[list] = [[]]
-    for row in rows:
-        if len(blocks[-1]) == block:
-            blocks.append([])
-        blocks[-1].append(row)
-    for part in blocks:
-        if not part:
-            continue
-        ids = np.array([r[0] for r in part])
-        matrix = spark.sparkContext.broadcast(np.array([r[1] for r in part], dtype=np.float64))
-        groups = np.array([r[2] for r in part], dtype=object) if group_col else None
-
-        def search(frames: Iterator[pd.DataFrame], ids=ids, matrix=matrix, groups=groups) -> Iterator[pd.DataFrame]:
-            kept = []
-            for frame in frames:
-                if not len(frame):
-                    continue
-                scores = matrix.value @ np.stack(frame[vector_col].to_numpy()).astype(np.float64).T
-                own = frame[id_col].to_numpy()
-                for i in range(len(ids)):
-                    line = scores[i]
-                    ok = own != ids[i]
-                    if groups is not None:
-                        ok &= frame[group_col].to_numpy() != groups[i]
-                    at = np.flatnonzero(ok)
-                    order = at[np.lexsort((own[at], -line[at]))[:k]]
-                    kept.append(pd.DataFrame({"query": ids[i], "candidate": own[order], "score": line[order]}))
-            if kept:
-                yield pd.concat(kept).sort_values(["query", "score", "candidate"], ascending=[True, False, True]).groupby("query").head(k)
-
-        found = vectors.select(*columns).mapInPandas(search, schema)
-        best = found if best is None else best.unionByName(found)
-    if best is None:
-        best = spark.createDataFrame([], schema)
-    return top_k(best, "query", "score", "candidate", k)
+
+    def search(mine: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
+        import numpy as np
+        import pandas as pd
+
+        if not len(mine) or not len(others):
+            return pd.DataFrame({"query": mine["q_id"][:0], "candidate": others["c_id"][:0]})
+        ids, own = mine["q_id"].to_numpy(), others["c_id"].to_numpy()
+        i, j = np.nonzero(np.stack(mine["q_vector"].to_numpy()).astype(np.float64) @ np.stack(others["c_vector"].to_numpy()).astype(np.float64).T >= threshold)
+        return pd.DataFrame({"query": ids[i], "candidate": own[j]}).loc[ids[i] != own[j]]
+
+    e = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("vector"))
+    return blockwise(e, e, "id", search, f"query {kind}, candidate {kind}", block)
 
 
 def tag_weights(owners: DataFrame) -> DataFrame:
@@ -96,16 +114,6 @@ def tag_cosine(weights: DataFrame, queries: DataFrame, most_owners: int | None =
     packed = checkpointed(owned.where(F.size("owned") > 0).select("artist_id", "norm", F.col("owned.tag").alias("tags"), F.col("owned.idf").alias("idfs")))
     asked = checkpointed(packed.join(queries.select("artist_id").distinct(), "artist_id", "left_semi"))
 
-    def blocks(df: DataFrame) -> int:
-        return max(1, -(-df.count() // block))
-
-    n_asked, n_packed = blocks(asked), blocks(packed)
-    dealt = lambda n: F.pmod(F.xxhash64("artist_id"), n).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    # Both sides come from one table: new names keep a cogroup's columns apart.
-    named = lambda df, side: df.select(*(F.col(c).alias(f"{side}_{c}") for c in df.columns))
-    left = named(asked.withColumn("i", dealt(n_asked)).withColumn("j", every(n_packed)), "q")
-    right = named(packed.withColumn("j", dealt(n_packed)).withColumn("i", every(n_asked)), "c")
     kind = dict(weights.dtypes)["artist_id"]
 
     def compare(mine: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
@@ -125,7 +133,20 @@ def tag_cosine(weights: DataFrame, queries: DataFrame, most_owners: int | None =
         score = common[i, j] / (mine["q_norm"].to_numpy()[i] * others["c_norm"].to_numpy()[j])
         return pd.DataFrame({"query": a[i], "candidate": b[j], "score": score})
 
-    return left.groupBy("q_i", "q_j").cogroup(right.groupBy("c_i", "c_j")).applyInPandas(compare, f"query {kind}, candidate {kind}, score double")
+    return blockwise(asked, packed, "artist_id", compare, f"query {kind}, candidate {kind}, score double", block)
+
+
+def tag_pair_cosine(weights: DataFrame, pairs: DataFrame) -> DataFrame:
+    """pairs (x, y) of artists with score: idf cosine, 1 for an artist with itself, 0 without a common tag, null where either has none."""
+    norms = weights.groupBy("artist_id").agg(F.sqrt(F.sum(F.col("idf") * F.col("idf"))).alias("norm"))
+    named = lambda df, a, n: df.withColumnRenamed("artist_id", a).withColumnRenamed("norm", n)
+    mine = weights.select(F.col("artist_id").alias("x"), "tag", "idf")
+    other = weights.select(F.col("artist_id").alias("y"), "tag")
+    distinct = pairs.select("x", "y").distinct()
+    common = distinct.join(mine, "x").join(other, ["y", "tag"]).groupBy("x", "y").agg(F.sum(F.col("idf") * F.col("idf")).alias("common"))
+    scored = distinct.join(named(norms, "x", "nx"), "x").join(named(norms, "y", "ny"), "y").join(common, ["x", "y"], "left")
+    score = F.when(F.col("x") == F.col("y"), 1.0).otherwise(F.coalesce("common", F.lit(0.0)) / (F.col("nx") * F.col("ny")))
+    return pairs.join(scored.select("x", "y", score.alias("score")), ["x", "y"], "left")
 
 
 def standardized(df: DataFrame, columns: list[str], limit: float = 10.0) -> DataFrame:

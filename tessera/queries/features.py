@@ -209,7 +209,12 @@ def t_location(spark: S, d: str) -> D:
     return c.select("c_custkey", F.col("c_acctbal").alias("latitude"), F.when(F.col("c_acctbal") < 0, 1.0).otherwise(0.0).alias("location_missing"), "orders").fillna(0, ["orders"])
 
 
-@query("str_era", "WITH t AS (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'the ' || year(o_orderdate) // 10 * 10 || 's' WHEN 1 THEN 'rock 80s hits' WHEN 2 THEN '00s' ELSE 'no era' END AS t FROM orders), m AS (SELECT o_orderkey, regexp_extract(t, '(?:^|[^0-9])((?:19[2-9]|20[01])0)s?(?:[^0-9]|$)', 1) AS l, regexp_extract(t, '(?:^|[^0-9])((?:[2-9]0|00))s(?:[^0-9]|$)', 1) AS s FROM t) SELECT o_orderkey, CASE WHEN l <> '' THEN CAST(l AS INT) WHEN s = '00' THEN 2000 WHEN s <> '' THEN CAST(s AS INT) + 1900 END AS era FROM m")
+_ERA = """WITH t AS (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'the ' || year(o_orderdate) // 10 * 10 || 's' WHEN 1 THEN 'rock 80s hits' WHEN 2 THEN '00s' ELSE 'no era' END AS t FROM orders),
+n AS (SELECT o_orderkey, list_filter(regexp_extract_all(t, '([0-9]+)', 1), lambda w: len(w) = 4 AND w[4] = '0' AND CAST(w AS INT) BETWEEN 1920 AND 2010) AS years, list_filter(regexp_extract_all(t, '([0-9]+)s', 1), lambda w: len(w) = 2 AND w[2] = '0' AND w <> '10') AS decades FROM t)
+SELECT o_orderkey, CASE WHEN len(years) > 0 THEN CAST(years[1] AS INT) WHEN decades[1] = '00' THEN 2000 WHEN len(decades) > 0 THEN 1900 + CAST(decades[1] AS INT) END AS era FROM n"""
+
+
+@query("str_era", _ERA)
 def str_era(spark: S, d: str) -> D:
     key = F.col("o_orderkey") % 4
     text = F.when(key == 0, F.concat(F.lit("the "), x.decade(F.year("o_orderdate")).cast("string"), F.lit("s"))).when(key == 1, "rock 80s hits").when(key == 2, "00s").otherwise("no era")
@@ -226,10 +231,13 @@ def d_split_artist(spark: S, d: str) -> D:
     return v.tracks(spark, d).select("track_id", "artist_id", label.alias("label"), F.when(F.col("artist_id") % 10 == 0, "test").when(part < 1000, "validation").otherwise("train").alias("split"))
 
 
-@query("d_isolation", "SELECT 0::BIGINT AS shared_artists")
+@query("d_isolation", v.sql(""", s AS (SELECT artist_id, release_id % 7 = 0 AS odd FROM tracks), by_artist AS (SELECT artist_id, count(DISTINCT CASE WHEN artist_id % 10 = 0 THEN 'test' ELSE 'train' END) AS n FROM s GROUP BY 1), by_row AS (SELECT artist_id, count(DISTINCT odd) AS n FROM s GROUP BY 1)
+SELECT (SELECT count(*) FROM by_artist WHERE n > 1) AS by_artist, (SELECT count(*) FROM by_row WHERE n > 1) AS by_row""", "tracks"))
 def d_isolation(spark: S, d: str) -> D:
-    shared = d_split_artist(spark, d).groupBy("artist_id").agg(F.countDistinct("split").alias("n")).where("n > 1")
-    return shared.agg(F.count("*").alias("shared_artists"))
+    """Artists in two splits: of the split by artist, and of one by release, which breaks the rule."""
+    t = v.tracks(spark, d).select("artist_id", F.when(F.col("artist_id") % 10 == 0, "test").otherwise("train").alias("split"), (F.col("release_id") % 7 == 0).alias("odd"))
+    n = t.groupBy("artist_id").agg(F.countDistinct("split").alias("a"), F.countDistinct("odd").alias("b"))
+    return n.agg(F.count_if(F.col("a") > 1).alias("by_artist"), F.count_if(F.col("b") > 1).alias("by_row"))
 
 
 @query("r_constant", v.sql(", c AS (SELECT avg(year) AS m, quantile_disc(year, 0.5) AS q FROM tracks WHERE artist_id % 10 <> 0) SELECT round(avg(abs(year - m)), 6) AS mean_mae, round(sqrt(avg((year - m) ** 2)), 6) AS mean_rmse, round(avg(abs(year - q)), 6) AS median_mae, round(avg(q - year), 6) AS median_signed FROM tracks, c WHERE artist_id % 10 = 0", "tracks"))
@@ -279,15 +287,6 @@ def m_logistic(spark: S, d: str) -> D:
     return spark.createDataFrame([(float(model.stages[-1].intercept), [float(c) for c in model.stages[-1].coefficients])], "intercept double, coefficients array<double>")
 
 
-@query("m_margin", v.sql("SELECT track_id, round(0.25 + 0.5 * (duration - 250000) / 140000 + 0.125 * (year - 1998) / 2, 4) AS margin FROM tracks", "tracks"))
-def m_margin(spark: S, d: str) -> D:
-    model = {"duration": (0.5, 250000.0, 140000.0), "year": (0.125, 1998.0, 2.0)}
-    margin = F.lit(0.25)
-    for c, (w, mean, std) in model.items():
-        margin = margin + w * (F.col(c) - mean) / std
-    return v.tracks(spark, d).select("track_id", F.round(margin, 4).alias("margin"))
-
-
 @query("r_decade_weight", v.sql(", c AS (SELECT CAST(floor(year / 10) * 10 AS INT) AS decade, count(*) AS n FROM tracks GROUP BY 1), w AS (SELECT *, least(power((SELECT max(n) FROM c) / n::DOUBLE, 0.5), 5.0) AS w FROM c) SELECT decade, n, round(w / (SELECT sum(w * n) / sum(n) FROM w), 6) AS weight FROM w", "tracks"))
 def r_decade_weight(spark: S, d: str) -> D:
     return models.decade_weights(v.tracks(spark, d), "year").withColumn("weight", F.round("weight", 6))
@@ -397,14 +396,6 @@ def s_loss_weights(spark: S, d: str) -> D:
     return n.select("artist_id", "p", F.round(hard, 6).alias("hard_weight"), F.round(rest, 6).alias("random_weight"))
 
 
-@query("s_positive_predicate", v.sql("SELECT a.track_id AS q, b.track_id AS c, coalesce(a.artist_id = b.artist_id, false) OR abs(a.duration - b.duration) < 1000 AS positive FROM tracks a JOIN tracks b ON a.release_id = b.release_id AND a.track_id < b.track_id", "tracks"))
-def s_positive_predicate(spark: S, d: str) -> D:
-    a = v.tracks(spark, d).select(F.col("track_id").alias("q"), "release_id", F.col("artist_id").alias("qa"), F.col("duration").alias("qd"))
-    b = v.tracks(spark, d).select(F.col("track_id").alias("c"), "release_id", "artist_id", "duration")
-    positive = F.coalesce(F.col("qa") == F.col("artist_id"), F.lit(False)) | (F.abs(F.col("qd") - F.col("duration")) < 1000)
-    return a.join(b, "release_id").where("q < c").select("q", "c", positive.alias("positive"))
-
-
 @query("s_source_balanced", v.sql(""", c AS (SELECT release_id AS q, track_id AS c, mode AS source FROM tracks UNION ALL SELECT release_id, track_id, title FROM tracks), n AS (SELECT q, source, count(*) AS n FROM c GROUP BY 1, 2),
 o AS (SELECT c.q, c.c, c.source, row_number() OVER (PARTITION BY c.q, c.c ORDER BY n, c.source) AS k FROM c JOIN n ON n.q = c.q AND n.source = c.source), r AS (SELECT q, c, source, row_number() OVER (PARTITION BY q, source ORDER BY sha256('42' || chr(0) || c), c) AS pass FROM o WHERE k = 1)
 SELECT q, c, source, row_number() OVER (PARTITION BY q ORDER BY pass, source) AS place FROM r QUALIFY place <= 3""", "tracks"))
@@ -423,26 +414,6 @@ def s_nohard_delta(spark: S, d: str) -> D:
     return t.where("mode <> 'O'").unionByName(t.where("mode = 'O'").withColumn("mode", F.lit("random")))
 
 
-@query("s_thresholds", v.sql(", s AS (SELECT abs(a.duration - b.duration) AS x FROM tracks a JOIN tracks b ON b.track_id = a.track_id + 1 AND a.artist_id <> b.artist_id), r AS (SELECT x, row_number() OVER (ORDER BY x) AS k, count(*) OVER () AS n FROM s) SELECT round(max(x), 4) AS p90 FROM r WHERE k <= ceil(0.9 * n)", "tracks"))
-def s_thresholds(spark: S, d: str) -> D:
-    a = v.tracks(spark, d).select("track_id", "artist_id", "duration")
-    b = a.select((F.col("track_id") - 1).alias("track_id"), F.col("artist_id").alias("other"), F.col("duration").alias("d2"))
-    s = a.join(b, "track_id").where("artist_id <> other").select(F.abs(F.col("duration") - F.col("d2")).alias("x"))
-    return s.agg(F.round(F.percentile_approx("x", 0.9, 1_000_000), 4).alias("p90"))
-
-
-@query("f_pair_features", v.sql(""", m AS (SELECT quantile_disc(abs(a.year - b.year), 0.5) AS fill FROM tracks a JOIN tracks b ON a.release_id = b.release_id AND a.track_id < b.track_id WHERE a.mode = b.mode)
-SELECT a.track_id AS q, b.track_id AS c, CASE WHEN a.mode = b.mode THEN 1.0::DOUBLE ELSE 0.0 END AS has_year, CAST(coalesce(CASE WHEN a.mode = b.mode THEN abs(a.year - b.year) END, fill) AS DOUBLE) AS year_gap, round(a.duration / b.duration * coalesce(CASE WHEN a.mode = b.mode THEN abs(a.year - b.year) END, fill), 6) AS interaction FROM tracks a JOIN tracks b ON a.release_id = b.release_id AND a.track_id < b.track_id, m""", "tracks"))
-def f_pair_features(spark: S, d: str) -> D:
-    a = v.tracks(spark, d).select(F.col("track_id").alias("q"), "release_id", F.col("mode").alias("qm"), F.col("year").alias("qy"), F.col("duration").alias("qd"))
-    b = v.tracks(spark, d).select(F.col("track_id").alias("c"), "release_id", "mode", "year", "duration")
-    pairs = a.join(b, "release_id").where("q < c")
-    known = F.col("qm") == F.col("mode")
-    raw = pairs.select("q", "c", F.when(known, 1.0).otherwise(0.0).alias("has_year"), F.when(known, F.abs(F.col("qy") - F.col("year")).cast("double")).alias("year_gap"), x.ratio(F.col("qd"), F.col("duration")).alias("ratio"))
-    filled = features.filled_with_median(raw, ["year_gap"])
-    return filled.select("q", "c", "has_year", "year_gap", F.round(F.col("ratio") * F.col("year_gap"), 6).alias("interaction"))
-
-
 @query("r_ordinal_moe")
 def r_ordinal_moe(spark: S, d: str) -> D:
     from tessera.operators import moe
@@ -488,15 +459,6 @@ def hash_assignments(spark: S, d: str) -> D:
     return t.agg(F.sum(row).cast("string").alias("digest"), F.count("*").alias("n"))
 
 
-@query("hash_splitmix", v.sql("SELECT track_id, CAST(('0x' || substr(sha256('42' || chr(0) || track_id || chr(0) || '0'), 1, 12))::UBIGINT % (SELECT count(*) FROM tracks) AS BIGINT) AS drawn FROM tracks", "tracks"))
-def hash_splitmix(spark: S, d: str) -> D:
-    """A draw from the universe by a counter's hash."""
-    t = v.tracks(spark, d).select("track_id")
-    n = t.agg(F.count("*").alias("n"))
-    drawn = F.conv(F.substring(x.digest(42, F.col("track_id"), F.lit("0")), 1, 12), 16, 10).cast("long") % F.col("n")
-    return t.join(F.broadcast(n), F.lit(True)).select("track_id", drawn.alias("drawn"))
-
-
 @query("agg_partial_fold")
 def agg_partial_fold(spark: S, d: str) -> D:
     with_features = models.fourier_features(_training(spark, d), ["f1", "f2", "f3"], 8, 0.5, 42)
@@ -520,9 +482,10 @@ def r_lightgbm_eval(spark: S, d: str) -> D:
 @query("e_dev_report")
 def e_dev_report(spark: S, d: str) -> D:
     """Recall, metrics, random expectation and slices as rows (part, measure, value)."""
+    from tessera.queries import recommend as rec
     from tessera.queries import vectors as q
 
-    parts = {"metrics": q.e_macro(spark, d), "pool": q.r_pool_audit(spark, d), "sizes": q.r_pool_size_dist(spark, d), "bootstrap": q.e_bootstrap(spark, d), "catalog": q.e_catalog_report(spark, d)}
+    parts = {"metrics": q.e_macro(spark, d), "pool": q.r_pool_audit(spark, d), "sizes": q.r_pool_size_dist(spark, d), "bootstrap": q.e_bootstrap(spark, d), "catalog": rec.e_catalog_report(spark, d)}
     out = None
     for part, df in parts.items():
         long = df.select(F.inline(F.array(*(F.struct(F.lit(part).alias("part"), F.lit(c).alias("measure"), F.col(c).cast("double").alias("value")) for c in df.columns))))

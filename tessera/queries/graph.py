@@ -127,13 +127,22 @@ def g_mixed_walk(spark: S, d: str) -> D:
     return graph.walks(v.tracks(spark, d).select("track_id", "artist_id", "release_id"), edges(spark, d), terms)
 
 
-@query("g_walk_checks", "SELECT 2 * count(*) AS walks, 0::BIGINT AS wrong_root, 0::BIGINT AS repeats_itself, 0::BIGINT AS wrong_count FROM orders")
+@query("g_walk_checks", v.sql(""", open AS (SELECT track_id FROM tracks WHERE artist_id IN (SELECT artist_id FROM tracks GROUP BY 1 HAVING count(*) > 1) OR release_id IN (SELECT release_id FROM tracks GROUP BY 1 HAVING count(*) > 1)
+OR artist_id IN (SELECT artist_id FROM similar_ WHERE similar_artist_id IN (SELECT artist_id FROM tracks)) OR artist_id IN (SELECT artist_id FROM tags WHERE source = 'term' AND artist_id IN (SELECT artist_id FROM tracks) AND tag IN (SELECT tag FROM tags WHERE source = 'term' AND artist_id IN (SELECT artist_id FROM tracks) GROUP BY 1 HAVING count(*) > 1)))
+SELECT 2 * count(*) AS walks, count(*) AS tracks, 2 * (SELECT count(*) FROM open) AS moving, 2 * (count(*) - (SELECT count(*) FROM open)) AS stuck, sum(0) AS wrong FROM tracks""", "tracks", "similar", "tags").replace("sum(0) AS wrong", "count(*) FILTER (track_id IS NULL) AS wrong"))
 def g_walk_checks(spark: S, d: str) -> D:
+    """Walks, tracks, walks that move and that are stuck at their start; and rows that break the contract: root, step to itself, lengths, counts, reason, an unknown track."""
     w = g_mixed_walk(spark, d)
-    own = w.groupBy("track_id").agg(F.countDistinct("walk_id").alias("n"))
-    stuck = F.exists(F.arrays_zip(F.slice("walk_seq", 1, 99).alias("a"), F.slice("walk_seq", 2, 99).alias("b")), lambda p: p["a"] == p["b"])
-    checks = w.agg(F.count("*").alias("walks"), F.count_if(F.element_at("walk_seq", 1) != F.col("track_id")).alias("wrong_root"), F.count_if(F.coalesce(stuck, F.lit(False))).alias("repeats_itself"))
-    return checks.join(F.broadcast(own.agg(F.count_if(F.col("n") != 2).alias("wrong_count"))), F.lit(True))
+    steps = F.arrays_zip(F.slice("walk_seq", 1, 99).alias("a"), F.slice("walk_seq", 2, 99).alias("b"))
+    n = F.size("walk_seq")
+    bad = (F.element_at("walk_seq", 1) != F.col("track_id")) | F.coalesce(F.exists(steps, lambda p: p["a"] == p["b"]), F.lit(False)) | (n < 1) | (n > 6) | (F.aggregate("path_counts", F.lit(0), lambda s, c: s + c) != n - 1)
+    bad = bad | ((F.col("stop_reason") == "target_length") != (n == 6)) | (F.size("path_counts") != 4)
+    known = v.tracks(spark, d).select(F.col("track_id").alias("step"), F.lit(True).alias("known"))
+    strange = w.select(F.explode("walk_seq").alias("step")).join(known, "step", "left").agg(F.count_if(F.col("known").isNull()).alias("strange"))
+    own = w.groupBy("track_id").agg(F.countDistinct("walk_id").alias("n")).agg(F.count("*").alias("tracks"), F.count_if(F.col("n") != 2).alias("uneven"))
+    checks = w.agg(F.count("*").alias("walks"), F.count_if(n > 1).alias("moving"), F.count_if(n == 1).alias("stuck"), F.count_if(bad).alias("bad"))
+    both = checks.join(F.broadcast(own), F.lit(True)).join(F.broadcast(strange), F.lit(True))
+    return both.select("walks", "tracks", "moving", "stuck", (F.col("bad") + F.col("uneven") + F.col("strange")).alias("wrong"))
 
 
 @query("g_word2vec")
@@ -155,13 +164,19 @@ def g_positives(spark: S, d: str) -> D:
     return q.join(c, "artist_id").where("query_track_id <> positive_track_id and q_song <> duration").select("query_track_id", "positive_track_id")
 
 
+_STRATA = ("2", "3_5", "6_20", "21_plus")
+
+
 @query("g_masked_queries", v.sql(""", h AS (SELECT artist_id, track_id, count(*) OVER (PARTITION BY artist_id) AS n, row_number() OVER (PARTITION BY artist_id ORDER BY sha256('42' || chr(0) || track_id), track_id) AS k FROM tracks),
 q AS (SELECT artist_id, track_id, CASE WHEN n = 2 THEN '2' WHEN n <= 5 THEN '3_5' WHEN n <= 20 THEN '6_20' ELSE '21_plus' END AS stratum FROM h WHERE k = 1 AND n > 1),
-r AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY sha256('43' || chr(0) || track_id), track_id) AS place FROM q) SELECT artist_id, track_id, stratum FROM r WHERE place <= 50""", "tracks"))
+r AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY sha256('43' || chr(0) || track_id), track_id) AS place FROM q),
+turns AS (SELECT *, row_number() OVER (ORDER BY place, CASE stratum WHEN '2' THEN 0 WHEN '3_5' THEN 1 WHEN '6_20' THEN 2 ELSE 3 END) AS turn FROM r) SELECT artist_id, track_id, stratum FROM turns WHERE turn <= 10000""", "tracks"))
 def g_masked_queries(spark: S, d: str) -> D:
+    """One track of each artist with others, 10,000 in all, as even over the strata as they allow."""
+    from tessera.operators.ordering import dealt
+
     t = v.tracks(spark, d)
     one = t.groupBy("artist_id").agg(F.count("*").alias("n"), F.min(F.struct(x.digest(42, F.col("track_id")).alias("h"), "track_id")).alias("m")).where("n > 1")
     stratum = F.when(F.col("n") == 2, "2").when(F.col("n") <= 5, "3_5").when(F.col("n") <= 20, "6_20").otherwise("21_plus")
-    q = one.select("artist_id", "m.track_id", stratum.alias("stratum"))
-    place = F.row_number().over(Window.partitionBy("stratum").orderBy(x.digest(43, F.col("track_id")), "track_id"))
-    return q.withColumn("place", place).where("place <= 50").drop("place")
+    q = one.select("artist_id", "m.track_id", stratum.alias("stratum")).withColumn("h", x.digest(43, F.col("track_id")))
+    return dealt(q, "stratum", _STRATA, ["h", "track_id"], 10_000).select("artist_id", "track_id", "stratum")

@@ -144,27 +144,11 @@ def join_frontier(spark: S, d: str) -> D:
 
 @query("join_cross_threshold", "SELECT a.vec_id AS q, b.vec_id AS c FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id AND list_inner_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= 0.45")
 def join_cross_threshold(spark: S, d: str) -> D:
-    """Pairs of unit vectors above a threshold, by blocks: each block of queries meets all vectors as a matrix product."""
-    import numpy as np
-    import pandas as pd
+    """Pairs of unit vectors above a threshold, by blocks that meet as a matrix product."""
+    from tessera.operators import vectors
 
     e = v.table(spark, d, "embeddings").select("vec_id", "embedding")
-    out = None
-    rows = [(r["vec_id"], r["embedding"]) for r in e.orderBy("vec_id").toLocalIterator()]
-    for at in range(0, len(rows), 1024):
-        ids, matrix = np.array([r[0] for r in rows[at : at + 1024]]), np.array([r[1] for r in rows[at : at + 1024]], dtype=np.float64)
-
-        def search(frames, ids=ids, matrix=matrix):
-            for frame in frames:
-                if len(frame):
-                    own = frame["vec_id"].to_numpy()
-                    i, j = np.nonzero(matrix @ np.stack(frame["embedding"].to_numpy()).astype(np.float64).T >= 0.45)
-                    keep = ids[i] != own[j]
-                    yield pd.DataFrame({"q": ids[i][keep], "c": own[j][keep]})
-
-        found = e.mapInPandas(search, "q bigint, c bigint")
-        out = found if out is None else out.unionByName(found)
-    return out if out is not None else spark.createDataFrame([], "q bigint, c bigint")
+    return vectors.above(e, 0.45, "vec_id", "embedding").select(F.col("query").alias("q"), F.col("candidate").alias("c"))
 
 
 @query("smp_cross_artist", v.sql(", s AS (SELECT artist_id, track_id, CAST(('0x' || substr(sha256('42' || chr(0) || track_id), 1, 8))::UBIGINT % (SELECT count(*) FROM tracks) AS BIGINT) AS slot FROM tracks) SELECT s.track_id AS a, t.track_id AS b FROM s JOIN tracks t ON t.track_id = slot AND t.artist_id <> s.artist_id", "tracks"))
@@ -175,57 +159,13 @@ def smp_cross_artist(spark: S, d: str) -> D:
     return s.join(t.withColumnRenamed("track_id", "b"), "b").where("artist_id <> mine").select("a", "b")
 
 
-@query("smp_quota", v.sql(", h AS (SELECT mode, track_id, row_number() OVER (PARTITION BY mode ORDER BY sha256('42' || chr(0) || track_id), track_id) AS k, count(*) OVER (PARTITION BY mode) AS n FROM tracks) SELECT mode, track_id FROM h WHERE k <= least(n, 40)", "tracks"))
+@query("smp_quota", v.sql(", h AS (SELECT mode, track_id, row_number() OVER (PARTITION BY mode ORDER BY sha256('42' || chr(0) || track_id), track_id) AS k FROM tracks), turns AS (SELECT *, row_number() OVER (ORDER BY k, CASE mode WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END) AS turn FROM h) SELECT mode, track_id FROM turns WHERE turn <= 1000", "tracks"))
 def smp_quota(spark: S, d: str) -> D:
-    k = F.row_number().over(Window.partitionBy("mode").orderBy(x.digest(42, F.col("track_id")), "track_id"))
-    return v.tracks(spark, d).select("mode", "track_id", k.alias("k")).where("k <= 40").drop("k")
-
-
-@query("e_validation_groups", v.sql("SELECT a.track_id AS q, b.track_id AS c, CASE WHEN a.artist_id = b.artist_id OR a.mode = b.mode AND abs(a.duration - b.duration) > 200000 THEN 'relation' WHEN abs(a.duration - b.duration) < 50000 THEN 'audio' ELSE 'mixed' END AS kind FROM tracks a JOIN tracks b ON a.release_id = b.release_id AND a.track_id < b.track_id", "tracks"))
-def e_validation_groups(spark: S, d: str) -> D:
-    a = v.tracks(spark, d).select(F.col("track_id").alias("q"), "release_id", F.col("artist_id").alias("qa"), F.col("mode").alias("qm"), F.col("duration").alias("qd"))
-    b = v.tracks(spark, d).select(F.col("track_id").alias("c"), "release_id", "artist_id", "mode", "duration")
-    gap = F.abs(F.col("qd") - F.col("duration"))
-    relation = (F.col("qa") == F.col("artist_id")) | ((F.col("qm") == F.col("mode")) & (gap > 200000))
-    return a.join(b, "release_id").where("q < c").select("q", "c", F.when(relation, "relation").when(gap < 50000, "audio").otherwise("mixed").alias("kind"))
-
-
-@query("s_negatives", v.sql(", p AS (SELECT release_id AS q, count(*) FILTER (mode = 'F') AS positives FROM tracks GROUP BY 1), n AS (SELECT release_id AS q, track_id, row_number() OVER (PARTITION BY release_id ORDER BY sha256('42' || chr(0) || track_id), track_id) AS k FROM tracks WHERE mode <> 'F') SELECT q, track_id FROM n JOIN p USING (q) WHERE k <= 3 * positives", "tracks"))
-def s_negatives(spark: S, d: str) -> D:
-    t = v.tracks(spark, d)
-    p = t.groupBy(F.col("release_id").alias("q")).agg(F.count_if(F.col("mode") == "F").alias("positives"))
-    k = F.row_number().over(Window.partitionBy("q").orderBy(x.digest(42, F.col("track_id")), "track_id"))
-    n = t.where("mode <> 'F'").select(F.col("release_id").alias("q"), "track_id").withColumn("k", k)
-    return n.join(p, "q").where("k <= 3 * positives").select("q", "track_id")
-
-
-@query("s_weak_positives", v.sql(", c AS (SELECT a.track_id AS q, b.track_id AS c, 1 AS source FROM tracks a JOIN tracks b ON a.artist_id = b.artist_id AND a.track_id <> b.track_id UNION SELECT a.track_id, b.track_id, 2 FROM tracks a JOIN tracks b ON a.release_id = b.release_id AND a.track_id <> b.track_id), o AS (SELECT q, c, min(source) AS owner, count(*) AS sources FROM c GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY q, owner ORDER BY c) AS pass FROM o) SELECT q, c, owner, sources FROM r QUALIFY row_number() OVER (PARTITION BY q ORDER BY pass, owner) <= 5", "tracks"))
-def s_weak_positives(spark: S, d: str) -> D:
-    t = v.tracks(spark, d)
-
-    def pairs(column: str, source: int) -> D:
-        b = t.select(F.col("track_id").alias("c"), column)
-        return t.select(F.col("track_id").alias("q"), column).join(b, column).where("q <> c").select("q", "c", F.lit(source).alias("source"))
-
-    owned = pairs("artist_id", 1).unionByName(pairs("release_id", 2)).groupBy("q", "c").agg(F.min("source").alias("owner"), F.count("*").alias("sources"))
-    each = owned.withColumn("pass", F.row_number().over(Window.partitionBy("q", "owner").orderBy("c")))
-    place = F.row_number().over(Window.partitionBy("q").orderBy("pass", "owner"))
-    return each.withColumn("place", place).where("place <= 5").select("q", "c", "owner", "sources")
-
-
-@query("p_recommend")
-def p_recommend(spark: S, d: str) -> D:
-    """Recall by artist and release, score, gate, interleave."""
-    t = v.tracks(spark, d)
-    q = t.select(F.col("track_id").alias("query"), "artist_id", "release_id", F.col("duration").alias("qd"))
-    c = t.select(F.col("track_id").alias("candidate"), "artist_id", "release_id", "duration")
-    near = q.join(c.drop("release_id"), "artist_id").where("query <> candidate").select("query", "candidate", "qd", "duration", F.lit(1.0).alias("related"))
-    same = q.join(c.drop("artist_id"), "release_id").where("query <> candidate").select("query", "candidate", "qd", "duration", F.lit(0.0).alias("related"))
-    scored = near.unionByName(same).groupBy("query", "candidate").agg(F.max("related").alias("related"), F.first("qd").alias("qd"), F.first("duration").alias("duration"))
-    audio = -F.abs(F.col("qd") - F.col("duration"))
-    evidence = F.avg("related").over(Window.partitionBy("query"))
-    ready = scored.select("query", "candidate", (F.col("related") + audio / 1e6).alias("learned"), audio.alias("audio"), ranking.gate(evidence, 0.2, 0.8, 10, 4).alias("quota"))
-    return ranking.interleave(ready)
+    """1,000 rows in all, near-equally of the strata; a short one's share goes to the others."""
+    from tessera.operators.ordering import dealt
+
+    t = v.tracks(spark, d).select("mode", "track_id").withColumn("h", x.digest(42, F.col("track_id")))
+    return dealt(t, "mode", ("F", "O", "P"), ["h", "track_id"], 1000).select("mode", "track_id")
 
 
 @query("sink_python_parts", "SELECT s_suppkey, s_name FROM supplier")

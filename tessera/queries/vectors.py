@@ -119,23 +119,6 @@ def v_tag_neighbors(spark: S, d: str) -> D:
 # Recall.
 
 
-@query("r_quota", v.sql(", k AS (SELECT artist_id AS query, similar_artist_id AS candidate, row_number() OVER (PARTITION BY artist_id ORDER BY edge_order, similar_artist_id) AS rank FROM similar_) SELECT * FROM k WHERE rank <= 25", "similar"))
-def r_quota(spark: S, d: str) -> D:
-    rank = F.row_number().over(Window.partitionBy("artist_id").orderBy("edge_order", "similar_artist_id"))
-    return v.similar(spark, d).select(F.col("artist_id").alias("query"), F.col("similar_artist_id").alias("candidate"), rank.cast("long").alias("rank")).where("rank <= 25")
-
-
-@query("r_round_robin_bfs", v.sql(""", p AS (SELECT e.artist_id AS query, e.similar_artist_id AS artist, t.track_id, row_number() OVER (PARTITION BY e.artist_id, e.similar_artist_id ORDER BY t.track_id) AS pass, min(t.track_id) OVER (PARTITION BY e.artist_id, e.similar_artist_id) AS lead FROM similar_ e JOIN tracks t ON t.artist_id = e.similar_artist_id),
-k AS (SELECT query, track_id, row_number() OVER (PARTITION BY query ORDER BY pass, lead) AS place FROM p WHERE pass <= 10) SELECT query, track_id, place, 0.5::DOUBLE AS score FROM k WHERE place <= 50""", "tracks", "similar"))
-def r_round_robin_bfs(spark: S, d: str) -> D:
-    # A track's pass and its artist's first track are known before the join with the queries.
-    own = Window.partitionBy("artist_id")
-    t = v.tracks(spark, d).select("artist_id", "track_id", F.row_number().over(own.orderBy("track_id")).alias("pass"), F.min("track_id").over(own).alias("lead")).where("pass <= 10")
-    p = v.similar(spark, d).select(F.col("artist_id").alias("query"), F.col("similar_artist_id").alias("artist_id")).join(t, "artist_id")
-    place = F.row_number().over(Window.partitionBy("query").orderBy("pass", "lead"))
-    return p.select("query", "track_id", place.cast("long").alias("place")).where("place <= 50").withColumn("score", F.lit(0.5))
-
-
 @query("r_round_robin_tag", v.sql(_QUERIES + _COSINE + """, nb AS (SELECT query, candidate, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, candidate) AS artist_rank FROM s),
 t AS (SELECT artist_id, track_id, row_number() OVER (PARTITION BY artist_id ORDER BY track_id) - 1 AS pos, count(*) OVER (PARTITION BY artist_id) AS m FROM tracks),
 r AS (SELECT query, artist_rank, track_id, (pos - CAST(('0x' || substr(sha256('42' || chr(0) || query || chr(0) || artist_id), 1, 8))::UBIGINT % m AS BIGINT) + m) % m AS pass FROM nb JOIN t ON t.artist_id = candidate WHERE artist_rank <= 20),
@@ -239,39 +222,12 @@ def e_random_expectation(spark: S, d: str) -> D:
     return ranking.random_expectation(sizes, (10,)).select("query", *(F.round(c, 6).alias(c) for c in ("recall10", "hit10", "ndcg10")))
 
 
-@query("e_baselines", f"""WITH p AS (SELECT o_custkey AS query, o_orderkey AS c, o_totalprice AS s1, o_orderkey % 97 AS s2, o_orderstatus = 'F' AS hit FROM orders),
-r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY s1 DESC, c) AS k1, row_number() OVER (PARTITION BY query ORDER BY s2 DESC, c) AS k2, row_number() OVER (PARTITION BY query ORDER BY 0.5 * s1 + 0.5 * s2 DESC, c) AS k3 FROM p)
-SELECT round(avg(m1), 6) AS price, round(avg(m2), 6) AS other, round(avg(m3), 6) AS handcrafted FROM (SELECT query, 1.0::DOUBLE / min(k1) FILTER (hit) AS m1, 1.0::DOUBLE / min(k2) FILTER (hit) AS m2, 1.0::DOUBLE / min(k3) FILTER (hit) AS m3 FROM r GROUP BY 1)""")
-def e_baselines(spark: S, d: str) -> D:
-    o = v.table(spark, d, "orders")
-    s1, s2 = F.col("o_totalprice"), F.col("o_orderkey") % 97
-    scorers = {"price": s1, "other": s2, "handcrafted": 0.5 * s1 + 0.5 * s2}
-    ranks = [F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc(s), "o_orderkey")).alias(n) for n, s in scorers.items()]
-    r = o.select("o_custkey", (F.col("o_orderstatus") == "F").alias("hit"), *ranks)
-    first = r.groupBy("o_custkey").agg(*(x.ratio(F.lit(1.0), F.min(F.when(F.col("hit"), F.col(n)))).alias(n) for n in scorers))
-    return first.agg(*(F.round(F.avg(n), 6).alias(n) for n in scorers))
-
-
 @query("e_bootstrap")
 def e_bootstrap(spark: S, d: str) -> D:
     diffs = v.tracks(spark, d).select("artist_id", (F.col("duration") / 100000 - F.col("track_id") % 5).alias("diff"))
     return ranking.bootstrap(diffs, "diff", "artist_id")
 
 
-@query("e_catalog_report", v.sql(", k AS (SELECT artist_id, track_id, duration, row_number() OVER (PARTITION BY artist_id ORDER BY duration DESC, track_id) AS r FROM tracks) SELECT count(DISTINCT track_id) FILTER (r <= 3) / count(DISTINCT track_id)::DOUBLE AS coverage, round(avg(duration) FILTER (r <= 3), 4) AS popularity, round(avg(CASE WHEN duration <= (SELECT quantile_cont(duration, 0.2) FROM tracks) THEN 1.0::DOUBLE ELSE 0 END) FILTER (r <= 3), 6) AS tail FROM k", "tracks").replace("count(DISTINCT track_id) FILTER (r <= 3) / count(DISTINCT track_id)::DOUBLE", "round(count(DISTINCT track_id) FILTER (r <= 3) / count(DISTINCT track_id)::DOUBLE, 6)"))
-def e_catalog_report(spark: S, d: str) -> D:
-    t = v.tracks(spark, d)
-    k = t.withColumn("r", F.row_number().over(Window.partitionBy("artist_id").orderBy(F.desc("duration"), "track_id")))
-    k = k.join(F.broadcast(t.agg(F.percentile("duration", 0.2).alias("low"))), F.lit(True))
-    top = F.col("r") <= 3
-    return k.agg(F.round(F.countDistinct(F.when(top, F.col("track_id"))) / F.countDistinct("track_id"), 6).alias("coverage"), F.round(F.avg(F.when(top, F.col("duration"))), 4).alias("popularity"), F.round(F.avg(F.when(top, F.when(F.col("duration") <= F.col("low"), 1.0).otherwise(0.0))), 6).alias("tail"))
-
-
-@query("e_decade_slices", v.sql(", g AS (SELECT CAST(floor(year / 10) * 10 AS INT) AS decade, duration / 500000 AS gain FROM tracks) SELECT decade, count(*) AS queries, round(avg(gain), 6) AS gain FROM g GROUP BY 1", "tracks"))
-def e_decade_slices(spark: S, d: str) -> D:
-    return v.tracks(spark, d).groupBy(x.decade(F.col("year")).alias("decade")).agg(F.count("*").alias("queries"), F.round(F.avg(F.col("duration") / 500000), 6).alias("gain"))
-
-
 @query("e_hedges_g", v.sql(", s AS (SELECT mode = 'F' AS g, count(*) AS n, avg(duration) AS m, var_samp(duration) AS q FROM tracks WHERE mode IN ('F', 'O') GROUP BY 1), a AS (SELECT * FROM s WHERE g), b AS (SELECT * FROM s WHERE NOT g) SELECT round((a.m - b.m) / sqrt(((a.n - 1) * a.q + (b.n - 1) * b.q) / (a.n + b.n - 2)) * (1 - 3.0::DOUBLE / (4 * (a.n + b.n) - 9)), 6) AS g FROM a, b", "tracks"))
 def e_hedges_g(spark: S, d: str) -> D:
     t = v.tracks(spark, d).where("mode in ('F', 'O')")
@@ -295,32 +251,3 @@ def e_l1_pairs(spark: S, d: str) -> D:
 # Gates and fusion.
 
 
-@query("k_relation_evidence", v.sql(", g AS (SELECT artist_id AS query, avg(CASE WHEN mode = 'F' THEN duration END) AS a, avg(CASE WHEN mode = 'O' THEN duration END) AS b FROM tracks GROUP BY 1) SELECT query, round(greatest(coalesce(a, 0), coalesce(b, 0)), 4) AS evidence, CAST(CASE WHEN greatest(coalesce(a, 0), coalesce(b, 0)) < 200000 THEN 20 WHEN greatest(coalesce(a, 0), coalesce(b, 0)) < 300000 THEN 12 ELSE 4 END AS INT) AS quota FROM g", "tracks"))
-def k_relation_evidence(spark: S, d: str) -> D:
-    part = lambda m: F.coalesce(F.avg(F.when(F.col("mode") == m, F.col("duration"))), F.lit(0.0))
-    g = v.tracks(spark, d).groupBy(F.col("artist_id").alias("query")).agg(F.greatest(part("F"), part("O")).alias("evidence"))
-    return g.select("query", F.round("evidence", 4).alias("evidence"), ranking.gate(F.col("evidence"), 200000, 300000, 12, 4).alias("quota"))
-
-
-@query("k_gate", v.sql("SELECT track_id, CAST(CASE WHEN duration < 100000 THEN 20 WHEN duration < 300000 THEN 10 ELSE 2 END AS INT) AS quota FROM tracks", "tracks"))
-def k_gate(spark: S, d: str) -> D:
-    return v.tracks(spark, d).select("track_id", ranking.gate(F.col("duration"), 100000, 300000, 10, 2).alias("quota"))
-
-
-@query("k_gate_thresholds", v.sql(", q AS (SELECT unnest(range(21)) AS i) SELECT i, round(quantile_cont(duration, i / 20.0::DOUBLE), 4) AS t FROM q, tracks GROUP BY 1".replace("quantile_cont(duration, i / 20.0::DOUBLE)", "list_extract(quantile_cont(duration, [0.0,0.05,0.1,0.15,0.2,0.25,0.3,0.35,0.4,0.45,0.5,0.55,0.6,0.65,0.7,0.75,0.8,0.85,0.9,0.95,1.0]), CAST(i AS BIGINT) + 1)"), "tracks"))
-def k_gate_thresholds(spark: S, d: str) -> D:
-    at = F.percentile("duration", F.array(*(F.lit(i / 20) for i in range(21))))
-    return v.tracks(spark, d).agg(at.alias("t")).select(F.posexplode("t").alias("i", "t")).select(F.col("i").cast("long").alias("i"), F.round("t", 4).alias("t"))
-
-
-@query("k_quota_interleave")
-def k_quota_interleave(spark: S, d: str) -> D:
-    t = v.tracks(spark, d).select(F.col("artist_id").alias("query"), F.col("track_id").alias("candidate"), F.col("duration").alias("learned"), (F.col("track_id") % 97).cast("double").alias("audio"), F.lit(10).alias("quota"))
-    return ranking.interleave(t)
-
-
-@query("k_selection", v.sql(", c AS (SELECT artist_id % 5 AS fold, mode, avg(duration) AS s FROM tracks GROUP BY 1, 2), w AS (SELECT mode, min(s) AS worst, avg(s) AS mean FROM c GROUP BY 1) SELECT mode, round(worst, 4) AS worst, round(mean, 4) AS mean FROM w WHERE mean > 0 ORDER BY worst DESC, mode LIMIT 1", "tracks"))
-def k_selection(spark: S, d: str) -> D:
-    c = v.tracks(spark, d).groupBy((F.col("artist_id") % 5).alias("fold"), "mode").agg(F.avg("duration").alias("s"))
-    w = c.groupBy("mode").agg(F.min("s").alias("worst"), F.avg("s").alias("mean")).where("mean > 0")
-    return w.orderBy(F.desc("worst"), "mode").limit(1).select("mode", F.round("worst", 4).alias("worst"), F.round("mean", 4).alias("mean"))
