@@ -31,4 +31,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
-from tessera.queries import features, graph, recommend, relational, sources, vectors  # noqa: E402,F401
+from tessera.queries import audio, features, graph, recommend, relational, sources, vectors  # noqa: E402,F401

@@ -77,36 +77,6 @@ def join_interval_overlap(spark: S, d: str) -> D:
     return a.join(b, "track_id").where("s < end and start < e").select("a", "b", F.round(overlap, 3).alias("overlap"))
 
 
-@query("a_delta", "WITH e AS (SELECT vec_id, embedding, lag(embedding) OVER (ORDER BY vec_id) AS before FROM embeddings) SELECT vec_id, round(1 - list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(before AS DOUBLE[])), 5) AS distance FROM e WHERE before IS NOT NULL")
-def a_delta(spark: S, d: str) -> D:
-    e = v.table(spark, d, "embeddings").select("vec_id", "embedding")
-    # Ids are consecutive: the one before is found by a join, not by one task's window.
-    before = e.select((F.col("vec_id") + 1).alias("vec_id"), F.col("embedding").alias("before"))
-    return e.join(before, "vec_id").select("vec_id", F.round(1 - x.cosine(F.col("embedding"), F.col("before")), 5).alias("distance"))
-
-
-@query("a_tempo", v.sql(", g AS (SELECT track_id, start - lag(start) OVER (PARTITION BY track_id ORDER BY start, event_id) AS gap FROM segments), b AS (SELECT track_id, 60.0 / gap AS bpm FROM g WHERE gap > 0) SELECT track_id, round(quantile_cont(bpm, 0.5), 5) AS median, count(*) AS beats FROM b GROUP BY 1", "segments"))
-def a_tempo(spark: S, d: str) -> D:
-    gap = F.col("start") - F.lag("start").over(Window.partitionBy("track_id").orderBy("start", "event_id"))
-    b = v.segments(spark, d).select("track_id", gap.alias("gap")).where("gap > 0").select("track_id", (60.0 / F.col("gap")).alias("bpm"))
-    return b.groupBy("track_id").agg(F.round(F.percentile("bpm", 0.5), 5).alias("median"), F.count("*").alias("beats"))
-
-
-@query("a_confidence", "SELECT user_id, round(avg(value / 500), 6) AS mean, round(avg(CASE WHEN value / 500 < 0.05 THEN 1.0::DOUBLE ELSE 0 END), 6) AS low FROM events GROUP BY 1")
-def a_confidence(spark: S, d: str) -> D:
-    c = F.col("value") / 500
-    return v.table(spark, d, "events").groupBy("user_id").agg(F.round(F.avg(c), 6).alias("mean"), F.round(F.avg(F.when(c < 0.05, 1.0).otherwise(0.0)), 6).alias("low"))
-
-
-_T = ["l_quantity", "l_discount", "l_tax"]
-
-
-@query("a_t90", "SELECT l_suppkey, " + ", ".join(f"round(avg({c}), 5) AS mean_{c}" for c in _T) + ", " + ", ".join(f"round(covar_samp({_T[i]}, {_T[i + o]}), 5) AS cov_{_T[i]}_{_T[i + o]}" for o in range(3) for i in range(3 - o)) + " FROM lineitem GROUP BY 1 HAVING count(*) >= 3")
-def a_t90(spark: S, d: str) -> D:
-    found = features.covariances(v.table(spark, d, "lineitem"), "l_suppkey", _T)
-    return found.where("mean_l_tax is not null").select("l_suppkey", *(F.round(c, 5).alias(c) for c in found.columns[1:]))
-
-
 @query("a_key_relative", "SELECT vec_id, round(CAST(embedding[(label % 12) + 1] AS DOUBLE), 6) AS head, round(CAST(list_sum(embedding[1:12]) AS DOUBLE), 4) AS total FROM embeddings")
 def a_key_relative(spark: S, d: str) -> D:
     e = v.table(spark, d, "embeddings").select("vec_id", features.rotated(F.slice("embedding", 1, 12), F.col("label") % 12).alias("r"))
@@ -129,15 +99,6 @@ def a_section_change(spark: S, d: str) -> D:
     return m.select("track_id", change.alias("change")).groupBy("track_id").agg(F.round(F.avg("change"), 4).alias("change"))
 
 
-@query("a_aggregate628")
-def a_aggregate628(spark: S, d: str) -> D:
-    """All interval features of a track side by side."""
-    out = a_weighted_stats(spark, d)
-    for part in (a_interval_stats(spark, d).withColumnsRenamed({"median": "gap_median", "iqr": "gap_iqr", "cv": "gap_cv"}), a_tempo(spark, d).withColumnRenamed("median", "bpm"), a_section_change(spark, d)):
-        out = out.join(part, "track_id", "left")
-    return out
-
-
 # Preprocessing.
 
 
