@@ -204,7 +204,7 @@ def d_isolation(spark: S, d: str) -> D:
 @query("r_constant", v.sql(", c AS (SELECT avg(year) AS m, quantile_disc(year, 0.5) AS q FROM tracks WHERE artist_id % 10 <> 0) SELECT round(avg(abs(year - m)), 6) AS mean_mae, round(sqrt(avg((year - m) ** 2)), 6) AS mean_rmse, round(avg(abs(year - q)), 6) AS median_mae, round(avg(q - year), 6) AS median_signed FROM tracks, c WHERE artist_id % 10 = 0", "tracks"))
 def r_constant(spark: S, d: str) -> D:
     t = v.tracks(spark, d)
-    c = t.where("artist_id % 10 <> 0").agg(F.avg("year").alias("m"), F.percentile_approx("year", 0.5, 1_000_000).alias("q"))
+    c = t.where("artist_id % 10 <> 0").agg(F.avg("year").alias("m"), F.percentile_approx("year", 0.5, 1_000_000).alias("q"))  # a hundred years: exact
     test = t.where("artist_id % 10 = 0").join(F.broadcast(c), F.lit(True))
     e, f = F.col("year") - F.col("m"), F.col("year") - F.col("q")
     return test.agg(F.round(F.avg(F.abs(e)), 6).alias("mean_mae"), F.round(F.sqrt(F.avg(e * e)), 6).alias("mean_rmse"), F.round(F.avg(F.abs(f)), 6).alias("median_mae"), F.round(F.avg(-f), 6).alias("median_signed"))
@@ -216,36 +216,76 @@ def _training(spark: S, d: str) -> D:
     return t
 
 
-@query("r_ridge_gd")
+_LINES = """WITH RECURSIVE l AS (SELECT l_orderkey, avg(l_quantity) / 50 - 0.5 AS f1, avg(l_discount) * 10 - 0.5 AS f2, count(*) / 7.0::DOUBLE - 0.5 AS f3 FROM lineitem GROUP BY 1),
+t AS (SELECT f1::DOUBLE AS f1, f2::DOUBLE AS f2, f3::DOUBLE AS f3, (year(o_orderdate) - 1995) / 6.0::DOUBLE AS y0, o_custkey FROM orders JOIN l ON l_orderkey = o_orderkey), t1 AS (SELECT *, y0 - (SELECT avg(y0) FROM t) AS y FROM t)"""
+_F = ("f1", "f2", "f3", "1")
+_PRODUCTS = ", ".join(f"sum({_F[a]} * {_F[b]}) AS g{a}{b}" for a in range(4) for b in range(4)) + ", " + ", ".join(f"sum({_F[a]} * y) AS c{a}" for a in range(4))
+_SLOPE = [f"2 * ({' + '.join(f'g{a}{b} * w{b}' for b in range(4))} - c{a}) / n" for a in range(4)]
+_LOSS = "(" + " + ".join(f"w{a} * g{a}{b} * w{b}" for a in range(4) for b in range(4)) + " - 2 * (" + " + ".join(f"w{a} * c{a}" for a in range(4)) + ") + yy) / n + 0.001::DOUBLE * (w0 * w0 + w1 * w1 + w2 * w2)"
+
+
+@query("r_ridge_gd", _LINES + f""", g AS (SELECT count(*)::DOUBLE AS n, sum(y * y) AS yy, {_PRODUCTS} FROM t1),
+s(step, w0, w1, w2, w3) AS (SELECT 0, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE UNION ALL SELECT step + 1, {", ".join(f"w{a} - 0.08::DOUBLE * ({_SLOPE[a]}{f' + 0.002::DOUBLE * w{a}' if a < 3 else ''})" for a in range(4))} FROM s, g WHERE step < 100)
+SELECT step, round({_LOSS}, 6) AS loss, round(w0, 6) AS w0, round(w1, 6) AS w1, round(w2, 6) AS w2, round(w3 + (SELECT avg(y0) FROM t), 6) AS intercept FROM s, g WHERE step IN (0, 1, 10, 50, 99, 100)""")
 def r_ridge_gd(spark: S, d: str) -> D:
-    weights, intercept, losses = models.ridge_descent(_training(spark, d), ["f1", "f2", "f3"], "y", steps=6, fraction=0.5, id_col="track_id")
+    """A hundred full steps from two passes over the rows: weights before some steps and after the last, with their losses."""
+    t = _training(spark, d)
+    center = float(t.agg(F.avg("y")).first()[0] or 0.0)
+    sums = models.moments(t, F.array("f1", "f2", "f3"), "y", center).get(0, np.zeros((5, 5)))
+    rows, w, decay = [], np.zeros(4), np.array([1.0, 1.0, 1.0, 0.0])
+    for step in range(101):
+        loss, gradient = models.quadratic(sums, w)
+        if step in (0, 1, 10, 50, 99, 100):
+            rows.append((step, float(loss + 0.001 * (decay * w) @ w), *(float(e) for e in w[:3]), float(w[3]) + center))
+        w = w - 0.08 * (gradient + 0.002 * decay * w)
+    found = spark.createDataFrame(rows, "step int, loss double, w0 double, w1 double, w2 double, intercept double")
+    return found.select("step", *(F.round(c, 6).alias(c) for c in found.columns[1:]))
+
+
+@query("r_ridge_minibatch")
+def r_ridge_minibatch(spark: S, d: str) -> D:
+    """A hundred steps, each on its own quarter of the rows."""
+    weights, intercept, losses = models.ridge_descent(_training(spark, d), ["f1", "f2", "f3"], "y", fraction=0.25, id_col="track_id")
     return spark.createDataFrame([(i, float(loss), float(intercept), [float(w) for w in weights]) for i, loss in enumerate(losses)], "step int, loss double, intercept double, weights array<double>")
 
 
 @query("r_kernel_gd")
 def r_kernel_gd(spark: S, d: str) -> D:
-    with_features = models.fourier_features(_training(spark, d), ["f1", "f2", "f3"], 16, 0.5, 42)
-    weights, bias, loss = models.kernel_descent(with_features, "rff", "y", steps=3, huber=0.5)
-    return spark.createDataFrame([(float(loss), float(bias), [float(w) for w in weights])], "loss double, intercept double, weights array<double>")
+    """A hundred steps at most on random features, stopped by the held-out loss."""
+    t = models.fourier_features(_training(spark, d), ["f1", "f2", "f3"], 64, 0.5, 42)
+    weights, bias, history = models.kernel_descent(t.where("artist_id % 10 <> 0"), "rff", "y", held=t.where("artist_id % 10 = 0"))
+    return spark.createDataFrame([(i, float(a), float(b), float(bias), [float(w) for w in weights]) for i, (a, b) in enumerate(history)], "step int, loss double, held_loss double, intercept double, weights array<double>")
+
+
+@query("r_kernel_huber")
+def r_kernel_huber(spark: S, d: str) -> D:
+    """The same on Huber's loss, a pass a step."""
+    t = models.fourier_features(_training(spark, d), ["f1", "f2", "f3"], 16, 0.5, 42)
+    _, bias, history = models.kernel_descent(t.where("artist_id % 10 <> 0"), "rff", "y", held=t.where("artist_id % 10 = 0"), steps=10, huber=0.5)
+    return spark.createDataFrame([(i, float(a), float(b), float(bias)) for i, (a, b) in enumerate(history)], "step int, loss double, held_loss double, intercept double")
 
 
 @query("r_rff")
 def r_rff(spark: S, d: str) -> D:
-    return models.fourier_features(_training(spark, d), ["f1", "f2", "f3"], 8, 0.5, 42).select("track_id", F.transform("rff", lambda e: F.round(e, 6)).alias("rff"))
+    return models.fourier_features(_training(spark, d), ["f1", "f2", "f3"], 1024, 0.5, 42).select("track_id", F.transform(F.slice("rff", 1, 8), lambda e: F.round(e, 6)).alias("first"), F.round(F.aggregate("rff", F.lit(0.0), lambda s, e: s + e * e), 6).alias("square"))
 
 
 @query("r_lightgbm")
 def r_lightgbm(spark: S, d: str) -> D:
-    t = _training(spark, d)
-    model = models.boosted_trees(t.where("artist_id % 10 <> 0"), ["f1", "f2", "f3"], "y", maxIter=3, maxDepth=3)
-    return model.transform(t.where("artist_id % 10 = 0")).select("track_id", "prediction")
+    """Trees with row weights by decade, categories, and early stopping on validation artists."""
+    t = _training(spark, d).withColumn("year", F.round(F.col("y") * 6 + 1995))
+    weighed = t.join(F.broadcast(models.decade_weights(t, "year")), x.decade(F.col("year")) == F.col("decade"))  # a row a decade
+    fitted = weighed.where("artist_id % 10 <> 0").withColumn("validation", F.col("artist_id") % 10 == 1)
+    model = models.boosted_trees(fitted, ["f1", "f2", "f3"], "y", weight="weight", validation="validation", slots=8, maxIter=20, maxDepth=3)
+    return model.transform(t.where("artist_id % 10 = 0")).select("track_id", "prediction", F.lit(model.stages[-1].getNumTrees).alias("trees"))
 
 
 @query("m_logistic")
 def m_logistic(spark: S, d: str) -> D:
-    t = _training(spark, d).withColumn("label", (F.col("y") > 0.5).cast("double")).withColumn("w", F.lit(1.0))
-    model = models.logistic(t, ["f1", "f2", "f3"], "label", "w")
-    return spark.createDataFrame([(float(model.stages[-1].intercept), [float(c) for c in model.stages[-1].coefficients])], "intercept double, coefficients array<double>")
+    """The penalty grid; a constant column gets nothing."""
+    t = _training(spark, d).withColumn("label", (F.col("f1") + F.col("f2") > F.col("y") - 0.2).cast("double")).withColumn("w", 1 + F.col("track_id") % 3).withColumn("constant", F.lit(1.0))
+    found = models.logistic(t, ["f1", "f2", "f3", "constant"], "label", "w")
+    return spark.createDataFrame([(penalty, bias, [float(c) for c in w]) for penalty, (bias, w) in found.items()], "penalty double, intercept double, coefficients array<double>")
 
 
 @query("r_decade_weight", v.sql(", c AS (SELECT CAST(floor(year / 10) * 10 AS INT) AS decade, count(*) AS n FROM tracks GROUP BY 1), w AS (SELECT *, least(power((SELECT max(n) FROM c) / n::DOUBLE, 0.5), 5.0) AS w FROM c) SELECT decade, n, round(w / (SELECT sum(w * n) / sum(n) FROM w), 6) AS weight FROM w", "tracks"))
@@ -375,32 +415,38 @@ def s_nohard_delta(spark: S, d: str) -> D:
     return t.where("mode <> 'O'").unionByName(t.where("mode = 'O'").withColumn("mode", F.lit("random")))
 
 
+def _mixture(spark: S, d: str, epochs: int):
+    from tessera.operators import moe
+
+    t = _training(spark, d).select("track_id", "artist_id", F.array("f1", "f2", "f3").alias("x"), F.round(F.col("y") * 6 + 1995).alias("year"))
+    shape = moe.Shape(3)
+    p, history = moe.train(t.where("artist_id % 10 <> 0"), shape, "track_id", "x", "year", held=t.where("artist_id % 10 = 1"), epochs=epochs)
+    return t, shape, p, history
+
+
 @query("r_ordinal_moe")
 def r_ordinal_moe(spark: S, d: str) -> D:
     from tessera.operators import moe
 
-    t = _training(spark, d).select("track_id", F.array("f1", "f2", "f3").alias("x"), (F.col("y") * 6 + 1995).alias("year"))
-    shape = moe.Shape(3, 1990, 2005)
-    p, _ = moe.train(t, shape, "track_id", "x", "year", epochs=2)
-    return moe.predict(t, shape, p, "track_id", "x")
+    t, shape, p, _ = _mixture(spark, d, 8)
+    return moe.predict(t.where("artist_id % 10 = 0"), shape, p, "track_id", "x")
+
+
+@query("r_moe_schedule")
+def r_moe_schedule(spark: S, d: str) -> D:
+    """Epochs with rate, sampled rows, loss, gradient norm and held-out error of each head."""
+    *_, history = _mixture(spark, d, 8)
+    kinds = {int: "long", float: "double", bool: "boolean"}
+    return spark.createDataFrame([tuple(h.values()) for h in history], ", ".join(f"{k} {kinds[type(e)]}" for k, e in history[0].items()))
 
 
 @query("r_tune")
 def r_tune(spark: S, d: str) -> D:
-    """A staged search: the better depth first, then the better rate at that depth."""
+    """The search over four stages."""
     t = _training(spark, d).persist()
-    train, held = t.where("artist_id % 10 <> 0"), t.where("artist_id % 10 = 0")
-    error = F.sqrt(F.avg((F.col("prediction") - F.col("y")) ** 2))
-    rows, best = [], {"maxDepth": 2, "stepSize": 0.1}
-    for name, values in (("maxDepth", [2, 3]), ("stepSize", [0.1, 0.3])):
-        tried = []
-        for value in values:
-            found = models.boosted_trees(train, ["f1", "f2", "f3"], "y", maxIter=2, **(best | {name: value})).transform(held).agg(error).first()[0]
-            tried.append((float(found or 0.0), float(value)))
-            rows.append((name, float(value), float(found or 0.0)))
-        best[name] = type(best[name])(min(tried)[1])
+    _, rows = models.tuned(t.where("artist_id % 10 <> 0"), t.where("artist_id % 10 = 0"), ["f1", "f2", "f3"], "y", maxIter=3)
     t.unpersist()
-    return spark.createDataFrame(rows, "parameter string, value double, rmse double")
+    return spark.createDataFrame(rows, "stage string, settings string, mae double, chosen boolean")
 
 
 @query("hash_schema")
@@ -420,24 +466,35 @@ def hash_assignments(spark: S, d: str) -> D:
     return t.agg(F.sum(row).cast("string").alias("digest"), F.count("*").alias("n"))
 
 
-@query("agg_partial_fold")
+@query("agg_partial_fold", _LINES + f" SELECT {', '.join(f'round(sum({_F[a]} * {_F[b]}), 4) AS g{a}{b}' for a in range(4) for b in range(a, 4))}, {', '.join(f'round(sum({_F[a]} * y), 4) AS c{a}' for a in range(4))} FROM t1")
 def agg_partial_fold(spark: S, d: str) -> D:
-    with_features = models.fourier_features(_training(spark, d), ["f1", "f2", "f3"], 8, 0.5, 42)
-    weights, bias, loss = models.kernel_descent(with_features, "rff", "y", steps=1)
-    return spark.createDataFrame([(float(loss), float(bias))], "loss double, intercept double")
+    """Sums of products: a matrix from each task, added up."""
+    t = _training(spark, d)
+    m = models.moments(t, F.array("f1", "f2", "f3"), "y", float(t.agg(F.avg("y")).first()[0] or 0.0)).get(0, np.zeros((5, 5)))
+    names = [f"g{a}{b}" for a in range(4) for b in range(a, 4)] + [f"c{a}" for a in range(4)]
+    values = [float(m[a, b]) for a in range(4) for b in range(a, 4)] + [float(m[a, 4]) for a in range(4)]
+    found = spark.createDataFrame([tuple(values)], ", ".join(f"{n} double" for n in names))
+    return found.select(*(F.round(n, 4).alias(n) for n in names))
 
 
 @query("r_lightgbm_eval")
 def r_lightgbm_eval(spark: S, d: str) -> D:
-    """A saved model, loaded again, on the test artists."""
+    """A saved model, loaded again, on the test artists; the columns must be those it was fitted on."""
+    import hashlib
+
     from pyspark.ml import PipelineModel
 
     from tessera.queries.sources import scratch
 
-    t = _training(spark, d)
+    t, columns = _training(spark, d), ["f1", "f2", "f3"]
+    contract = lambda names: hashlib.sha256("\0".join(names).encode()).hexdigest()
     path = scratch(spark, "model")
-    models.boosted_trees(t.where("artist_id % 10 <> 0"), ["f1", "f2", "f3"], "y", maxIter=2, maxDepth=2).write().save(path)
-    return models.regression_metrics(PipelineModel.load(path).transform(t.where("artist_id % 10 = 0")), "prediction", "y", -5.0, 5.0)
+    models.boosted_trees(t.where("artist_id % 10 <> 0"), columns, "y", maxIter=5, maxDepth=3).write().save(f"{path}/model")
+    spark.createDataFrame([(contract(columns),)], "contract string").write.json(f"{path}/contract")
+    model = PipelineModel.load(f"{path}/model")
+    if spark.read.json(f"{path}/contract").first()[0] != contract(model.stages[0].getInputCols()):
+        raise ValueError("the model was fitted on other columns")
+    return models.regression_metrics(model.transform(t.where("artist_id % 10 = 0")), "prediction", "y", -5.0, 5.0)
 
 
 @query("e_dev_report")

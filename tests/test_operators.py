@@ -247,10 +247,62 @@ def test_moe_learns(spark):
     from tessera.operators import moe
 
     rng = np.random.default_rng(5)
-    rows = [(i, [float(e) for e in f], float(np.clip(1990 + 6 * f[0], 1980, 1999))) for i, f in enumerate(rng.normal(size=(200, 2)))]
+    rows = [(i, [float(e) for e in f], float(round(np.clip(1990 + 6 * f[0], 1980, 1999)))) for i, f in enumerate(rng.normal(size=(300, 2)))]
     df = spark.createDataFrame(rows, "id bigint, x array<double>, year double")
     shape = moe.Shape(2, 1980, 1999)
-    p, losses = moe.train(df, shape, "id", "x", "year", epochs=12)
-    assert losses[-1] < losses[0]
+    p, history = moe.train(df.where("id < 200"), shape, "id", "x", "year", held=df.where("id >= 200"), epochs=15, rate=0.2, fraction=0.7)
+    assert [h["epoch"] for h in history] == list(range(1, len(history) + 1)) and history[0]["rate"] == pytest.approx(0.2)
+    assert min(h["mae_blend"] for h in history) < 0.9 * history[0]["mae_blend"]
+    held = moe.errors(df.where("id >= 200"), shape, p, "x", "year")
+    assert held["blend"] == pytest.approx(min(h["mae_blend"] for h in history))
     heads = moe.forward(shape, p, np.array([r[1] for r in rows]))
-    assert np.isfinite(heads["combined"]).all() and (np.diff(heads["above"], axis=1) <= 1e-12).all()
+    assert np.isfinite(heads["blend"]).all() and (np.diff(heads["above"], axis=1) <= 1e-12).all()
+    assert np.allclose(heads["blend"], 0.2 * heads["ordinal"] + 0.8 * heads["mixture"])
+
+
+def test_moments_are_all_steps(spark):
+    """Descent on sums of products is the descent on rows, in full and on batches."""
+    rng = np.random.default_rng(3)
+    m, y = rng.normal(size=(200, 3)), rng.normal(size=200) + 1990
+    df = spark.createDataFrame([(i, *map(float, f), float(t)) for i, (f, t) in enumerate(zip(m, y, strict=True))], "id long, a double, b double, c double, y double").repartition(3)
+    weights, intercept, losses = models.ridge_descent(df, ["a", "b", "c"], "y", l2=0.1, steps=30)
+    w, b = np.zeros(3), y.mean()
+    for loss in losses:
+        e = m @ w + b - y
+        assert loss == pytest.approx((e * e).mean() + 0.1 * w @ w, rel=1e-9)
+        w, b = w - 0.08 * (2 * m.T @ e / len(y) + 0.2 * w), b - 0.08 * 2 * e.mean()
+    assert weights == pytest.approx(w) and intercept == pytest.approx(b)
+    batches = models.moments(df, F.array("a", "b", "c"), "y", 0.0, 40, 0.25, 7, "id")
+    sizes = [batches[k][3, 3] for k in range(40)]
+    assert len(set(sizes)) > 5 and np.mean(sizes) == pytest.approx(50, rel=0.1)
+    again = models.moments(df.repartition(5), F.array("a", "b", "c"), "y", 0.0, 40, 0.25, 7, "id")
+    assert all(np.allclose(batches[k], again[k]) for k in range(40))
+    assert models.ridge_descent(df.limit(0), ["a", "b", "c"], "y", steps=2)[2] == [0.0, 0.0]
+
+
+def test_kernel_descent_stops(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(e) for e in f], float(f[0] + 0.1 * rng.normal())) for i, f in enumerate(rng.normal(size=(120, 4)))]
+    df = spark.createDataFrame(rows, "id long, m array<double>, y double")
+    for huber in (None, 0.5):
+        weights, bias, history = models.kernel_descent(df.where("id < 80"), "m", "y", held=df.where("id >= 80"), huber=huber, steps=40 if huber else 300, rate=0.3, least=1e-4)
+        assert len(history) < (41 if huber else 300) and history[-1][0] < history[0][0] and weights[0] > 0.7
+
+
+def test_logistic_grid(spark):
+    rng = np.random.default_rng(9)
+    rows = [(float(a), float(b), 1.0, float(a + 0.5 * rng.normal() > 0), 1.0) for a, b in rng.normal(size=(300, 2))]
+    df = spark.createDataFrame(rows, "a double, b double, one double, y double, w double")
+    found = models.logistic(df, ["a", "b", "one"], "y", "w")
+    assert list(found) == [0.1, 0.01, 0.001] and all(w[2] == 0 for _, w in found.values())
+    assert found[0.1][1][0] < found[0.01][1][0] < found[0.001][1][0]
+    with pytest.raises(ValueError, match="convergence"):
+        models.logistic(df, ["a", "b"], "y", steps=2)
+
+
+def test_quota_redistribution():
+    from tessera.operators.ordering import shares
+
+    assert shares({"a": 1, "b": 9, "c": 9}, 10) == {"a": 1, "b": 5, "c": 4}
+    assert shares({"a": 2, "b": 0, "c": 3}, 50) == {"a": 2, "b": 0, "c": 3}
+    assert shares({"a": 10, "b": 10, "c": 10}, 10) == {"a": 4, "b": 3, "c": 3}
