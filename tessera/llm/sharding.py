@@ -21,6 +21,7 @@ ids are kept; with fewer groups than shards the last shards stay empty.
 from __future__ import annotations
 
 import bisect
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
@@ -167,13 +168,15 @@ def shard(df: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str
         number = F.when(F.col("digest") == digest, k).otherwise(number)
     placed = rows.withColumn("shard", number.cast("int"))
 
-    # Slots: runs of a bounded number of rows, whatever group they are of, each behind the runs before it.
+    # Slots are in order of a hash of id and text: runs of it of a bounded number of rows, whatever group they are of, each behind the runs before it.
     runs = max(width(df.sparkSession), -(-rows.count() // rows_a_slot_run))
-    placed = placed.withColumn("run", F.pmod(F.xxhash64("id", "digest"), F.lit(runs)).cast("int"))
+    digits = max(1, math.ceil(math.log(runs, 16)))
+    mixed = F.md5(F.concat(F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit("/"), F.col("digest")).cast("binary"))
+    placed = placed.withColumn("mixed", mixed).withColumn("run", F.substring("mixed", 1, digits))
     counted = placed.groupBy("shard", "run").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counted.select("shard", "run", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    inside = Window.partitionBy("shard", "run").orderBy("id", "digest")
+    inside = Window.partitionBy("shard", "run").orderBy("mixed", "id", "digest")
     numbered = placed.withColumn("place", F.row_number().over(inside))
     joined = numbered.join(offsets, ["shard", "run"])
     return joined.select(
