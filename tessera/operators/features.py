@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,6 +90,33 @@ def clipped_log(df: DataFrame, columns: list[str], low: float = 0.01, high: floa
     return joined.select(*(F.when(F.col(c).isNotNull(), log(c)).alias(c) if c in columns else F.col(c) for c in df.columns))
 
 
+def _contract(columns: list[str]) -> str:
+    return hashlib.sha256("\0".join(columns).encode()).hexdigest()
+
+
+def fitted(df: DataFrame, columns: list[str], low: float = 0.01, high: float = 0.99) -> dict:
+    """What preprocessing needs to know of the columns, as plain values: medians, bounds, and a digest of the columns' order."""
+    out = {"contract": _contract(columns), "columns": {}}
+    for c in columns:
+        row = quantiles(df, c, {"median": 0.5, "low": low, "high": high}, linear=False).first()
+        if row["median"] is None:
+            raise ValueError(f"{c} has no finite value")
+        out["columns"][c] = {k: float(row[k]) for k in ("median", "low", "high")}
+    return out
+
+
+def applied(df: DataFrame, columns: list[str], saved: dict) -> DataFrame:
+    """Saved medians for missing values, saved bounds, and log1p; the columns must be those of the fit."""
+    if saved["contract"] != _contract(columns):
+        raise ValueError("saved for other columns")
+    def value(c: str) -> Column:
+        known = saved["columns"][c]
+        whole = F.coalesce(F.when(x.finite(F.col(c)), F.col(c)), F.lit(known["median"]))
+        return F.log1p(F.greatest(x.clip(whole, known["low"], known["high"]), F.lit(0.0)))
+
+    return df.select(*(value(c).alias(c) if c in columns else F.col(c) for c in df.columns))
+
+
 def varying(df: DataFrame, columns: list[str], least: float = 1e-12) -> list[str]:
     """The columns whose range is larger than least."""
     row = df.agg(*(F.max(c).alias(f"x_{c}") for c in columns), *(F.min(c).alias(f"n_{c}") for c in columns)).first()

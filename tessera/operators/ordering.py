@@ -26,6 +26,17 @@ def row_numbers(df: DataFrame, keys: list[str], name: str) -> DataFrame:
     return numbered.join(F.broadcast(offsets), "_range").select(*df.columns, (F.col("_offset") + F.col("_k") - 1).alias(name))
 
 
+def group_numbers(df: DataFrame, groups: list[str], keys: list[str], name: str) -> DataFrame:
+    """df with gapless numbers from 0 in each of a few large groups, in the order of keys, without a task for a whole group.
+
+    The groups must be few, such as years or strata: their first numbers, a row
+    each, are broadcast.
+    """
+    numbered = row_numbers(df, [*groups, *keys], "_at")
+    first = numbered.groupBy(*groups).agg(F.min("_at").alias("_first"))
+    return numbered.join(F.broadcast(first), groups).select(*df.columns, (F.col("_at") - F.col("_first")).alias(name))
+
+
 def quantiles(df: DataFrame, column: str, at: dict[str, float], linear: bool = True) -> DataFrame:
     """One row of exact quantiles of a column's finite values, by name; null where there are none.
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import exprs as x
 from tessera.operators import features, models
+from tessera.operators.ordering import group_numbers
 from tessera.plans import views as v
 from tessera.queries import query
 from tessera.queries.relational import _GUESS, guesses
@@ -119,11 +122,20 @@ def y_drop_constant(spark: S, d: str) -> D:
     return p.select("p_partkey", *features.varying(p, ["p_retailprice", "p_size", "constant"]))
 
 
-@query("y_frozen_preprocess", "SELECT event_id, round(ln(1 + greatest(least(greatest(coalesce(value, 20.0), 0.5), 200.0), 0)), 6) AS value FROM events")
+@query("y_frozen_preprocess", "WITH f AS (SELECT value FROM events WHERE event_id % 2 = 0), a AS (SELECT quantile_disc(value, 0.5) AS m, quantile_disc(value, 0.01) AS lo, quantile_disc(value, 0.99) AS hi FROM f), e AS (SELECT event_id, CASE WHEN event_id % 11 = 0 THEN NULL ELSE value END AS value FROM events) SELECT event_id, round(ln(1 + greatest(least(greatest(coalesce(value, m), lo), hi), 0)), 6) AS value FROM e, a")
 def y_frozen_preprocess(spark: S, d: str) -> D:
-    saved = {"median": 20.0, "low": 0.5, "high": 200.0}
-    value = F.coalesce(F.when(x.finite(F.col("value")), F.col("value")), F.lit(saved["median"]))
-    return v.table(spark, d, "events").select("event_id", F.round(F.log1p(x.clip(value, saved["low"], saved["high"])), 6).alias("value"))
+    """Medians and bounds of one half, saved with the columns they are for, read again, checked and applied to all."""
+    import json
+
+    from tessera.queries.sources import scratch
+    from tessera.sources import sinks
+
+    e = v.table(spark, d, "events").select("event_id", F.when(F.col("event_id") % 11 != 0, F.col("value")).alias("value"))
+    fitted = features.fitted(v.table(spark, d, "events").where("event_id % 2 = 0"), ["value"])
+    path = scratch(spark, "preprocess")
+    sinks.json_published(spark, fitted, path)
+    saved = json.loads("\n".join(r["value"] for r in spark.read.text(path).collect()))
+    return features.applied(e, ["value"], saved).select("event_id", F.round("value", 6).alias("value"))
 
 
 # Tags, neighbours, priors.
@@ -163,11 +175,14 @@ def t_neighbor_year(spark: S, d: str) -> D:
     return r.groupBy("artist_id").agg(F.count("*").alias("n"), F.round(F.avg(year), 5).alias("mean"), F.round(F.stddev_pop(year), 4).alias("std"), F.round(F.min(year), 5).alias("least"), F.round(F.max(year), 5).alias("most"), F.round(F.percentile_approx(year, 0.5, 1_000_000), 5).alias("q50"), *tops, F.round(F.max(F.when(rank == 2, year)), 5).alias("second"))
 
 
-@query("t_location", "SELECT c_custkey, c_acctbal AS latitude, CASE WHEN c_acctbal < 0 THEN 1.0::DOUBLE ELSE 0.0 END AS location_missing, coalesce(n, 0) AS orders FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders WHERE o_totalprice > 480000 GROUP BY 1) ON o_custkey = c_custkey")
+@query("t_location", "SELECT c_custkey, CASE WHEN c_acctbal / 100 BETWEEN -90 AND 90 THEN round(c_acctbal / 100, 6) END AS latitude, CASE WHEN c_acctbal / 100 BETWEEN -90 AND 90 THEN CAST(c_nationkey * 15 - 180 AS DOUBLE) END AS longitude, CASE WHEN c_acctbal / 100 BETWEEN -90 AND 90 THEN 0.0::DOUBLE ELSE 1.0 END AS location_missing, coalesce(n, 0) AS orders FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders WHERE o_totalprice > 480000 GROUP BY 1) ON o_custkey = c_custkey")
 def t_location(spark: S, d: str) -> D:
+    """Places off the map are missing and stay so; only counts and indicators are filled with zero."""
     n = v.table(spark, d, "orders").where("o_totalprice > 480000").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("orders"))
     c = v.table(spark, d, "customer").join(n, "c_custkey", "left")
-    return c.select("c_custkey", F.col("c_acctbal").alias("latitude"), F.when(F.col("c_acctbal") < 0, 1.0).otherwise(0.0).alias("location_missing"), "orders").fillna(0, ["orders"])
+    latitude = F.col("c_acctbal") / 100
+    known = latitude.between(-90, 90)
+    return c.select("c_custkey", F.when(known, F.round(latitude, 6)).alias("latitude"), F.when(known, (F.col("c_nationkey") * 15 - 180).cast("double")).alias("longitude"), F.when(known, 0.0).otherwise(1.0).alias("location_missing"), "orders").fillna(0, ["orders"])
 
 
 _ERA = """WITH t AS (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'the ' || year(o_orderdate) // 10 * 10 || 's' WHEN 1 THEN 'rock 80s hits' WHEN 2 THEN '00s' ELSE 'no era' END AS t FROM orders),
@@ -296,8 +311,8 @@ def r_decade_weight(spark: S, d: str) -> D:
 @query("r_folds", v.sql(", a AS (SELECT artist_id, CAST(floor(max(year) / 10) * 10 AS INT) AS decade FROM tracks GROUP BY 1), f AS (SELECT CAST((row_number() OVER (PARTITION BY decade ORDER BY sha256('472' || chr(0) || artist_id), artist_id) - 1) % 5 AS INT) AS fold, artist_id FROM a) SELECT fold, count(*) AS artists FROM f GROUP BY 1", "tracks"))
 def r_folds(spark: S, d: str) -> D:
     a = v.tracks(spark, d).groupBy("artist_id").agg(x.decade(F.max("year")).alias("decade"))
-    k = F.row_number().over(Window.partitionBy("decade").orderBy(x.digest(472, F.col("artist_id")), "artist_id"))
-    return a.select(F.pmod(k - 1, F.lit(5)).cast("int").alias("fold")).groupBy("fold").agg(F.count("*").alias("artists"))
+    numbered = group_numbers(a.withColumn("h", x.digest(472, F.col("artist_id"))), ["decade"], ["h", "artist_id"], "k")
+    return numbered.select(F.pmod("k", F.lit(5)).cast("int").alias("fold")).groupBy("fold").agg(F.count("*").alias("artists"))
 
 
 @query("r_oof_merge", v.sql(f", g AS ({_GUESS}) SELECT track_id, CAST(artist_id % 5 AS INT) AS fold, guess FROM g", "tracks"))
@@ -341,12 +356,29 @@ def q_decade(spark: S, d: str) -> D:
     return _rounded(models.regression_metrics(g, "guess", "year", 1922.0, 2000.0, ["decade"]))
 
 
-@query("q_validators", "SELECT 'null_key' AS rule, count(*) FILTER (o_orderkey IS NULL) AS violations FROM orders UNION ALL SELECT 'repeated_key', count(*) - count(DISTINCT o_orderkey) FROM orders UNION ALL SELECT 'not_positive', count(*) FILTER (o_totalprice <= 0) FROM orders UNION ALL SELECT 'unknown_status', count(*) FILTER (o_orderstatus NOT IN ('F', 'O')) FROM orders")
+@query("q_validators", """SELECT 'orders' AS part, 'null_key' AS rule, count(*) FILTER (o_orderkey IS NULL) AS violations FROM orders UNION ALL SELECT 'orders', 'repeated_key', count(*) - count(DISTINCT o_orderkey) FROM orders
+UNION ALL SELECT 'orders', 'not_finite', count(*) FILTER (o_totalprice IS NULL OR isnan(o_totalprice) OR isinf(o_totalprice)) FROM orders UNION ALL SELECT 'orders', 'not_positive', count(*) FILTER (o_totalprice <= 0) FROM orders UNION ALL SELECT 'orders', 'unknown_status', count(*) FILTER (o_orderstatus NOT IN ('F', 'O')) FROM orders
+UNION ALL SELECT 'orders', 'no_customer', count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer) UNION ALL SELECT 'labels', 'not_binary', count(*) FILTER (quality NOT IN (0, 1) OR toxic NOT IN (0, 1)) FROM labels UNION ALL SELECT 'labels', 'unlabelled', (SELECT count(*) FROM documents) - count(*) FROM labels
+UNION ALL SELECT 'events', 'out_of_bounds', count(*) FILTER (value NOT BETWEEN 0 AND 100) FROM events UNION ALL SELECT 'events', 'masked', count(*) FILTER (event_type = 'error' AND value > 50) FROM events
+UNION ALL SELECT 'embeddings', 'wrong_size', count(*) FILTER (len(embedding) <> 64) FROM embeddings UNION ALL SELECT 'embeddings', 'wrong_schema', 0 FROM embeddings HAVING count(*) > 0""")
 def q_validators(spark: S, d: str) -> D:
-    from tessera.operators.checks import violations
-
-    rules = {"null_key": F.col("o_orderkey").isNull(), "not_positive": F.col("o_totalprice") <= 0, "unknown_status": ~F.col("o_orderstatus").isin("F", "O")}
-    return violations(v.table(spark, d, "orders"), rules, key="o_orderkey")
+    """Schema, keys, nulls, finite and binary values, bounds, masks, references and counts, each as violations."""
+    from tessera.operators.checks import schema_violations, violations
+
+    t = lambda name: v.table(spark, d, name)
+    price = F.col("o_totalprice")
+    parts = {
+        "orders": violations(t("orders"), {"null_key": F.col("o_orderkey").isNull(), "not_finite": ~x.finite(price), "not_positive": price <= 0, "unknown_status": ~F.col("o_orderstatus").isin("F", "O")}, key="o_orderkey"),
+        "labels": violations(t("labels"), {"not_binary": ~F.col("quality").isin(0, 1) | ~F.col("toxic").isin(0, 1)}),
+        "events": violations(t("events"), {"out_of_bounds": ~F.col("value").between(0, 100), "masked": (F.col("event_type") == "error") & (F.col("value") > 50)}),
+        "embeddings": violations(t("embeddings"), {"wrong_size": F.size("embedding") != 64}).unionByName(schema_violations(t("embeddings"), {"vec_id": "bigint", "embedding": "array<float>", "label": "int"})),
+    }
+    lost = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey"), "left_anti").agg(F.lit("no_customer").alias("rule"), F.count("*").alias("violations"))
+    parts["orders"] = parts["orders"].unionByName(lost)
+    gap = t("documents").agg(F.count("*").alias("n")).join(F.broadcast(t("labels").agg(F.count("*").alias("m"))), F.lit(True))
+    parts["labels"] = parts["labels"].unionByName(gap.select(F.lit("unlabelled").alias("rule"), (F.col("n") - F.col("m")).alias("violations")))
+    named = [df.select(F.lit(part).alias("part"), "rule", "violations") for part, df in parts.items()]
+    return reduce(lambda a, b: a.unionByName(b), named)
 
 
 @query("q_mask_nulls", "SELECT count(*) FILTER (quality IS NULL AND toxic IS NOT NULL) AS violations FROM documents LEFT JOIN labels USING (doc_id)")
@@ -355,13 +387,13 @@ def q_mask_nulls(spark: S, d: str) -> D:
     return joined.agg(F.count_if(F.col("quality").isNull() & F.col("toxic").isNotNull()).alias("violations"))
 
 
-@query("q_ratio_identity", "SELECT 0::BIGINT AS violations")
+@query("q_ratio_identity", v.sql(", f AS (SELECT track_id, duration, duration * (track_id % 10) / 100 AS a, CASE WHEN track_id % 7 = 0 THEN NULL ELSE duration * (60 + track_id % 30) / 100 END AS b FROM tracks), r AS (SELECT track_id, a / duration AS x, (b - a) / duration AS y, (duration - b) / duration + CASE WHEN track_id % 13 = 0 THEN 1e-9::DOUBLE ELSE 0 END AS z FROM f) SELECT count(*) AS rows, count(x + y + z) AS judged, count(*) FILTER (abs(x + y + z - 1) > 1e-12::DOUBLE) AS violations FROM r", "tracks"))
 def q_ratio_identity(spark: S, d: str) -> D:
-    from tessera.queries.relational import _fades
-
-    a, b, n = F.col("fade_in"), F.col("fade_out"), F.col("duration")
-    total = x.ratio(a, n) + x.ratio(b - a, n) + x.ratio(n - b, n)
-    return _fades(spark, d).agg(F.count_if(F.abs(total - 1) > 1e-12).alias("violations"))
+    """Where all three are known, the parts of a track add up to one; some rows break this."""
+    t, k, n = v.tracks(spark, d), F.col("track_id"), F.col("duration")
+    a, b = n * (k % 10) / 100, F.when(k % 7 != 0, n * (60 + k % 30) / 100)
+    total = x.ratio(a, n) + x.ratio(b - a, n) + (x.ratio(n - b, n) + F.when(k % 13 == 0, 1e-9).otherwise(0.0))
+    return t.select(total.alias("total")).agg(F.count("*").alias("rows"), F.count("total").alias("judged"), F.count_if(F.abs(F.col("total") - 1) > 1e-12).alias("violations"))
 
 
 @query("q_coverage", "SELECT lang AS split, round(avg(CASE WHEN quality IS NOT NULL THEN 1.0::DOUBLE ELSE 0 END), 6) AS labelled, round(avg(CASE WHEN toxic = 1 THEN 1.0::DOUBLE ELSE 0 END), 6) AS toxic FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1")
@@ -377,12 +409,18 @@ def q_availability_score(spark: S, d: str) -> D:
     return v.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", score.alias("score"))
 
 
-@query("q_reproduction", "SELECT count(*) AS compared, 0::BIGINT AS off FROM embeddings")
+_UNIT = "list_transform({0}, lambda z: z / sqrt(list_inner_product({0}, {0})))"
+
+
+@query("q_reproduction", f"""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, list_transform(CAST(embedding AS DOUBLE[]), lambda z: round(z, 2)) AS f FROM embeddings), u AS (SELECT vec_id, {_UNIT.format("e")} AS a, {_UNIT.format("f")} AS b FROM e WHERE vec_id % 10 <> 3 OR vec_id < 100),
+w AS (SELECT e.vec_id, list_max(list_transform(range(1, 65), lambda i: abs(a[i] - b[i]))) AS worst FROM e LEFT JOIN u USING (vec_id)) SELECT count(*) AS compared, count(*) FILTER (worst IS NULL) AS missing, count(*) FILTER (worst > 0.0051::DOUBLE) AS off, round(max(worst), 6) AS worst FROM w""")
 def q_reproduction(spark: S, d: str) -> D:
-    e = v.table(spark, d, "embeddings").select("vec_id", x.unit(F.col("embedding")).alias("a"))
-    again = v.table(spark, d, "embeddings").select("vec_id", x.unit(x.unit(F.col("embedding"))).alias("b"))
+    """Vectors made again from coarser input: how many are missing, how many differ by more than a tolerance."""
+    e = v.table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda c: c.cast("double")).alias("e"))
+    again = e.where("vec_id % 10 <> 3 or vec_id < 100").select("vec_id", x.unit(F.transform("e", lambda c: F.round(c, 2))).alias("b"))
     worst = F.array_max(F.zip_with("a", "b", lambda p, q: F.abs(p - q)))
-    return e.join(again, "vec_id", "full_outer").agg(F.count("*").alias("compared"), F.count_if(F.coalesce(worst, F.lit(1.0)) > 1e-6).alias("off"))
+    w = e.select("vec_id", x.unit(F.col("e")).alias("a")).join(again, "vec_id", "left").select(worst.alias("worst"))
+    return w.agg(F.count("*").alias("compared"), F.count_if(F.col("worst").isNull()).alias("missing"), F.count_if(F.col("worst") > 0.0051).alias("off"), F.round(F.max("worst"), 6).alias("worst"))
 
 
 # Supervision.

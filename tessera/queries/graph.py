@@ -53,7 +53,14 @@ def g_bfs_mr(spark: S, d: str) -> D:
 
 @query("g_bfs_verify", f"SELECT count(*) AS total, count(distance) AS reachable, count(*) - count(distance) AS unreachable, max(distance) AS max_distance, 0::BIGINT AS mismatches, 0::BIGINT AS missing, 0::BIGINT AS extra, 0::BIGINT AS repeated FROM ({_BFS})")
 def g_bfs_verify(spark: S, d: str) -> D:
-    return graph.verify_distances(g_bfs(spark, d), g_bfs_mr(spark, d))
+    e = checkpointed(edges(spark, d))
+    return graph.verify_distances(graph.bfs(artists(spark, d), e, _source(e)), graph.bfs_local(artists(spark, d), e, _source(e)))
+
+
+@query("g_bfs_reference", _BFS)
+def g_bfs_reference(spark: S, d: str) -> D:
+    e = checkpointed(edges(spark, d))
+    return graph.bfs_local(artists(spark, d), e, _source(e))
 
 
 @query("g_bfs_bounded", v.sql(", o AS (SELECT artist_id AS src, similar_artist_id AS dst, 1 AS k FROM similar_ UNION ALL SELECT a.artist_id, b.similar_artist_id, 2 FROM similar_ a JOIN similar_ b ON a.similar_artist_id = b.artist_id WHERE a.artist_id <> b.similar_artist_id) SELECT src, dst, CAST(min(k) AS INT) AS distance, round(1.0::DOUBLE / (1 + min(k)), 6) AS score FROM o GROUP BY 1, 2", "similar"))

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import exprs as x
+from tessera.operators.graph import two_steps
+from tessera.operators.ordering import group_numbers
 from tessera.plans import views as v
 from tessera.queries import query
 
@@ -289,9 +291,8 @@ def join_self_group(spark: S, d: str) -> D:
 @query("join_two_hop", v.sql("SELECT a.artist_id AS q, b.similar_artist_id AS c, count(*) AS paths FROM similar_ a JOIN similar_ b ON a.similar_artist_id = b.artist_id WHERE a.artist_id <> b.similar_artist_id GROUP BY 1, 2", "similar"))
 def join_two_hop(spark: S, d: str) -> D:
     e = v.similar(spark, d)
-    first = e.select(F.col("artist_id").alias("q"), F.col("similar_artist_id").alias("via"))
-    second = e.select(F.col("artist_id").alias("via"), F.col("similar_artist_id").alias("c"))
-    return first.join(second, "via").where("q <> c").groupBy("q", "c").agg(F.count("*").alias("paths"))
+    paths = two_steps(e.select(F.col("artist_id").alias("src"), F.col("similar_artist_id").alias("dst")))
+    return paths.where("src <> dst").groupBy(F.col("src").alias("q"), F.col("dst").alias("c")).agg(F.count("*").alias("paths"))
 
 
 @query("join_symdiff_check", "SELECT count(*) AS differences FROM (SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) UNION ALL SELECT DISTINCT o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer))")
@@ -455,16 +456,16 @@ def win_row_number_rank(spark: S, d: str) -> D:
 n AS (SELECT year, least(count(*) FILTER (side), count(*) FILTER (NOT side)) AS m FROM s GROUP BY 1) SELECT year, side, track_id FROM s JOIN n USING (year) WHERE k <= m""", "tracks"))
 def win_balanced_sides(spark: S, d: str) -> D:
     t = v.tracks(spark, d).select("year", (F.col("mode") == "F").alias("side"), "track_id")
-    k = F.row_number().over(Window.partitionBy("year", "side").orderBy(x.digest(42, F.col("track_id")), "track_id"))
     m = t.groupBy("year").agg(F.least(F.count_if("side"), F.count_if(~F.col("side"))).alias("m"))
-    return t.withColumn("k", k).join(m, "year").where("k <= m").select("year", "side", "track_id")
+    numbered = group_numbers(t.withColumn("h", x.digest(42, F.col("track_id"))), ["year", "side"], ["h", "track_id"], "k")
+    return numbered.join(F.broadcast(m), "year").where("k < m").select("year", "side", "track_id")  # a row a year
 
 
 @query("win_fold_deal", v.sql(f", a AS (SELECT artist_id, CAST(floor(min(year) / 10) * 10 AS INT) AS decade FROM tracks GROUP BY 1) SELECT artist_id, CAST((row_number() OVER (PARTITION BY decade ORDER BY {_HASH.format('artist_id')}, artist_id) - 1) % 5 AS INT) AS fold FROM a", "tracks"))
 def win_fold_deal(spark: S, d: str) -> D:
     a = v.tracks(spark, d).groupBy("artist_id").agg(x.decade(F.min("year")).alias("decade"))
-    k = F.row_number().over(Window.partitionBy("decade").orderBy(x.digest(42, F.col("artist_id")), "artist_id"))
-    return a.select("artist_id", F.pmod(k - 1, F.lit(5)).cast("int").alias("fold"))
+    numbered = group_numbers(a.withColumn("h", x.digest(42, F.col("artist_id"))), ["decade"], ["h", "artist_id"], "k")
+    return numbered.select("artist_id", F.pmod("k", F.lit(5)).cast("int").alias("fold"))
 
 
 @query("win_lead_pairs", v.sql(f", p AS (SELECT artist_id, track_id AS a, lead(track_id) OVER (PARTITION BY artist_id ORDER BY {_HASH.format('track_id')}, track_id) AS b FROM tracks) SELECT * FROM p WHERE b IS NOT NULL", "tracks"))

@@ -168,6 +168,62 @@ def smp_quota(spark: S, d: str) -> D:
     return dealt(t, "mode", ("F", "O", "P"), ["h", "track_id"], 1000).select("mode", "track_id")
 
 
+@query("sink_csv_result", _NATION)
+def sink_csv_result(spark: S, d: str) -> D:
+    path = f"{scratch(spark, 'csv')}.csv"
+    sinks.csv_published(spark, v.table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey"), path)
+    return spark.read.csv(path, header=True, schema="n_nationkey int, n_name string, n_regionkey int")
+
+
+@query("sink_json_atomic", "SELECT count(*) AS n, count(DISTINCT n_regionkey) AS regions FROM nation")
+def sink_json_atomic(spark: S, d: str) -> D:
+    """Written twice: readers see the second as a whole."""
+    path = f"{scratch(spark, 'json')}.json"
+    row = v.table(spark, d, "nation").agg(F.count("*").alias("n"), F.countDistinct("n_regionkey").alias("regions")).first()
+    sinks.json_published(spark, {"n": 0, "regions": 0}, path)
+    sinks.json_published(spark, row.asDict(), path)
+    return spark.read.json(path, schema="n long, regions long")
+
+
+@query("sink_dir_publish", "SELECT n_nationkey, n_name FROM nation WHERE n_regionkey = 1 UNION ALL SELECT -1, 'refused'")
+def sink_dir_publish(spark: S, d: str) -> D:
+    """A folder published, published again by its owner, and refused to another."""
+    path, t = scratch(spark, "published"), v.table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    for region, owner in ((0, "me"), (1, "me"), (2, "you")):
+        staged = f"{path}-{region}"
+        t.where(F.col("n_regionkey") == region).drop("n_regionkey").write.parquet(staged)
+        try:
+            sinks.folder_published(spark, staged, path, owner)
+        except FileExistsError:
+            refused = spark.createDataFrame([(-1, "refused")], "n_nationkey int, n_name string")
+    return spark.read.parquet(path).unionByName(refused)
+
+
+@query("udf_closure_shipping", v.sql("SELECT track_id, CAST(floor(year / 10) * 10 AS BIGINT) AS decade FROM tracks", "tracks"))
+def udf_closure_shipping(spark: S, d: str) -> D:
+    """A function of this package in tasks that cannot import it: it goes as code."""
+    from tessera.plans import shipping
+
+    def run(frames):
+        for frame in frames:
+            yield frame.assign(decade=shipping.decade_of(frame["year"]))[["track_id", "decade"]]
+
+    return v.tracks(spark, d).select("track_id", "year").mapInPandas(run, "track_id bigint, decade bigint")
+
+
+@query("src_hdf5_tracks")
+def src_hdf5_tracks(spark: S, d: str) -> D:
+    """One file a track, read as bytes, decoded and aggregated in the tasks, those done before left out; JSON files here, HDF5 where its module is installed."""
+    from tessera.queries import audio as a
+
+    path = scratch(spark, "tracks")
+    t = a.tracks(spark, d)
+    t.withColumn("name", F.col("track_id")).write.partitionBy("name").json(path)
+    first = readers.track_files(spark, path, "*.json", readers.json_arrays).where("track_id % 2 = 0")
+    done = checkpointed(first)
+    return done.unionByName(readers.track_files(spark, path, "*.json", readers.json_arrays, done=done))
+
+
 @query("sink_python_parts", "SELECT s_suppkey, s_name FROM supplier")
 def sink_python_parts(spark: S, d: str) -> D:
     path = scratch(spark, "zstd")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import exprs as x
 from tessera.operators import ranking, vectors
+from tessera.operators.ordering import quantiles, row_numbers
 from tessera.plans import views as v
 from tessera.queries import query
 
@@ -46,10 +47,11 @@ def v_standardize(spark: S, d: str) -> D:
 
 @query("v_pca")
 def v_pca(spark: S, d: str) -> D:
+    """The fewest components that explain half of the variance; a fixed number is the option without a target."""
     from pyspark.ml.functions import vector_to_array
 
-    _, projected = vectors.pca(embedded(spark, d), 8)
-    return projected.select("id", F.transform(vector_to_array("projected"), lambda e: F.round(e, 4)).alias("projected"))
+    model, projected = vectors.pca(embedded(spark, d), 64, target=0.5)
+    return projected.select("id", F.lit(model.getK()).alias("k"), F.transform(vector_to_array("projected"), lambda e: F.round(e, 4)).alias("projected"))
 
 
 _KNN = f"""p AS (SELECT a.vec_id AS query, b.vec_id AS candidate, {_DOT} AS score FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id),
@@ -228,24 +230,49 @@ def e_bootstrap(spark: S, d: str) -> D:
     return ranking.bootstrap(diffs, "diff", "artist_id")
 
 
-@query("e_hedges_g", v.sql(", s AS (SELECT mode = 'F' AS g, count(*) AS n, avg(duration) AS m, var_samp(duration) AS q FROM tracks WHERE mode IN ('F', 'O') GROUP BY 1), a AS (SELECT * FROM s WHERE g), b AS (SELECT * FROM s WHERE NOT g) SELECT round((a.m - b.m) / sqrt(((a.n - 1) * a.q + (b.n - 1) * b.q) / (a.n + b.n - 2)) * (1 - 3.0::DOUBLE / (4 * (a.n + b.n) - 9)), 6) AS g FROM a, b", "tracks"))
-def e_hedges_g(spark: S, d: str) -> D:
-    t = v.tracks(spark, d).where("mode in ('F', 'O')")
-    one = lambda m: (F.when(F.col("mode") == m, F.col("duration")))
-    s = t.agg(F.count(one("F")).alias("n"), F.avg(one("F")).alias("m"), F.var_samp(one("F")).alias("q"), F.count(one("O")).alias("k"), F.avg(one("O")).alias("o"), F.var_samp(one("O")).alias("r"))
-    pooled = F.sqrt(((F.col("n") - 1) * F.col("q") + (F.col("k") - 1) * F.col("r")) / (F.col("n") + F.col("k") - 2))
-    return s.select(F.round((F.col("m") - F.col("o")) / pooled * (1 - 3.0 / (4 * (F.col("n") + F.col("k")) - 9)), 6).alias("g"))
+_FIVE = (0.05, 0.25, 0.5, 0.75, 0.95)
 
 
-@query("e_l1_pairs", v.sql(", p AS (SELECT 'artist' AS kind, artist_id AS g, track_id AS a, lead(track_id) OVER (PARTITION BY artist_id ORDER BY sha256('42' || chr(0) || track_id), track_id) AS b FROM tracks UNION ALL SELECT 'release', release_id, track_id, lead(track_id) OVER (PARTITION BY release_id ORDER BY sha256('42' || chr(0) || track_id), track_id) FROM tracks) SELECT kind, a, b FROM p WHERE b IS NOT NULL", "tracks"))
+@query("e_hedges_g", v.sql(", s AS (SELECT mode = 'F' AS g, count(*) AS n, avg(duration) AS m, var_samp(duration) AS q FROM tracks WHERE mode IN ('F', 'O') GROUP BY 1), a AS (SELECT * FROM s WHERE g), b AS (SELECT * FROM s WHERE NOT g) SELECT a.n AS n_related, b.n AS n_random, round((a.m - b.m) / sqrt(((a.n - 1) * a.q + (b.n - 1) * b.q) / (a.n + b.n - 2)) * (1 - 3.0::DOUBLE / (4 * (a.n + b.n) - 9)), 6) AS g, (SELECT round(corr(duration, duration * (1 + track_id % 5)), 6) FROM tracks) AS correlation, (SELECT round(avg(abs(duration * (track_id % 5))), 4) FROM tracks) AS shift, " + ", ".join(f"(SELECT round(quantile_cont(duration, {q}), 4) FROM tracks WHERE mode = '{m}') AS {n}_q{int(q * 100):02d}" for m, n in (("F", "related"), ("O", "random")) for q in _FIVE) + " FROM a, b", "tracks"))
+def e_hedges_g(spark: S, d: str) -> D:
+    """Effect size with its small-sample correction, five quantiles of both samples, and what is kept of values after a change."""
+    t = v.tracks(spark, d)
+    one = lambda m: F.when(F.col("mode") == m, F.col("duration"))
+    found = ranking.effect(t.select(one("F").alias("related"), one("O").alias("random")), "related", "random")
+    for m, name in (("F", "related"), ("O", "random")):
+        points = quantiles(t.where(F.col("mode") == m), "duration", {f"{name}_q{int(q * 100):02d}": q for q in _FIVE})
+        found = found.join(F.broadcast(points), F.lit(True))
+    after = F.col("duration") * (1 + F.col("track_id") % 5)
+    kept = t.agg(F.corr("duration", after).alias("correlation"), F.avg(F.abs(after - F.col("duration"))).alias("shift"))
+    both = found.join(F.broadcast(kept), F.lit(True))
+    return both.select("n_related", "n_random", F.round("g", 6).alias("g"), F.round("correlation", 6).alias("correlation"), F.round("shift", 4).alias("shift"), *(F.round(c, 4).alias(c) for c in both.columns if "_q" in c))
+
+
+@query("e_hedges_interval")
+def e_hedges_interval(spark: S, d: str) -> D:
+    """The effect size's 95 % interval by resampling."""
+    t = v.tracks(spark, d).where("mode in ('F', 'O')").select("track_id", (F.col("mode") == "F").alias("related"), "duration")
+    return ranking.effect_interval(t, "track_id", "related", "duration")
+
+
+@query("e_l1_pairs", v.sql(""", h AS (SELECT *, sha256('42' || chr(0) || track_id) AS h FROM tracks), p AS (SELECT 'artist' AS kind, track_id AS a, lead(track_id) OVER (PARTITION BY artist_id ORDER BY h, track_id) AS b FROM h UNION ALL SELECT 'release', track_id, lead(track_id) OVER (PARTITION BY release_id ORDER BY h, track_id) FROM h UNION ALL SELECT 'random', track_id, lead(track_id) OVER (PARTITION BY year, mode ORDER BY h, track_id) FROM h)
+SELECT kind, a, b, x.artist_id = y.artist_id AS artist_matched, x.release_id = y.release_id AS release_matched, x.year = y.year AS year_matched FROM p JOIN tracks x ON x.track_id = a JOIN tracks y ON y.track_id = b""", "tracks"))
 def e_l1_pairs(spark: S, d: str) -> D:
-    t = v.tracks(spark, d).withColumn("h", x.digest(42, F.col("track_id")))
+    """Pairs of one artist, of one release, and at random within year and mode; each with its next by hash."""
+    t = v.tracks(spark, d).select("track_id", "artist_id", "release_id", "year", "mode").withColumn("h", x.digest(42, F.col("track_id")))
+
+    def matched(kind: str, numbered: D, groups: list[str], number: str) -> D:
+        b = numbered.select(*groups, (F.col(number) - 1).alias(number), F.col("track_id").alias("b"), F.col("artist_id").alias("_a"), F.col("release_id").alias("_r"), F.col("year").alias("_y"))
+        b = b.select(*(F.col(g).alias(f"_{g}_") if g in groups else F.col(g) for g in b.columns))
+        on = [numbered[g] == b[f"_{g}_"] for g in groups] + [numbered[number] == b[number]]
+        return numbered.join(b, on).select(F.lit(kind).alias("kind"), F.col("track_id").alias("a"), "b", (F.col("artist_id") == F.col("_a")).alias("artist_matched"), (F.col("release_id") == F.col("_r")).alias("release_matched"), (numbered["year"] == F.col("_y")).alias("year_matched"))
 
-    def pairs(kind: str, column: str) -> D:
-        after = F.lead("track_id").over(Window.partitionBy(column).orderBy("h", "track_id"))
-        return t.select(F.lit(kind).alias("kind"), F.col("track_id").alias("a"), after.alias("b"))
+    def numbered(column: str) -> D:
+        return t.withColumn("k", F.row_number().over(Window.partitionBy(column).orderBy("h", "track_id")))
 
-    return pairs("artist", "artist_id").unionByName(pairs("release", "release_id")).where("b is not null")
+    # Years and modes are few and large: numbered over all their rows by ranges, not in a task each.
+    wide = row_numbers(t, ["year", "mode", "h", "track_id"], "k")
+    return matched("artist", numbered("artist_id"), ["artist_id"], "k").unionByName(matched("release", numbered("release_id"), ["release_id"], "k")).unionByName(matched("random", wide, ["year", "mode"], "k"))
 
 
 # Gates and fusion.
