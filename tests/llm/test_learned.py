@@ -1,10 +1,15 @@
 """Operators that learn: 1 toxicity and 8 language."""
 
+import math
+import re
 import unicodedata
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
+from tessera.llm import bytekit as bk
 from tessera.llm import language, toxicity
 from tests.llm import conftest as cases
 
@@ -116,6 +121,80 @@ def test_grammar(spark):
     assert got["target"] > got["none"] == got["parting"]
 
 
+ALNUM = re.compile(rb"[0-9a-z\x80-\xff]+")
+SYMBOL = {w.encode(): kind for kind, words in toxicity.WORDS.items() if kind != toxicity.INSULT for w in words}
+
+
+def unit(part):
+    chunk = bk.Chunk(pa.RecordBatch.from_arrays([pa.array([part], pa.binary())], names=["text"]), "text")
+    return int(chunk.span_hash(np.array([0]), np.array([len(part)]))[0])
+
+
+def clauses(text):
+    """Words of each clause: a new one begins behind a mark of its end."""
+    low, out, end = (text or "").encode().lower(), [], 0
+    for m in ALNUM.finditer(low):
+        if not out or re.search(rb"[.!?;\n]", low[end : m.start()]):
+            out.append([])
+        out[-1].append(m.group())
+        end = m.end()
+    return out
+
+
+def units_of(words):
+    return {(0, unit(w)) for w in words} | {(n, unit(w[:n])) for w in words for n in range(4, 9) if len(w) >= n}
+
+
+def brute_score(text, model):
+    """Word by word through the three transducers, one after another."""
+    machines, total, matched = (toxicity.negation(), toxicity.reported(), toxicity.scoring()), 0.0, 0
+    for words in clauses(text):
+        state, clause = [0, 0, 0], 0.0
+        for w in words:
+            weight = max([model.units.get(0, {}).get(unit(w), 0.0)] + [model.units.get(n, {}).get(unit(w[:n]), 0.0) for n in range(4, 9) if len(w) >= n])
+            symbol = SYMBOL.get(w, toxicity.INSULT if weight > 0 else toxicity.OTHER)
+            weight = 2.0 if symbol == toxicity.THREAT else weight
+            for k, machine in enumerate(machines):
+                state[k], symbol, factor = machine.arcs[state[k], symbol]
+            clause += factor * weight  # only the last one weighs
+        total, matched = total + clause, matched + (clause > 0)
+    return 1 / (1 + math.exp(-max(-30, min(30, model.bias + model.slope * math.log1p(total))))), matched
+
+
+@pytest.mark.parametrize("table", ["awkward", "documents"])
+def test_toxicity_by_brute_force(spark, table, request):
+    """Scores of every text, and which words are learned, against plain loops."""
+    df, labels = request.getfixturevalue(table), spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    model = toxicity.fit(df, labels, least_texts=2, least_contexts=1)
+    rows = [(r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()]
+    got = Counter((r["doc_id"], round(r["score"], 9), r["n_clauses"], r["predicted"]) for r in toxicity.score(df, model).collect())
+    expected = [(i, *brute_score(t, model)) for i, t in rows]
+    assert got == Counter((i, round(s, 9), n, int(s >= 0.7)) for i, s, n in expected)
+
+    known = {r["doc_id"]: r["toxic"] for r in labels.collect()}
+    texts = [(t, known[i]) for i, t in rows if i is not None and known.get(i) is not None]
+    toxic, clean = sum(y for _, y in texts), sum(1 - y for _, y in texts)
+    n, m = Counter(), Counter()
+    for t, y in texts:
+        (n if y else m).update(units_of([w for c in clauses(t) for w in c]))
+    learned = {(0, unit(w.encode())) for w in toxicity.WORDS[toxicity.INSULT]}
+    for u, often in n.items():
+        odds = math.log((often + 0.5) / (toxic + 1)) - math.log((m[u] + 0.5) / (clean + 1))
+        if often >= 2 and odds >= 3.0 and m[u] <= 0.03 * often:
+            learned.add(u)
+            assert model.units[u[0]][u[1]] == pytest.approx(min(odds, 6.0) / 3.0)
+    if toxic and clean:
+        assert {(length, h) for length, hashes in model.units.items() for h in hashes} == learned
+
+
+def test_isolated_words_weigh_less(spark):
+    """The same insult counts by its clause: alone, behind another, behind a target."""
+    model = toxicity.Model(units={0: {toxicity._hash("idiot"): 2.0}})
+    texts = ["an idiot", "an idiot and idiot", "you idiot", "idiot. an", "never an idiot"]
+    got = [r["score"] for r in toxicity.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).orderBy("doc_id").collect()]
+    assert got[0] == got[3] < got[2] < got[1] and got[4] < got[0] < 0.7
+
+
 def test_toxic_held_out(spark):
     folder = "/root/testdata/sf0.1"
     df, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
