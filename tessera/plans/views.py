@@ -26,11 +26,10 @@ def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct (artist_id, tag, source)."""
-    bought = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    owned = bought.join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    term = owned.select(F.col("o_custkey").alias("artist_id"), F.concat_ws("-", "p_brand", "p_size").alias("tag"), F.lit("term").alias("source"))
-    name = owned.select(F.col("o_custkey").alias("artist_id"), F.col("p_name").alias("tag"), F.lit("mbtag").alias("source"))
-    return term.unionByName(name).distinct()
+    bought = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").join(table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size", "p_name"), F.col("l_partkey") == F.col("p_partkey"))
+    owned = bought.join(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    both = F.array(F.struct(F.concat_ws("-", "p_brand", "p_size").alias("tag"), F.lit("term").alias("source")), F.struct(F.col("p_name").alias("tag"), F.lit("mbtag").alias("source")))
+    return owned.select(F.col("o_custkey").alias("artist_id"), F.inline(both)).distinct()  # one pass for both kinds
 
 
 def similar(spark: SparkSession, sf_dir: str) -> DataFrame:

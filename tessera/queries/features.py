@@ -533,17 +533,3 @@ def r_lightgbm_eval(spark: S, d: str) -> D:
     if spark.read.json(f"{path}/contract").first()[0] != contract(model.stages[0].getInputCols()):
         raise ValueError("the model was fitted on other columns")
     return models.regression_metrics(model.transform(t.where("artist_id % 10 = 0")), "prediction", "y", -5.0, 5.0)
-
-
-@query("e_dev_report")
-def e_dev_report(spark: S, d: str) -> D:
-    """Recall, metrics, random expectation and slices as rows (part, measure, value)."""
-    from tessera.queries import recommend as rec
-    from tessera.queries import vectors as q
-
-    parts = {"metrics": q.e_macro(spark, d), "pool": q.r_pool_audit(spark, d), "sizes": q.r_pool_size_dist(spark, d), "bootstrap": q.e_bootstrap(spark, d), "catalog": rec.e_catalog_report(spark, d)}
-    out = None
-    for part, df in parts.items():
-        long = df.select(F.inline(F.array(*(F.struct(F.lit(part).alias("part"), F.lit(c).alias("measure"), F.col(c).cast("double").alias("value")) for c in df.columns))))
-        out = long if out is None else out.unionByName(long)
-    return out

@@ -500,3 +500,35 @@ def e_catalog_report(spark: S, d: str) -> D:
     found = shown.agg(F.countDistinct("track_id").alias("tracks"), F.countDistinct("artist_id").alias("artists"), F.avg("duration").alias("popularity"), F.avg(F.when(F.col("duration") <= F.col("t"), 1.0).otherwise(0.0)).alias("tail"))
     both = found.join(F.broadcast(whole), F.lit(True))
     return both.select(F.round(F.col("tracks") / F.col("n"), 6).alias("coverage"), F.round(F.col("artists") / F.col("m"), 6).alias("artists"), F.round("popularity", 4).alias("popularity"), F.round("tail", 6).alias("tail"))
+
+
+@query("e_dev_report")
+def e_dev_report(spark: S, d: str) -> D:
+    """One table (part, measure, value, note): the candidates, each scorer's gain, what chance gives, decades, a bootstrap, the catalog, and digests of what it was made from."""
+    import hashlib
+
+    c = Catalog(spark, d)
+    gains = checkpointed(evaluated(c))
+    pool = checkpointed(c.pool())
+    limits = checkpointed(thresholds(c))
+    groups = checkpointed(validation_groups(c, _rounded(c.raw(pool), "cos_audio", "tag_tfidf_cosine", places=9), limits))
+    value = lambda df, part, measure, column, note=None: df.select(F.lit(part).alias("part"), measure.alias("measure"), F.col(column).cast("double").alias("value"), (note if note is not None else F.lit(None).cast("string")).alias("note"))
+    parts = [value(gains.groupBy("scorer", "grp").agg(F.avg("ndcg").alias("v")), "ndcg", F.concat_ws("/", "scorer", "grp"), "v")]
+    audit = ranking.audited(pool.withColumn("score", F.lit(0.0)), QUOTA).agg(F.avg("unique_candidates").alias("unique"), F.avg("exclusive").alias("exclusive"), F.avg("shortage").alias("shortage"), F.avg("duplicates").alias("duplicates"))
+    parts.append(value(audit.select(F.inline(F.array(*(F.struct(F.lit(m).alias("m"), F.col(m).alias("v")) for m in audit.columns)))), "candidates", F.col("m"), "v"))
+    sizes = pool.groupBy("query").agg(F.countDistinct("candidate").alias("n")).join(groups.groupBy("query", "grp").agg(F.count("*").alias("positives")), "query")
+    chance = ranking.random_expectation(sizes.withColumn("query", F.concat_ws("/", "query", "grp")), (PLACES,)).withColumn("grp", F.substring_index("query", "/", -1))
+    parts.append(value(chance.groupBy("grp").agg(F.avg(f"ndcg{PLACES}").alias("v")), "chance", F.col("grp"), "v"))
+    by_decade = gains.where("scorer = 'full'").join(c.cat.select(F.col("track_id").alias("query"), x.decade(F.col("year")).alias("decade")), "query").groupBy("decade").agg(F.avg("ndcg").alias("v"))
+    parts.append(value(by_decade, "decade", F.col("decade").cast("string"), "v"))
+    wide = gains.groupBy("query", "grp").agg(*(F.max(F.when(F.col("scorer") == s, F.col("ndcg"))).alias(s) for s in ("full", "c1")))
+    interval = ranking.bootstrap(wide.select("query", (F.col("full") - F.col("c1")).alias("diff")), "diff", "query")
+    parts.append(value(interval.select(F.inline(F.array(*(F.struct(F.lit(m).alias("m"), F.col(m).alias("v")) for m in interval.columns)))), "full_against_c1", F.col("m"), "v"))
+    shown = e_catalog_report(spark, d)
+    parts.append(value(shown.select(F.inline(F.array(*(F.struct(F.lit(m).alias("m"), F.col(m).alias("v")) for m in shown.columns)))), "catalog", F.col("m"), "v"))
+    made = [(t, hashlib.sha256(v.table(spark, d, t).schema.json().encode()).hexdigest()) for t in ("orders", "lineitem", "part", "embeddings")] + [("model", hashlib.sha256(repr((MODEL, INTERCEPT, GATE)).encode()).hexdigest())]
+    parts.append(spark.createDataFrame([("made_from", name, None, digest) for name, digest in made], "part string, measure string, value double, note string"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
