@@ -367,21 +367,59 @@ def _fetched(wanted: DataFrame, texts: DataFrame, parts: int, buckets: int, leng
     return _beside(wanted, texts, parts, ["i8", "i8", "i4", "u8", "i4"], each, flush, schema)
 
 
+def _ends(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The texts' bytes, each followed by a zero, and where each starts, with the end."""
+    data = np.frombuffer(b"\0".join([*texts, b""]), dtype=np.uint8)
+    return data, np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])]).astype(np.int64)
+
+
+def _window_hashes(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all windows of the joined texts, and which lie within one text."""
+    whole = bk.Chunk(pa.RecordBatch.from_arrays([pa.array([b"\0".join([*texts, b""])], pa.binary())], names=["text"]), "text")
+    grams = whole.rolling_hash(length)
+    starts = _ends(texts)[1]
+    edge = np.zeros(len(grams) + 1, dtype=np.int64)
+    windows = np.array([len(t) - length + 1 for t in texts])
+    some = windows > 0
+    edge[starts[:-1][some]] += 1
+    edge[(starts[:-1] + windows)[some]] -= 1
+    return grams, np.cumsum(edge)[:-1] > 0
+
+
 def agreeing(texts: list[bytes], length: int) -> list[np.ndarray]:
-    """By text, the places whose first length bytes agree with those of another place in these texts."""
-    joined = np.zeros(sum(map(len, texts)) + len(texts), dtype=np.int64)
-    starts, at = [], 0
-    for text in texts:
-        starts.append(at)
-        joined[at : at + len(text)] = np.frombuffer(text, dtype=np.uint8)
-        joined[at : at + len(text)] += 1
-        at += len(text) + 1
+    """By text, the places whose first length bytes agree with those of another place in these texts.
+
+    Hashes of the windows show which stretches can hold such places; only these
+    are suffix-sorted, and neighbours compared by their bytes.
+    """
+    found = [np.zeros(0, np.int64) for _ in texts]
+    grams, valid = _window_hashes(texts, length)
+    at = np.flatnonzero(valid)
+    ordered = np.sort(grams[at])
+    twice = ordered[1:][ordered[1:] == ordered[:-1]]
+    if not len(twice):
+        return found
+    place = np.minimum(np.searchsorted(twice, grams[at]), len(twice) - 1)
+    at = at[twice[place] == grams[at]]
+    starts = _ends(texts)[1]
+    owner = np.searchsorted(starts, at, side="right") - 1
+    heads = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+    chosen, first, last = owner[heads], at[heads] - starts[owner[heads]], at[np.append(heads[1:] - 1, len(at) - 1)] - starts[owner[heads]]
+    parts = [texts[t][a : b + length] for t, a, b in zip(chosen.tolist(), first.tolist(), last.tolist(), strict=True)]
+    for t, a, places in zip(chosen.tolist(), first.tolist(), _sorted_alike(parts, length), strict=True):
+        found[t] = places + a
+    return found
+
+
+def _sorted_alike(texts: list[bytes], length: int) -> list[np.ndarray]:
+    """By text, the places that agree with a neighbour in suffix order in their first length bytes."""
+    data, starts = _ends(texts)
+    joined = data.astype(np.int64) + 1
+    joined[starts[1:] - 1] = 0
     order = suffix_array(joined)
-    whole = bk.Chunk(pa.RecordBatch.from_arrays([pa.array([b"\0".join([*texts, b""])], pa.binary())], names=["text"]), "text")
-    grams, data, n = whole.rolling_hash(length), whole.data, len(joined)
-    valid = np.zeros(n, dtype=bool)
-    for start, text in zip(starts, texts, strict=True):
-        valid[start : start + max(0, len(text) - length + 1)] = True
+    grams, valid = _window_hashes(texts, length)
+    n = len(joined)
+    order = order[order < len(grams)]
     order = order[valid[order]]
     head = grams[order]
     near = np.flatnonzero(head[1:] == head[:-1])
@@ -399,7 +437,7 @@ def agreeing(texts: list[bytes], length: int) -> list[np.ndarray]:
             before = np.concatenate([[0], np.cumsum(apart)])
             same = np.flatnonzero(before[length:] == before[:-length])
             marked[a + same] = marked[b + same] = True
-    return [np.flatnonzero(marked[s : s + len(t)]) for s, t in zip(starts, texts, strict=True)]
+    return [np.flatnonzero(marked[s : e - 1]) for s, e in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
 
 
 def _sorted(fetched: DataFrame, parts: int, buckets: int, length: int) -> DataFrame:
