@@ -4,13 +4,17 @@ A document's set is its distinct word shingles; equal sets are one node.  Sets
 of sizes a and b that are similar enough differ in few shingles: with s the
 similarity, in (a + b)(1 - s)/(1 + s) at most.  Sizes are cut into bands, a
 band's domain is divided by hash into partitions, and a set signs each of its
-first d + 1 partitions that hold something of it, d being the most shingles it
-can differ in from a set of the band.  Two such sets agree in one signature at
-least, since each shingle they differ in spoils one partition.  (This is the
-enumeration with second-level subsets of size one; of all exact forms it has
-the fewest signatures.  In bands of small sets there are 2**40 partitions,
-one for each shingle.  Should a set ever fill too few partitions, its band is done again
-that way, so that no case is lost.)
+first d + m partitions that hold something of it, d being the most shingles it
+can differ in from a set of the band, and signs every subset of m of them.  Each
+shingle in which two sets differ spoils one partition, and at most d stand
+before the first m that are not spoiled: so both sets have these m among their
+first d + m, and share the signature of that subset.  Small sets, in whose bands
+there are 2**40 partitions, one for each shingle, sign all pairs (m = 2): two
+different sets that are similar share four shingles at least, and a frequent
+shingle alone brings nothing together.  For larger sets a partition holds many
+shingles and m is 1, which of all exact forms has the fewest signatures.  Should
+a set ever fill too few partitions, its band is done again with a partition for
+each shingle, so that no case is lost.
 
 Signatures travel as packed arrays, by hash bucket.  Sets that meet in a
 signature are compared by parity bitmaps, a lower bound of their difference,
@@ -112,7 +116,8 @@ def signatures(sets: ShingleSets, rows: np.ndarray, percent: int, fine: frozense
         v, r = value[here], row[here]
         if not len(v):
             continue
-        single = np.isin(band, list(fine)) | (band < _FINE_BELOW)
+        small = band < _FINE_BELOW
+        single = np.isin(band, list(fine)) | small
         spot = bk.mix(v ^ _U(0x2545F4914F6CDD1D) + band[r].astype(_U))
         part = np.where(single[r], spot >> _U(24), spot % parts[r].astype(_U)).astype(np.int64)
         order = np.argsort(r << 40 | part)
@@ -122,11 +127,19 @@ def signatures(sets: ShingleSets, rows: np.ndarray, percent: int, fine: frozense
         r, part = r[heads], part[heads]
         begin = np.searchsorted(r, np.arange(len(sets.size) + 1))
         rank = np.arange(len(r)) - begin[r]
-        keep = rank < need[r]
+        keep = rank < need[r] + small[r]
         lacking = takes & (np.diff(begin) < need) & ~single
         short |= set(band[lacking].tolist())
-        out.append(bk.mix(held + bk.mix(part.astype(_U) * _U(64) + band[r].astype(_U)))[keep])
-        owner.append(r[keep])
+        r, part, held = r[keep], part[keep], held[keep]
+        signed = bk.mix(held + bk.mix(part.astype(_U) * _U(64) + band[r].astype(_U)))
+        alone = ~small[r]
+        out.append(signed[alone])
+        owner.append(r[alone])
+        r, signed = r[~alone], signed[~alone]
+        for apart in range(1, int(np.bincount(r).max()) if len(r) else 0):  # every pair of a small set's partitions
+            pair = r[apart:] == r[:-apart]
+            out.append(bk.mix(signed[:-apart][pair] * _U(0x9FB21C651E98DF25) + signed[apart:][pair]))
+            owner.append(r[apart:][pair])
     if not out:
         return np.zeros(0, _U), np.zeros(0, np.int64), short
     return np.concatenate(out), np.concatenate(owner), short
