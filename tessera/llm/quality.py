@@ -61,6 +61,7 @@ class QualityRules:
     max_repeat_share: float = 0.30
     repeat_window: int = 8
     max_mark_share: float = 0.25  # marks per non-blank byte of a line
+    min_marks: int = 3  # a line of one short word and its stop is none of marks
     max_bang_share: float = 0.50  # words of a line that end in two marks alike
     max_divider_share: float = 0.20  # | < > per word of a line: navigation
     min_dividers: int = 3
@@ -136,7 +137,7 @@ def measure(chunk: bk.Chunk, rules: QualityRules) -> dict[str, np.ndarray]:
     filled_words = np.maximum(l_words, 1)
 
     bad_marks = (
-        (marks > rules.max_mark_share * np.maximum(solid, 1)) | (l_bangs > rules.max_bang_share * filled_words) | (l_stutters > rules.max_stutter_share * filled_words) | (~stopped & (l_words > rules.unstopped_words))
+        ((marks >= rules.min_marks) & (marks > rules.max_mark_share * np.maximum(solid, 1))) | (l_bangs > rules.max_bang_share * filled_words) | (l_stutters > rules.max_stutter_share * filled_words) | (~stopped & (l_words > rules.unstopped_words))
     )
     navigation = (dividers >= rules.min_dividers) & (dividers > rules.max_divider_share * filled_words)
     boiler = np.zeros(len(l_start), dtype=bool)

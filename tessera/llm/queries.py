@@ -132,7 +132,7 @@ l0 AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS l, unnest(range(CAST(l
 l1 AS (SELECT doc_id, k, l, {_FOLD.format("l")} AS low, regexp_extract_all(l, '[^\\x20\\x09-\\x0D]+') AS w FROM l0),
 l2 AS (SELECT *, len(w) AS n, list_sum(list_transform(w, lambda x: strlen(x))) AS solid, len(regexp_extract_all(l, '{_MARK}')) AS marks, len(regexp_extract_all(l, '[|<>]')) AS dividers,
   len(list_filter(w, lambda x: len(x) > 1 AND x[-1] = x[-2] AND regexp_matches(x[-1], '{_MARK}'))) AS bangs, len(list_filter(range(2, CAST(len(w) + 1 AS BIGINT)), lambda i: w[i] = w[i - 1])) AS stutters, regexp_matches(l, '[.!?]|[^\\x00-\\x7F]') AS stopped FROM l1 WHERE len(w) > 0),
-l3 AS (SELECT *, marks > 0.25::DOUBLE * solid OR bangs > 0.5::DOUBLE * n OR stutters > 0.35::DOUBLE * n OR (NOT stopped AND n > 60) OR (dividers >= 3 AND dividers > 0.2::DOUBLE * n) OR (n <= 12 AND ({_BOILER})) AS failed,
+l3 AS (SELECT *, (marks >= 3 AND marks > 0.25::DOUBLE * solid) OR bangs > 0.5::DOUBLE * n OR stutters > 0.35::DOUBLE * n OR (NOT stopped AND n > 60) OR (dividers >= 3 AND dividers > 0.2::DOUBLE * n) OR (n <= 12 AND ({_BOILER})) AS failed,
   row_number() OVER (PARTITION BY doc_id, l ORDER BY k) > 1 AS again FROM l2),
 m AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (failed) AS n_failed, count(*) FILTER (again) AS n_dup, coalesce(sum(solid) FILTER (failed), 0) / sum(solid)::DOUBLE AS lost FROM l3 GROUP BY 1),
 c AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: len(x))), 0) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, coalesce(n_dup, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words,
