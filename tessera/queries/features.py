@@ -13,7 +13,7 @@ from tessera.operators import features, models
 from tessera.operators.ordering import group_numbers
 from tessera.plans import views as v
 from tessera.queries import query
-from tessera.queries.relational import _GUESS, guesses
+from tessera.queries.relational import _GUESS, _PART, guesses
 
 S, D = SparkSession, DataFrame
 
@@ -200,7 +200,10 @@ def str_era(spark: S, d: str) -> D:
 # Splits, metrics, models.
 
 
-@query("d_split_artist")
+_SPLIT = _PART + ", split AS (SELECT track_id, artist_id, CASE WHEN year BETWEEN 1922 AND 2011 THEN year END AS label, CASE WHEN artist_id % 10 = 0 THEN 'test' WHEN part < 1000 THEN 'validation' ELSE 'train' END AS split FROM tracks JOIN part USING (artist_id))"
+
+
+@query("d_split_artist", v.sql(_SPLIT + " SELECT * FROM split", "tracks"))
 def d_split_artist(spark: S, d: str) -> D:
     part = F.pmod(F.xxhash64(F.concat(F.lit("472:"), "artist_id")), F.lit(10000))
     label = F.when(F.col("year").between(1922, 2011), F.col("year"))
@@ -331,7 +334,17 @@ def r_stack(spark: S, d: str) -> D:
     return models.stack_weight(p, "a", "b", "year").withColumn("weight", F.round("weight", 6))
 
 
-@query("r_linear_ensemble")
+def _det(m: list[list[str]]) -> str:
+    """A determinant of three rows, as SQL."""
+    minor = lambda i, j: f"({m[1][i]} * {m[2][j]} - {m[1][j]} * {m[2][i]})"
+    return f"({m[0][0]} * {minor(1, 2)} - {m[0][1]} * {minor(0, 2)} + {m[0][2]} * {minor(0, 1)})"
+
+
+_NORMAL = [["n", "sa", "sb"], ["sa", "aa", "ab"], ["sb", "ab", "bb"]]
+_CRAMER = [f"{_det([[('sy', 'ta', 'tb')[i] if j == k else _NORMAL[i][j] for j in range(3)] for i in range(3)])} / {_det(_NORMAL)}" for k in range(3)]
+
+
+@query("r_linear_ensemble", v.sql(f", g AS ({_GUESS}), p AS (SELECT year - 1995.0::DOUBLE AS y, guess - 1995.0::DOUBLE AS a, year - 1995.0::DOUBLE + (track_id % 7 - 3) AS b FROM g), s AS (SELECT count(*)::DOUBLE AS n, sum(a) AS sa, sum(b) AS sb, sum(a * a) AS aa, sum(a * b) AS ab, sum(b * b) AS bb, sum(y) AS sy, sum(a * y) AS ta, sum(b * y) AS tb FROM p) SELECT round({_CRAMER[0]}, 6) AS intercept, round({_CRAMER[1]}, 6) AS a, round({_CRAMER[2]}, 6) AS b FROM s", "tracks"))
 def r_linear_ensemble(spark: S, d: str) -> D:
     p = guesses(spark, d).select((F.col("year") - 1995.0).alias("y"), (F.col("guess") - 1995).alias("a"), (F.col("year") - 1995 + (F.col("track_id") % 7 - 3)).alias("b"))
     found = np.round(models.linear_ensemble(p, ["a", "b"], "y"), 6)
@@ -496,7 +509,7 @@ def hash_schema(spark: S, d: str) -> D:
     return spark.createDataFrame(rows, "name string, digest string")
 
 
-@query("hash_assignments")
+@query("hash_assignments", v.sql(_SPLIT + " SELECT CAST(sum(CAST('0x' || substr(sha256(track_id || chr(0) || split), 1, 15) AS HUGEINT)) AS VARCHAR) AS digest, count(*) AS n FROM split", "tracks"))
 def hash_assignments(spark: S, d: str) -> D:
     """One digest of a table's rows that does not depend on their order: the sum of the rows' hashes."""
     t = d_split_artist(spark, d)

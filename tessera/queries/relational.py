@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import exprs as x
 from tessera.operators.graph import two_steps
 from tessera.operators.ordering import group_numbers
+from tessera.plans import hashes
 from tessera.plans import views as v
 from tessera.queries import query
 
@@ -614,14 +615,17 @@ def hash_rotation(spark: S, d: str) -> D:
     return r.select("artist_id", "track_id", F.pmod(F.col("place") - turn, F.col("n")).alias("rotated"))
 
 
-@query("hash_xx_split")
+_PART = hashes.xxhash_ctes("(SELECT DISTINCT artist_id FROM tracks)", "'472:' || artist_id", "artist_id") + ", part AS (SELECT artist_id, (h % 10000 + 10000) % 10000 AS part FROM hashed)"
+
+
+@query("hash_xx_split", v.sql(_PART + " SELECT track_id, artist_id, CASE WHEN mode = 'P' THEN 'test' WHEN part < 1000 THEN 'validation' ELSE 'train' END AS split FROM tracks JOIN part USING (artist_id)", "tracks"))
 def hash_xx_split(spark: S, d: str) -> D:
     part = F.pmod(F.xxhash64(F.concat(F.lit("472:"), "artist_id")), F.lit(10000))
     split = F.when(F.col("mode") == "P", "test").when(part < 1000, "validation").otherwise("train")
     return v.tracks(spark, d).select("track_id", "artist_id", split.alias("split"))
 
 
-@query("hash_row_digest")
+@query("hash_row_digest", v.sql("""SELECT track_id, sha256('{"track_id":' || track_id || ',"artist_id":' || artist_id || ',"year":' || year || ',"duration":' || duration || ',"release_id":' || release_id || ',"mode":"' || mode || '","title":"' || title || '"}') AS digest FROM tracks""", "tracks"))
 def hash_row_digest(spark: S, d: str) -> D:
     t = v.tracks(spark, d)
     return t.select("track_id", F.sha2(F.to_json(F.struct(*t.columns)), 256).alias("digest"))

@@ -9,6 +9,7 @@ from tessera.functions import exprs as x
 from tessera.operators import ranking, vectors
 from tessera.operators.ordering import quantiles, row_numbers
 from tessera.plans import views as v
+from tessera.plans.materialize import checkpointed
 from tessera.queries import query
 
 S, D = SparkSession, DataFrame
@@ -99,12 +100,12 @@ def v_idf_artifact(spark: S, d: str) -> D:
     return vectors.tag_weights(_owners(spark, d)).groupBy("tag").agg(F.first("df").alias("df"), F.round(F.first("idf"), 6).alias("idf"))
 
 
-_QUERIES = ", qs AS (SELECT s_suppkey FROM supplier)"
+_QUERIES = ", qs AS (SELECT DISTINCT artist_id FROM tags WHERE artist_id % 20 = 0)"
 
 
 def _cosines(spark: S, d: str) -> D:
-    queries = v.table(spark, d, "supplier").select(F.col("s_suppkey").alias("artist_id"))
-    return vectors.tag_cosine(vectors.tag_weights(_owners(spark, d)), queries)
+    weights = checkpointed(vectors.tag_weights(_owners(spark, d)))
+    return vectors.tag_cosine(weights, weights.select("artist_id").where("artist_id % 20 = 0"))
 
 
 @query("v_sparse_tfidf", v.sql(_QUERIES + _COSINE + " SELECT query, count(*) AS partners, round(avg(score), 6) AS mean, round(max(score), 6) AS top FROM s GROUP BY 1", "tags"))
@@ -180,7 +181,14 @@ def r_pool_size_dist(spark: S, d: str) -> D:
     return sizes.join(F.broadcast(n.agg(F.round(F.avg(F.when(F.col("n") < 34, 1.0).otherwise(0.0)), 6).alias("under"))), F.lit(True))
 
 
-@query("r_backfill")
+_BACKFILL = _POOL.replace("WITH ", "WITH RECURSIVE ", 1) + """, l AS (SELECT query, coalesce(list(candidate ORDER BY rank, candidate) FILTER (source = 'audio'), []) AS t, coalesce(list(candidate ORDER BY rank, candidate) FILTER (source = 'label'), []) AS b, list(candidate) FILTER (source = 'audio' AND rank <= 5) AS have FROM pool GROUP BY 1),
+s(query, t, b, have, turn, i, j, item, source, is_new) AS (SELECT query, t, b, have, 0, 0, 0, NULL::BIGINT, NULL::VARCHAR, NULL::BOOLEAN FROM l UNION ALL
+  SELECT query, t, b, CASE WHEN fresh THEN list_append(have, pick) ELSE have END, CASE WHEN pick IS NULL OR fresh THEN turn + 1 ELSE turn END, i + CASE WHEN pick IS NOT NULL AND turn % 2 = 0 THEN 1 ELSE 0 END, j + CASE WHEN pick IS NOT NULL AND turn % 2 = 1 THEN 1 ELSE 0 END, pick, CASE WHEN turn % 2 = 0 THEN 'tag' ELSE 'bfs' END, fresh
+  FROM (SELECT *, NOT list_contains(have, pick) AS fresh FROM (SELECT query, t, b, have, turn, i, j, CASE WHEN turn % 2 = 0 THEN t[i + 1] ELSE b[j + 1] END AS pick FROM s WHERE len(have) < 15 AND (i < len(t) OR j < len(b)))))
+SELECT query, item AS candidate, source, is_new FROM s WHERE item IS NOT NULL"""
+
+
+@query("r_backfill", _BACKFILL)
 def r_backfill(spark: S, d: str) -> D:
     p = pool(spark, d)
     extra = p.withColumn("source", F.when(F.col("source") == "audio", "tag").otherwise("bfs"))
