@@ -9,9 +9,10 @@ edit be re-encoded from the first changed byte.
 
 A piece that is itself a token is that token, as public encoders have it.
 
-Defined results: a null text encodes as an empty one, to no ids; texts of any
-length are encoded whole; repeated rows repeat their results; special tokens
-are ordinary text.
+Defined results: a null or empty text encodes to no ids; texts of any length are
+encoded whole; repeated rows repeat their results, null ids are kept and there
+are no ties; an empty table gives an empty one; special tokens are ordinary
+text; columns other than id and text are never read.
 """
 
 from __future__ import annotations

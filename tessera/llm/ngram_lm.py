@@ -7,7 +7,7 @@ expectation-maximisation: a tenth of the training texts is deleted from the
 counts, and its tokens are the held-out ones.
 
 Nothing that grows with the corpus is broadcast or collected.  Texts belong to
-blocks by their id.  Tasks send each distinct n-gram of a block with its
+blocks by a hash of id and text, so that no id makes a block of its own.  Tasks send each distinct n-gram of a block with its
 training count to its hash bucket; buckets add up the counts and answer each
 block with the totals of just its n-grams, in order of hash, so that answers
 need no n-gram in them; a block's texts meet its answers and are scored.  The
@@ -20,8 +20,9 @@ N-grams are told apart by 51 bits of a hash.
 Defined results: a null or empty text is one end token; repeated rows count and
 score each time; null ids are kept; there are no ties; an empty table gives an
 empty one; a text longer than a block's share is scored whole in its block;
-columns other than id and text are read only by the two conditions; without training texts every estimate is
-the uniform one and the base score that of an empty corpus.
+columns other than id and text are read only by the two conditions; without
+training texts every estimate is the uniform one and the base score that of an
+empty corpus.
 """
 
 from __future__ import annotations

@@ -15,7 +15,10 @@ cuts are exact.  What reaches the driver does not grow with the corpus.
 
 Defined results: a null text has size 1, as an empty one, and joins its group;
 repeated rows are rows of one group; an empty table gives an empty result; null
-ids are kept; with fewer groups than shards the last shards stay empty.
+ids are kept; with fewer groups than shards the last shards stay empty; groups
+of one size are told apart by their digests, so there are no ties; a text of any
+length is one size and one digest, and one longer than an even share has a shard
+of its own; columns other than id and text are never read.
 """
 
 from __future__ import annotations
