@@ -155,7 +155,7 @@ def _nodes_and_signatures(df: DataFrame, id_col: str, text_col: str, shingle: in
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, count, seen = [], 0, set()
+        held, count, seen, told = [], 0, set(), 0
 
         def flush() -> pa.RecordBatch:
             sig, key = (np.concatenate([h[i] for h in held]) for i in (0, 1))
@@ -180,8 +180,9 @@ def _nodes_and_signatures(df: DataFrame, id_col: str, text_col: str, shingle: in
             held.append((sig, sets.key[owner]))
             count += len(sig)
             none = sets.size == 0
-            spread = (bk.mix(sets.key.view(_U)) >> _U(33)).astype(np.int64) % buckets
             n = chunk.rows
+            spread = (told + np.arange(n)) % buckets  # documents only pass through: copies need not meet
+            told += n
             yield pa.RecordBatch.from_arrays([pa.array(spread, pa.int32()), chunk.batch.column(0), pa.array(sets.key, pa.int64(), mask=none), pa.array(sets.size, pa.int64()), pa.array(bitmaps(sets), pa.binary()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), pa.array([sorted(short)] + [None] * (n - 1), pa.list_(pa.int32()))], names=schema.names)
             if count >= _FLUSH:
                 yield flush()
