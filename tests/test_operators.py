@@ -306,3 +306,135 @@ def test_quota_redistribution():
     assert shares({"a": 1, "b": 9, "c": 9}, 10) == {"a": 1, "b": 5, "c": 4}
     assert shares({"a": 2, "b": 0, "c": 3}, 50) == {"a": 2, "b": 0, "c": 3}
     assert shares({"a": 10, "b": 10, "c": 10}, 10) == {"a": 4, "b": 3, "c": 3}
+
+
+@pytest.mark.parametrize("block", [3, 7, 100])
+def test_searches_by_blocks(spark, block):
+    """However many blocks the two sides have, results are those of one matrix."""
+    rng = np.random.default_rng(11)
+    m = rng.normal(size=(23, 4))
+    m[5] = m[9]  # a tie
+    df = spark.createDataFrame([(i, [float(e) for e in row], i % 3) for i, row in enumerate(m)], "id long, vector array<double>, g int")
+    queries = df.where("id % 2 = 0")
+    scores = m @ m.T
+
+    def best(i, k, own):
+        ok = [j for j in range(23) if j != i and not (own and j % 3 == i % 3)]
+        return sorted(ok, key=lambda j: (-round(scores[i, j], 9), j))[:k]
+
+    for group in (None, "g"):
+        got = {}
+        for r in vectors.knn(df, queries, 4, group_col=group, block=block).collect():
+            got.setdefault(r["query"], {})[r["rank"]] = r["candidate"]
+        assert {q: [c for _, c in sorted(x.items())] for q, x in got.items()} == {i: best(i, 4, group) for i in range(0, 23, 2)}
+    pairs = {(r["query"], r["candidate"]) for r in vectors.above(df, 1.0, block=block).collect()}
+    assert pairs == {(i, j) for i in range(23) for j in range(23) if i != j and scores[i, j] >= 1.0}
+    assert vectors.knn(df.limit(0), queries, 3, block=block).count() == 0 and vectors.knn(df, queries.limit(0), 3, block=block).count() == 0
+
+    owned = [(a, t) for a in range(14) for t in range(9) if (a * t + a) % 4 == 1]
+    weights = vectors.tag_weights(spark.createDataFrame(owned, "artist_id long, tag int"))
+    idf = {r["tag"]: r["idf"] for r in weights.collect()}
+    length = lambda a: sum(idf[t] ** 2 for b, t in owned if b == a) ** 0.5
+    expected = {}
+    for a in {x for x, _ in owned}:
+        for b in {x for x, _ in owned} - {a}:
+            common = sum(idf[t] ** 2 for x, t in owned if x == a and (b, t) in owned)
+            if common:
+                expected[a, b] = common / length(a) / length(b)
+    found = {(r["query"], r["candidate"]): r["score"] for r in vectors.tag_cosine(weights, weights.select("artist_id"), block=block).collect()}
+    assert found == pytest.approx(expected)
+    asked = spark.createDataFrame([(1, 3), (1, 1), (1, 0), (99, 1)], "x long, y long")
+    by_pair = {(r["x"], r["y"]): r["score"] for r in vectors.tag_pair_cosine(weights, asked).collect()}
+    known = {a for a, _ in owned}
+    for (a, b), score in by_pair.items():
+        assert score == (None if not {a, b} <= known else pytest.approx(1.0 if a == b else expected.get((a, b), 0.0)))
+
+
+def test_numbers_in_order(spark):
+    """Global numbers and numbers in groups, whatever the keys' types; exact quantiles between them."""
+    from tessera.operators.ordering import group_numbers, quantiles, row_numbers
+
+    rows = [(f"g{i * 7 % 4}", f"k{i * 13 % 50}", i) for i in range(120)]
+    df = spark.createDataFrame(rows, "g string, k string, i int").repartition(5)
+    ordered = sorted(rows)
+    assert {r["i"]: r["n"] for r in row_numbers(df, ["g", "k", "i"], "n").collect()} == {i: n for n, (_, _, i) in enumerate(ordered)}
+    expected = {}
+    for g in {r[0] for r in rows}:
+        expected |= {i: n for n, (_, _, i) in enumerate(sorted(r for r in rows if r[0] == g))}
+    assert {r["i"]: r["n"] for r in group_numbers(df, ["g"], ["k", "i"], "n").collect()} == expected
+    values = [float(v) for v in np.random.default_rng(2).integers(0, 30, 77)]
+    table = spark.createDataFrame([(v,) for v in values] + [(None,), (float("nan"),)], "v double")
+    got = quantiles(table, "v", {"a": 0.0, "b": 0.37, "c": 0.5, "d": 1.0}).first()
+    assert list(got) == pytest.approx(list(np.quantile(values, [0, 0.37, 0.5, 1])))
+    nearest = quantiles(table, "v", {"a": 0.0, "b": 0.37, "d": 1.0}, linear=False).first()
+    assert list(nearest) == [sorted(values)[max(1, int(np.ceil(q * 77))) - 1] for q in (0.0, 0.37, 1.0)]
+    assert quantiles(table.limit(0), "v", {"a": 0.5}).first()["a"] is None
+
+
+def test_hubs_are_salted(spark):
+    """Paths over a vertex of many edges, dealt over salts or not."""
+    from tessera.operators import graph
+
+    edges = [(i, 100) for i in range(30)] + [(100, 200 + i) for i in range(5)] + [(1, 2), (2, 3), (200, 1)]
+    df = spark.createDataFrame(edges, "src long, dst long").repartition(3)
+    expected = sorted((a, b, d) for a, b in edges for c, d in edges if b == c)
+    for most in (2, 7, 1000):
+        assert sorted(tuple(r) for r in graph.two_steps(df, most).collect()) == expected
+
+
+def test_local_bfs(spark):
+    from tessera.operators import graph
+
+    edges = [("a", "c"), ("a", "b"), ("b", "d"), ("c", "d"), ("d", "a"), ("e", "a"), ("b", "z")]
+    df = spark.createDataFrame(edges, "src string, dst string")
+    ids = spark.createDataFrame([(x,) for x in "abcde"], "id string")
+    found = {r["id"]: (r["distance"], r["parent"]) for r in graph.bfs_local(ids, df, "a").collect()}
+    assert found == {"a": (0, None), "b": (1, "a"), "c": (1, "a"), "d": (2, "b"), "z": (2, "b"), "e": (None, None)}
+    assert found == {r["id"]: (r["distance"], r["parent"]) for r in graph.bfs(ids, df, "a").collect()}
+    with pytest.raises(ValueError, match="more than"):
+        graph.bfs_local(ids, df, "a", most=3)
+
+
+def test_era(spark):
+    from tessera.functions import exprs
+
+    cases = {"the 1980s": 1980, "1980": 1980, "80s hits": 1980, "00s": 2000, "in 1985 and 90s": 1990, "20s": 1920, "10s": None, "80": None, "12345": None, "1910s": None, "2010s": 2010, "": None, "x90s 1970": 1970}
+    df = spark.createDataFrame(list(cases.items()), "t string, e int")
+    assert {r["t"]: r["got"] for r in df.select("t", exprs.era(F.col("t")).alias("got")).collect()} == cases
+
+
+def test_policy_guards(spark):
+    """A policy that breaks a guard never wins; without any that passes, all audio with the largest settings does."""
+    from tessera.operators import recommend
+
+    cells = [(f, g) for f in ("tune", "confirm") for g in ("audio", "relation", "mixed")]
+    baseline = spark.createDataFrame([(f, g, 0.5) for f, g in cells], "fold string, grp string, score double")
+
+    def table(policies):
+        return spark.createDataFrame([(*p, f, g, s) for p, scores in policies.items() for (f, g), s in zip(cells, scores, strict=True)], "reg double, middle long, high long, low_t double, high_t double, fold string, grp string, score double")
+
+    good, better, lossy, timid = (0.01, 18, 16, 0.2, 0.4), (0.001, 17, 16, 0.2, 0.4), (0.1, 16, 16, 0.2, 0.4), (0.1, 19, 19, 0.2, 0.4)
+    all_audio, also = (0.1, 20, 20, 0.2, 0.4), (0.001, 20, 20, 0.2, 0.4)
+    policies = {good: [0.46, 0.6, 0.5] * 2, better: [0.46, 0.65, 0.52] * 2, lossy: [0.44, 0.9, 0.9] * 2, timid: [0.5, 0.501, 0.5] * 2, all_audio: [0.5] * 6, also: [0.5] * 6}
+    best = recommend.select_policy(table(policies), baseline).first()
+    assert tuple(best)[1:6] == better and best["publishable"] and best["feasible"] == 2
+    none = recommend.select_policy(table({k: policies[k] for k in (lossy, timid, all_audio, also)}), baseline).first()
+    assert tuple(none)[1:6] == all_audio and not none["publishable"] and none["feasible"] == 0
+
+
+def test_taken_in_turn(spark):
+    """One of each source in turn, none twice, up to the limit."""
+    import itertools
+
+    from tessera.operators import recommend
+
+    lists = {"a": [1, 2, 3], "b": [2, 1, 4, 5], "c": []}
+    rows = [(7, c, s, k) for s, items in lists.items() for k, c in enumerate(items, 1)]
+    got = recommend.taken_in_turn(spark.createDataFrame(rows, "query long, candidate long, source string, rank int"), ("a", "b", "c"), 4).orderBy("place").collect()
+    assert [r["candidate"] for r in got] == [1, 2, 3, 4]
+    drawn = spark.range(1).select(*(recommend.splitmix(F.lit(s), F.lit(a), F.lit(97)).alias(f"p{i}") for i, (s, a) in enumerate(itertools.product((0, -1, 2**62), (0, 5))))).first()
+    for (s, a), found in zip(itertools.product((0, -1, 2**62), (0, 5)), drawn, strict=True):
+        z = (s + a + 0x9E3779B97F4A7C15) % 2**64
+        z = (z ^ z >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+        z = (z ^ z >> 27) * 0x94D049BB133111EB % 2**64
+        assert found == (z ^ z >> 31) % 97
