@@ -168,6 +168,31 @@ def smp_quota(spark: S, d: str) -> D:
     return dealt(t, "mode", ("F", "O", "P"), ["h", "track_id"], 1000).select("mode", "track_id")
 
 
+_ADJACENCY = v.sql(", n AS (SELECT artist_id AS id, string_agg(CAST(similar_artist_id AS VARCHAR), ',' ORDER BY similar_artist_id) AS neighbors, count(*) AS degree FROM similar_ GROUP BY 1) SELECT id, neighbors, CAST(degree AS INT) AS degree FROM n", "similar")
+
+
+def _adjacency(spark: S, d: str) -> D:
+    """(id, neighbors, degree) as records with an array."""
+    grouped = v.similar(spark, d).groupBy(F.col("artist_id").alias("id")).agg(F.sort_array(F.collect_list("similar_artist_id")).alias("neighbors"))
+    return grouped.withColumn("degree", F.size("neighbors"))
+
+
+@query("sink_avro", _ADJACENCY)
+def sink_avro(spark: S, d: str) -> D:
+    """Adjacency out to Avro files and back."""
+    path = scratch(spark, "avro")
+    sinks.avro(_adjacency(spark, d), path, "Adjacency", "tessera.graph")
+    return readers.avro(spark, path).select("id", F.array_join(F.transform("neighbors", lambda n: n.cast("string")), ",").alias("neighbors"), "degree")
+
+
+@query("src_avro", "SELECT o_orderkey, o_orderstatus, o_totalprice, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_custkey END AS o_custkey, o_orderkey % 2 = 0 AS even FROM orders")
+def src_avro(spark: S, d: str) -> D:
+    """Records with nulls, texts, numbers and flags from Avro files."""
+    path, o = scratch(spark, "avro"), v.table(spark, d, "orders")
+    sinks.avro(o.select("o_orderkey", "o_orderstatus", "o_totalprice", F.when(F.col("o_orderkey") % 3 != 0, F.col("o_custkey")).alias("o_custkey"), (F.col("o_orderkey") % 2 == 0).alias("even")), path, "Order", "tessera.orders")
+    return readers.avro(spark, path)
+
+
 @query("sink_csv_result", _NATION)
 def sink_csv_result(spark: S, d: str) -> D:
     path = f"{scratch(spark, 'csv')}.csv"

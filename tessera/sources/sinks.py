@@ -27,8 +27,10 @@ def sorted_parts(df: DataFrame, path: str, parts: int, *keys: str) -> None:
 
 
 def avro(df: DataFrame, path: str, record: str, namespace: str) -> None:
-    """An Avro folder; needs Spark's own Avro module."""
-    df.write.mode("errorifexists").format("avro").option("recordName", record).option("recordNamespace", namespace).save(path)
+    """A folder of Avro files whose records have that name; an error if the path exists."""
+    from tessera.sources import avro_files
+
+    avro_files.write(df, path, record, namespace)
 
 
 def csv_result(df: DataFrame, path: str, most_rows: int = 100_000) -> None:
