@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import exprs as x
@@ -45,13 +45,23 @@ def quantiles(df: DataFrame, column: str, at: dict[str, float], linear: bool = T
     """
     numbered = row_numbers(df.select(F.col(column).cast("double").alias("_x")).where(x.finite(F.col("_x"))), ["_x"], "_at")
     n = numbered.agg(F.count("*").alias("_n"))
-    found = []
-    for name, q in at.items():
-        place = F.lit(q) * (F.col("_n") - 1) if linear else F.greatest(F.ceil(F.lit(q) * F.col("_n")), F.lit(1)) - 1
-        low, high = F.floor(place), F.ceil(place)
-        value = lambda p: F.max(F.when(F.col("_at") == p, F.col("_x")))
-        found.append((value(low) + (value(high) - value(low)) * F.max(place - low)).alias(name))
-    return numbered.join(F.broadcast(n), F.lit(True)).agg(*found)
+    return numbered.join(F.broadcast(n), F.lit(True)).agg(*(_between(q, linear).alias(name) for name, q in at.items()))
+
+
+def _between(q: float, linear: bool) -> Column:
+    """An aggregate over values _x, numbered _at of _n."""
+    place = F.lit(q) * (F.col("_n") - 1) if linear else F.greatest(F.ceil(F.lit(q) * F.col("_n")), F.lit(1)) - 1
+    low, high = F.floor(place), F.ceil(place)
+    value = lambda p: F.max(F.when(F.col("_at") == p, F.col("_x")))
+    return value(low) + (value(high) - value(low)) * F.max(place - low)
+
+
+def column_quantiles(df: DataFrame, columns: list[str], at: dict[str, float], linear: bool = True) -> DataFrame:
+    """(column, a quantile by each name): the same for several columns at once, a row each; none for a column without finite values."""
+    pairs = F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("_x")) for c in columns))
+    numbered = group_numbers(df.select(F.inline(pairs)).where(x.finite(F.col("_x"))), ["column"], ["_x"], "_at")
+    n = numbered.groupBy("column").agg(F.count("*").alias("_n"))
+    return numbered.join(F.broadcast(n), "column").groupBy("column").agg(*(_between(q, linear).alias(name) for name, q in at.items()))  # a row a column
 
 
 def shares(available: dict[str, int], wanted: int) -> dict[str, int]:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import exprs as x
 from tessera.operators import vectors
-from tessera.operators.ordering import quantiles
+from tessera.operators.ordering import column_quantiles
 
 #: Order of the pair features (fixed).
 FEATURES = (
@@ -87,11 +87,8 @@ def pair_features(pairs: DataFrame, tracks: DataFrame, audio: DataFrame, graph:
 
 def fills(raw: DataFrame) -> DataFrame:
     """One row: the median of each signal that may be missing, 0 where it always is."""
-    out = None
-    for c in FILLED:
-        one = quantiles(raw, c, {c: 0.5}).select(F.coalesce(c, F.lit(0.0)).alias(f"_{c}"))
-        out = one if out is None else out.join(F.broadcast(one), F.lit(True))
-    return out
+    medians = column_quantiles(raw, list(FILLED), {"median": 0.5})
+    return medians.agg(*(F.coalesce(F.max(F.when(F.col("column") == c, F.col("median"))), F.lit(0.0)).alias(f"_{c}") for c in FILLED))
 
 
 def complete(raw: DataFrame, filled: DataFrame) -> DataFrame:

@@ -114,9 +114,10 @@ class Catalog:
         self.asked = self.cat.where("track_id % 20 = 0")
         self.all_tracks = v.tracks(spark, d)
 
-    def likeness(self) -> D:
-        """(x, y, likeness): tag cosines of the queries' artists."""
-        found = vectors.tag_cosine(self.tags, self.asked.select("artist_id"))
+    def likeness(self, among: D | None = None) -> D:
+        """(x, y, likeness): tag cosines of the queries' artists, with all artists or among some."""
+        weights = self.tags if among is None else self.tags.join(among.select("artist_id").distinct(), "artist_id", "left_semi")
+        found = vectors.tag_cosine(weights, self.asked.select("artist_id"))
         return found.select(F.col("query").alias("x"), F.col("candidate").alias("y"), F.round("score", 9).alias("likeness"))
 
     def reached(self, likeness: D) -> D:
@@ -136,7 +137,7 @@ class Catalog:
         own = mine.select("x").distinct().select(F.col("x").alias("query"), F.col("x").alias("candidate"), F.lit(1.0).alias("score"))
         both = alike.unionByName(own).select(F.col("query").alias("x"), F.col("candidate").alias("y"), F.round("score", 9).alias("score"))
         graph = best(mine.join(both, "x").join(theirs, "y").where("query <> candidate"), F.desc("score"), "candidate")
-        likeness = checkpointed(self.likeness())
+        likeness = checkpointed(self.likeness(self.cat))
         tracks = self.cat.select("track_id", "artist_id")
         bfs = r.round_robin(self.reached(likeness), tracks, quota)
         tag = r.round_robin(mine.join(likeness, "x").select("query", F.col("y").alias("artist_id"), F.lit(0).alias("level"), "likeness"), tracks, quota)
