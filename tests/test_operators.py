@@ -438,3 +438,18 @@ def test_taken_in_turn(spark):
         z = (z ^ z >> 30) * 0xBF58476D1CE4E5B9 % 2**64
         z = (z ^ z >> 27) * 0x94D049BB133111EB % 2**64
         assert found == (z ^ z >> 31) % 97
+
+
+def test_bfs_relaxed(small, spark, monkeypatch):
+    """The oracle of g_bfs_verify takes nothing to the driver, so it has no largest graph."""
+    from tessera.queries import QUERIES
+
+    got = {r["id"]: (r["distance"], r["parent"]) for r in graph.bfs_relaxed(*small, "a").collect()}
+    assert got == {"a": (0, None), "b": (1, "a"), "c": (1, "a"), "d": (2, "b"), "z": (2, "b"), "e": (None, None)}
+    with pytest.raises(ValueError):
+        graph.bfs_relaxed(*small, "q")
+    with pytest.raises(ValueError):
+        graph.bfs_relaxed(*small, "a", max_iter=1)
+    monkeypatch.setattr(graph, "bfs_local", None)
+    row = QUERIES["g_bfs_verify"](spark, "/root/testdata/sf0.001").first()
+    assert row["reachable"] > 1 and row["mismatches"] == row["missing"] == row["extra"] == 0
