@@ -453,3 +453,10 @@ def test_bfs_relaxed(small, spark, monkeypatch):
     monkeypatch.setattr(graph, "bfs_local", None)
     row = QUERIES["g_bfs_verify"](spark, "/root/testdata/sf0.001").first()
     assert row["reachable"] > 1 and row["mismatches"] == row["missing"] == row["extra"] == 0
+
+
+def test_bfs_reference_keeps_off_the_driver(spark, monkeypatch):
+    from tessera.queries import QUERIES
+
+    monkeypatch.setattr(graph, "bfs_local", None)
+    assert QUERIES["g_bfs_reference"](spark, "/root/testdata/sf0.001").where("distance is not null").count() > 1
