@@ -460,3 +460,39 @@ def test_bfs_reference_keeps_off_the_driver(spark, monkeypatch):
 
     monkeypatch.setattr(graph, "bfs_local", None)
     assert QUERIES["g_bfs_reference"](spark, "/root/testdata/sf0.001").where("distance is not null").count() > 1
+
+
+def test_catalog_keeps_what_queries_ask_for(spark):
+    """Edges and tags of the artists that can be asked for, the same as in the whole views; not those of all artists."""
+    from tessera.plans import views
+    from tessera.queries.recommend import Catalog
+
+    small = "/root/testdata/sf0.01"
+    c = Catalog(spark, small)
+    own = {r["artist_id"] for r in c.cat.collect()}
+    asked = {r["artist_id"] for r in c.asked.collect()}
+    whole = {(r["artist_id"], r["similar_artist_id"]) for r in views.similar(spark, small).select("artist_id", "similar_artist_id").collect()}
+    near = own | {dst for src, dst in whole if src in asked}
+    assert sorted(tuple(r) for r in c.edges.select("src", "dst").collect()) == sorted(e for e in whole if e[0] in near)
+    tags = {(r["artist_id"], r["tag"]) for r in views.tags(spark, small).where("source = 'mbtag'").collect()}
+    kept = c.tags.select("artist_id", "tag").collect()
+    assert sorted(tuple(r) for r in kept) == sorted(t for t in tags if t[0] in own) and len(kept) < len(tags)
+
+
+def test_checkpoint_drops_its_shuffle_files(spark):
+    import gc
+    import time
+
+    from tessera.plans.materialize import checkpointed
+
+    held = lambda: spark.sparkContext._jsc.sc().env().mapOutputTracker().shuffleStatuses().size()
+    df = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    time.sleep(2)
+    before = held()
+    kept = [checkpointed(df.withColumn("i", F.lit(i))) for i in range(5)]
+    until = time.time() + 10
+    while held() > before + 2 and time.time() < until:
+        time.sleep(0.2)
+    assert held() <= before + 2 and all(k.count() == 7 for k in kept)
