@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import zipfile
@@ -43,7 +44,9 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the cluster's shared folder.
 
     The folder comes from ``spark.checkpoint.dir``; only where that is unset and
-    all runs on one machine, as in tests, is a temporary one chosen.
+    all runs on one machine, as in tests, is a temporary one chosen.  Spark
+    deletes the shuffle files behind a checkpoint only when the driver's garbage
+    is collected, Python's handles first, so that is done here.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
@@ -52,7 +55,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
         if not folder and sc.master.split("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tessera-checkpoint-"))
-    return df.checkpoint(eager=True)
+    kept = df.select("*").checkpoint(eager=True)  # a plan of its own: df would hold on to the shuffles
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return kept
 
 
 def width(spark: SparkSession, least: int = 1) -> int:
