@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import tempfile
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.plans.materialize import let_go
 
 #: Spark's default of rows an Arrow batch, and ours: texts are thousands of bytes each.
 _DEFAULT_ROWS, _ROWS = "10000", "1000"
@@ -44,9 +44,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the cluster's shared folder.
 
     The folder comes from ``spark.checkpoint.dir``; only where that is unset and
-    all runs on one machine, as in tests, is a temporary one chosen.  Spark
-    deletes the shuffle files behind a checkpoint only when the driver's garbage
-    is collected, Python's handles first, so that is done here.
+    all runs on one machine, as in tests, is a temporary one chosen.  The
+    shuffle files behind a checkpoint are let go.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
@@ -56,8 +55,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tessera-checkpoint-"))
     kept = df.select("*").checkpoint(eager=True)  # a plan of its own: df would hold on to the shuffles
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    let_go(spark)
     return kept
 
 

@@ -496,3 +496,19 @@ def test_checkpoint_drops_its_shuffle_files(spark):
     while held() > before + 2 and time.time() < until:
         time.sleep(0.2)
     assert held() <= before + 2 and all(k.count() == 7 for k in kept)
+
+
+def test_checkpoint_drops_its_files_each_time(spark):
+    """Each checkpoint by itself, without a later collection of garbage."""
+    import time
+
+    from tessera.plans.materialize import checkpointed
+
+    held = lambda: spark.sparkContext._jsc.sc().env().mapOutputTracker().shuffleStatuses().size()
+    checkpointed(spark.range(10))
+    for k in range(3):
+        before, df = held(), spark.range(1000).repartition(3, "id").groupBy((F.col("id") % 7 + k).alias("k")).count()
+        kept = checkpointed(df)
+        time.sleep(0.6)
+        assert held() <= before
+        assert kept.count() == 7
