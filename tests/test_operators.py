@@ -512,3 +512,41 @@ def test_checkpoint_drops_its_files_each_time(spark):
         time.sleep(0.6)
         assert held() <= before
         assert kept.count() == 7
+
+
+@pytest.mark.parametrize(("block", "k"), [(2, 3), (100, 3), (3, 50)])
+def test_tag_neighbors_keep_the_best(spark, block, k):
+    """The best of all cosines by score and id, with ties, and without a row a pair."""
+    owned = [(a, f"t{t}") for a in range(40) for t in range(9) if ((a % 13) * t + a % 13) % 4 == 1]
+    df = spark.createDataFrame(owned, "artist_id long, tag string").repartition(3)
+    asked = df.select("artist_id").where("artist_id % 3 = 0")
+    scored = vectors.tag_cosine(vectors.tag_weights(df), asked).collect()
+    expected = {}
+    for q in {r["query"] for r in scored}:
+        mine = sorted((r for r in scored if r["query"] == q), key=lambda r: (-round(r["score"], 9), r["candidate"]))[:k]
+        expected |= {(q, i): (r["candidate"], pytest.approx(r["score"])) for i, r in enumerate(mine, 1)}
+    found = vectors.tag_neighbors(df, asked, k, block=block)
+    assert {(r["query"], r["rank"]): (r["candidate"], r["score"]) for r in found.collect()} == expected
+    assert vectors.tag_neighbors(df, asked.limit(0), k).count() == 0
+
+
+def test_nearest_settles_often():
+    """However often the kept rows are cut down, the best stay."""
+    import pyarrow as pa
+
+    from tessera.operators.nearest import Nearest
+
+    rng = np.random.default_rng(5)
+    lists = [sorted(rng.choice(12, 4, replace=False).tolist()) for _ in range(300)]
+    norms = np.full(300, 2.0)
+    as_lists = lambda x: pa.array(x, pa.list_(pa.int32()))
+    q = list(range(0, 300, 30))
+    n = Nearest(np.array(q), norms[q], as_lists([lists[i] for i in q]), pa.array([[1.0] * 4] * len(q)), 5, 9, tile=7, columns=5, most=60)
+    for low in range(0, 300, 50):
+        n.see(np.arange(low, low + 50), norms[low : low + 50], as_lists(lists[low : low + 50]))
+    got = {}
+    for a, b, _, r in zip(*n.best(), strict=True):
+        got.setdefault(int(a), []).append((int(r), int(b)))
+    for i in q:
+        want = sorted(range(300), key=lambda j: (-len({*lists[i]} & {*lists[j]}), j))[:5]
+        assert [b for _, b in sorted(got[i])] == want
