@@ -550,3 +550,44 @@ def test_nearest_settles_often():
     for i in q:
         want = sorted(range(300), key=lambda j: (-len({*lists[i]} & {*lists[j]}), j))[:5]
         assert [b for _, b in sorted(got[i])] == want
+
+
+def test_idf_counts_owners_in_bits(spark):
+    """Over 64 tags, none at all, repeated orders, lines and parts, strangers; looked up or joined."""
+    from tessera.operators import tagbits
+
+    parts = [(p, f"t{p % 70}") for p in range(100)] + [(100, None), (None, "t0")]
+    orders = [(o, o * 7 % 11) for o in range(40)] + [(40, None), (5, 2), (None, 1)]
+    lines = [(i * 13 % 45, i * 29 % 103) for i in range(300)] + [(None, 1), (1, None)]
+    df = lambda rows, schema: spark.createDataFrame(rows, schema).repartition(3)
+    for more, most in (([], 4_000_000), ([], 10), ([(3, "t69")], 4_000_000)):
+        named = parts + more
+        owned = {(a, t) for o, p in lines for q, a in orders for r, t in named if o == q and p == r and o is not None and p is not None}
+        frames = df(lines, "order long, part long"), df(orders, "order long, artist_id long"), df(named, "part long, tag string")
+        got = {r["tag"]: (r["idf"], r["df"]) for r in tagbits.idf(*frames, most=most).collect()}
+        expected = {r["tag"]: (r["idf"], r["df"]) for r in vectors.tag_idf(df(sorted(owned, key=repr), "artist_id long, tag string")).collect()}
+        assert len(expected) > 64
+        assert got.keys() == expected.keys()
+        assert all(got[t][1] == expected[t][1] and got[t][0] == pytest.approx(expected[t][0]) for t in got)
+
+
+@pytest.mark.parametrize("odd", [False, True])
+def test_follows_of_some_look_at_the_next_orders_only(spark, tmp_path, odd):
+    """Edges of some artists are those of all, with repeated orders and lines without one too; of a part only lines beside theirs are taken."""
+    from tessera.plans import views
+
+    orders = [(i, i * 7 % 12) for i in range(60)]
+    lines = [(i * 31 % 60, i % 3, i * 17 % 4) for i in range(200)]
+    if odd:
+        orders = [o for o in orders if o[0] % 4 != 1] + [(7, 3), (8, 2), (10, None)]
+        lines += [(None, 1, 2), (6, None, 3), (9, 1, None), (11, 2, None)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    for some in ([0, 3], [11], [99]):
+        artists = ordering.checkpointed(spark.createDataFrame([(a,) for a in some], "artist_id long"))
+        found = {tuple(r) for r in views.follows(spark, str(tmp_path), artists).collect()}
+        assert found == {tuple(r) for r in views.follows(spark, str(tmp_path)).collect() if r["artist_id"] in some}
+    if not odd:
+        whole, all_orders = views.table(spark, str(tmp_path), "lineitem"), views.table(spark, str(tmp_path), "orders")
+        taken, _ = views._beside(whole, all_orders, all_orders.where("o_custkey = 11"))
+        assert 0 < taken.count() < len(lines) / 2
