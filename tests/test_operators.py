@@ -591,3 +591,14 @@ def test_follows_of_some_look_at_the_next_orders_only(spark, tmp_path, odd):
         whole, all_orders = views.table(spark, str(tmp_path), "lineitem"), views.table(spark, str(tmp_path), "orders")
         taken, _ = views._beside(whole, all_orders, all_orders.where("o_custkey = 11"))
         assert 0 < taken.count() < len(lines) / 2
+
+
+def test_round_robin_by_hops_compares_reached_artists_only(spark, monkeypatch):
+    """Likeness is asked of the pairs that were reached, not of all that share a tag."""
+    from tessera.queries import recommend
+
+    def refuse(*_):
+        raise AssertionError("all pairs")
+
+    monkeypatch.setattr(vectors, "tag_cosine", refuse)
+    assert recommend.r_round_robin_bfs(spark, "/root/testdata/sf0.001").count() > 0
