@@ -602,3 +602,24 @@ def test_round_robin_by_hops_compares_reached_artists_only(spark, monkeypatch):
 
     monkeypatch.setattr(vectors, "tag_cosine", refuse)
     assert recommend.r_round_robin_bfs(spark, "/root/testdata/sf0.001").count() > 0
+
+
+@pytest.mark.parametrize("sizes", [(4_000_000, 1_000_000), (40, 30), (100, 5)])
+def test_two_steps_in_blocks(spark, sizes):
+    """Paths of two edges and direct edges, by blocks of sources and targets, with a hub; nothing but packed edges is shuffled."""
+    from tessera.operators.twosteps import two_step_pairs
+
+    edges = {(i, 100) for i in range(30)} | {(100, 200 + i) for i in range(5)} | {(i * 7 % 40, i * 11 % 37) for i in range(150)} | {(-5, 3)}
+    edges = {(a, b) for a, b in edges if a != b}
+    paths = Counter((a, d) for a, b in edges for c, d in edges if b == c and a != d)
+    expected = {pair: (paths[pair], pair in edges) for pair in {*paths, *edges}}
+    df = spark.createDataFrame(sorted(edges), "src long, dst long").repartition(3)
+    lists = df.groupBy("src").agg(F.collect_set("dst").alias("to"))
+    rows = two_step_pairs(lists, *sizes).collect()
+    assert len(rows) == len(expected)
+    assert {(r["src"], r["dst"]): (r["paths"], r["direct"]) for r in rows} == expected
+    assert two_step_pairs(lists.limit(0)).count() == 0
+    text = graph.apart_two(df.select(F.col("src").cast("string"), F.col("dst").cast("string"))).collect()
+    assert {(int(r["src"]), int(r["dst"])): (r["paths"], r["direct"]) for r in text} == expected
+    plan = graph.within_two(df)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") == 1
