@@ -623,3 +623,49 @@ def test_two_steps_in_blocks(spark, sizes):
     assert {(int(r["src"]), int(r["dst"])): (r["paths"], r["direct"]) for r in text} == expected
     plan = graph.within_two(df)._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and plan.count("Exchange") == 1
+
+
+@pytest.mark.parametrize("block", [2, 5, 100])
+def test_pairs_are_scored_in_blocks(spark, block):
+    from tessera.operators.pairwise import Dots, TagCosines, scored_pairs
+
+    rng = np.random.default_rng(3)
+    own = {i: sorted({int(t) for t in rng.integers(0, 9, 4)}) for i in range(12)}
+    weight = {t: 1.0 + t / 7 for t in range(9)}
+    norm = {i: math.sqrt(sum(weight[t] ** 2 for t in own[i])) for i in own}
+    pairs = [(i, j) for i in range(14) for j in range(0, 14, 3)] + [(None, 1), (2, None)]
+    asked = spark.createDataFrame(pairs, "x long, y long")
+    rows = spark.createDataFrame([(i, norm[i], [f"t{t}" for t in own[i]], [weight[t] for t in own[i]]) for i in own], "id long, norm double, tags array<string>, idfs array<double>")
+    got = {(r["x"], r["y"]): r["score"] for r in scored_pairs(asked, rows, rows, TagCosines, block).collect()}
+    known = [(i, j) for i, j in pairs if i in own and j in own]
+    assert sorted(got) == sorted(known)
+    for i, j in known:
+        assert got[i, j] == pytest.approx(sum(weight[t] ** 2 for t in set(own[i]) & set(own[j])) / norm[i] / norm[j])
+    m = rng.normal(size=(12, 3))
+    sounds = spark.createDataFrame([(i, [float(e) for e in row]) for i, row in enumerate(m)], "id long, vector array<double>")
+    got = {(r["x"], r["y"]): r["score"] for r in scored_pairs(asked, sounds, sounds, Dots, block).collect()}
+    assert got == {(i, j): pytest.approx(float(m[i] @ m[j])) for i, j in known}
+
+
+def test_round_robin_joins_the_first_artists_only(spark, monkeypatch):
+    """Of each level one artist more than the places is joined to tracks; places are those of all artists."""
+    from tessera.operators import recommend
+
+    joined = []
+    monkeypatch.setattr(recommend, "sized", lambda df: joined.append(df.count()) or df)
+    tracks = spark.createDataFrame([(100 + 2 * a + t, a) for a in range(30) for t in range(2)], "track_id long, artist_id long")
+    reached = spark.createDataFrame([(100, a, 1 + a % 2, 0.5 if a < 20 else 0.9) for a in range(30)], "query long, artist_id long, level int, likeness double")
+    found = [(r["candidate"], r["rank"]) for r in recommend.round_robin(reached, tracks, 8).orderBy("rank").collect()]
+    assert joined == [30]
+    order = sorted(((1 + a % 2, t, -(0.5 if a < 20 else 0.9), 100 + 2 * a, 100 + 2 * a + t) for a in range(30) for t in range(2) if 100 + 2 * a + t != 100))
+    assert found == [(o[-1], k) for k, o in enumerate(order[:8], 1)]
+
+
+def test_pool_compares_no_artists_by_all_their_tags(spark, monkeypatch):
+    """The one search by all pairs that is left is of those that share a follower."""
+    from tessera.queries import recommend
+
+    searched, whole = [], vectors.tag_cosine
+    monkeypatch.setattr(vectors, "tag_cosine", lambda weights, asked: searched.append(dict(weights.dtypes)["tag"]) or whole(weights, asked))
+    assert recommend.r_quota(spark, "/root/testdata/sf0.001").count() > 0
+    assert searched == ["bigint"]
