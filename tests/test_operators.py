@@ -669,3 +669,36 @@ def test_pool_compares_no_artists_by_all_their_tags(spark, monkeypatch):
     monkeypatch.setattr(vectors, "tag_cosine", lambda weights, asked: searched.append(dict(weights.dtypes)["tag"]) or whole(weights, asked))
     assert recommend.r_quota(spark, "/root/testdata/sf0.001").count() > 0
     assert searched == ["bigint"]
+
+
+def test_evaluation_ranks_pairs_once_for_all_scorers(spark, monkeypatch):
+    """Every window of ranks is over a query's pairs, so that a pair is no row for each scorer before the groups are known."""
+    from pyspark.sql import Window
+
+    from tessera.queries import recommend
+
+    names = ["query", "candidate", "query_artist", "candidate_artist", "cos_audio", "cos_graph", "bfs_score", "tag_tfidf_cosine", "year_gap", "same_release", "has_release", "has_graph", "has_bfs", "has_tags", "has_year"]
+    rows = [(q, c, q, c % 3, c / 40, None, 0.5, (c % 7) / 7, float(c % 4), float(c % 2), 1.0, 0.0, 1.0, 1.0, 1.0) for q in (0, 20) for c in range(1, 31)]
+    signals = spark.createDataFrame(rows, ", ".join(f"{n} {'long' if i < 4 else 'double'}" for i, n in enumerate(names)))
+
+    class Few:
+        edges = spark.createDataFrame([(0, 1)], "src long, dst long")
+
+    Few.signals = signals
+    limits = spark.createDataFrame([(0.6, 0.7, 0.4)], "audio_p90 double, tag_p90 double, audio_p50 double")
+    monkeypatch.setattr(recommend, "thresholds", lambda c: limits)
+    asked = []
+    whole = Window.partitionBy
+    monkeypatch.setattr(recommend.Window, "partitionBy", staticmethod(lambda *c: asked.append(c) or whole(*c)))
+    found = recommend.evaluated(Few())
+    assert ("scorer", "query") not in asked
+    got = {(r["scorer"], r["grp"], r["query"]): r["ndcg"] for r in found.collect()}
+    groups = {}
+    for r in recommend.validation_groups(Few(), signals, limits).collect():
+        groups.setdefault((r["grp"], r["query"]), set()).add(r["candidate"])
+    assert groups and {k[1:] for k in got} == set(groups)
+    for (grp, q), members in groups.items():
+        order = sorted(range(1, 31), key=lambda c: (-round(c / 40, 9), c))
+        dcg = sum(1 / math.log2(k + 1) for k, c in enumerate(order, 1) if c in members and k <= 20)
+        ideal = sum(1 / math.log2(k + 1) for k in range(1, min(len(members), 20) + 1))
+        assert got["c1", grp, q] == pytest.approx(dcg / ideal)
