@@ -702,3 +702,47 @@ def test_evaluation_ranks_pairs_once_for_all_scorers(spark, monkeypatch):
         dcg = sum(1 / math.log2(k + 1) for k, c in enumerate(order, 1) if c in members and k <= 20)
         ideal = sum(1 / math.log2(k + 1) for k in range(1, min(len(members), 20) + 1))
         assert got["c1", grp, q] == pytest.approx(dcg / ideal)
+
+
+def test_skipgram_tree():
+    """The tree in runs of equal counts is as good as one built node by node, and no word is on another's path."""
+    import heapq
+
+    import numpy as np
+
+    from tessera.operators import skipgram
+
+    random = np.random.default_rng(1)
+    for _ in range(50):
+        counts = sorted(random.integers(1, int(random.integers(2, 30)), int(random.integers(1, 60))).tolist(), reverse=True)
+        n = len(counts)
+        nodes, codes = skipgram.paths(np.arange(n), skipgram.tree([(c, counts.count(c)) for c in set(counts)]), n)
+        heap, best = list(counts), 0
+        heapq.heapify(heap)
+        while len(heap) > 1:
+            both = heapq.heappop(heap) + heapq.heappop(heap)
+            best += both
+            heapq.heappush(heap, both)
+        assert sum(c * int((p >= 0).sum()) for c, p in zip(counts, nodes, strict=True)) == best
+        assert len({tuple(zip(p[p >= 0], c[p >= 0], strict=True)) for p, c in zip(nodes, codes, strict=True)}) == n
+        assert n == 1 or set(nodes[nodes >= 0]) == set(range(n, 2 * n - 1))
+
+
+def test_skipgram_vectors(spark):
+    """Words that meet come near each other, whether a task holds all of the model or some; a word that meets none keeps a vector; the result is repeatable."""
+    import numpy as np
+
+    from tessera.operators import skipgram
+
+    random = np.random.default_rng(2)
+    rows = [(t * 10 + w, [int(t // 20 * 20 + k) for k in random.integers(0, 20, 12)]) for t in range(40) for w in range(10)] + [(999, [77]), (1000, [])]
+    tokens = spark.createDataFrame(rows, "key long, words array<long>")
+    for most in (1000, 80):  # one round an iteration, and several
+        got = skipgram.vectors(tokens, 16, 5, 3, 0.025, 4, 40, 42, most).collect()
+        again = skipgram.vectors(tokens, 16, 5, 3, 0.025, 4, 40, 42, most).collect() if most == 1000 else got
+        assert {r["word"]: r["vector"] for r in got} == {r["word"]: r["vector"] for r in again}
+        assert sorted(r["word"] for r in got) == [*range(40), 77] and all(len(r["vector"]) == 16 for r in got)
+        v = np.array([np.array(r["vector"]) / np.linalg.norm(r["vector"]) for r in sorted(got, key=lambda r: r["word"]) if r["word"] < 40])
+        near, side = v @ v.T, np.arange(40) // 20
+        alike = side[:, None] == side
+        assert near[alike].mean() > 0.5 > near[~alike].mean() + 0.4
