@@ -746,3 +746,26 @@ def test_skipgram_vectors(spark):
         near, side = v @ v.T, np.arange(40) // 20
         alike = side[:, None] == side
         assert near[alike].mean() > 0.5 > near[~alike].mean() + 0.4
+
+
+def test_word2vec_is_whole(spark, monkeypatch):
+    """The query walks 10 times 40 tracks and trains 128 numbers in 5 iterations, a window of 5 and 20 partitions."""
+    from tessera.operators import skipgram
+    from tessera.queries import graph as queries
+
+    seen = {}
+    train = skipgram.vectors
+
+    def walks(tracks, edges, owners, **shape):
+        seen.update(shape)
+        return spark.createDataFrame([(1, 0, [1, 2, 1]), (2, 0, [2, 1]), (3, 0, [3])], "track_id long, walk_id int, walk_seq array<long>")
+
+    def vectors(tokens, size, window, iterations, step, partitions, longest, seed):
+        seen.update(size=size, window=window, iterations=iterations, step=step, partitions=partitions, longest=longest)
+        return train(tokens, size, window, 1, step, 2, longest, seed)
+
+    monkeypatch.setattr(queries.graph, "walks", walks)
+    monkeypatch.setattr(skipgram, "vectors", vectors)
+    got = queries.g_word2vec(spark, "/root/testdata/sf0.001").collect()
+    assert seen == {"per_track": 10, "steps": 40, "size": 128, "window": 5, "iterations": 5, "step": 0.025, "partitions": 20, "longest": 40}
+    assert sorted(map(tuple, got)) == [(1, 128, True), (2, 128, True), (3, 128, True)]
