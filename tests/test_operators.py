@@ -769,3 +769,65 @@ def test_word2vec_is_whole(spark, monkeypatch):
     got = queries.g_word2vec(spark, "/root/testdata/sf0.001").collect()
     assert seen == {"per_track": 10, "steps": 40, "size": 128, "window": 5, "iterations": 5, "step": 0.025, "partitions": 20, "longest": 40}
     assert sorted(map(tuple, got)) == [(1, 128, True), (2, 128, True), (3, 128, True)]
+
+
+def test_report_metrics(spark):
+    """Chance's reciprocal rank against all orders, metrics by the positives there are, and draws with replacement of as many rows as there are."""
+    from itertools import combinations
+
+    for n, p in ((5, 1), (6, 3), (4, 4)):
+        firsts = [min(places) + 1 for places in combinations(range(n), p)]
+        assert spark.range(1).select(ranking.expected_mrr(F.lit(n), F.lit(p))).first()[0] == pytest.approx(sum(1 / f for f in firsts) / len(firsts))
+    hits = spark.createDataFrame([(1, "a", 2, None), (1, "a", 15, 3)], "query int, grp string, s int, t int")
+    got = {(r["scorer"], r["metric"]): r["value"] for r in ranking.ranked_metrics(hits, ["s", "t"], (10, 20)).collect()}
+    best = 1 + 1 / np.log2(3)
+    assert got["s", "mrr"] == 0.5 and got["t", "mrr"] == pytest.approx(1 / 3) and got["s", "recall@10"] == got["t", "recall@20"] == 0.5 and got["s", "recall@20"] == 1
+    assert got["s", "ndcg@10"] == pytest.approx(1 / np.log2(3) / best) and got["t", "ndcg@20"] == pytest.approx(0.5 / best)
+    rows = spark.createDataFrame([(i, "ab"[i % 3 == 0], float(i), 1.0) for i in range(90)], "query int, grp string, v double, one double")
+    drawn = ranking.resampled(rows, "query", ["v", "one"], 300, stratum="grp", block=16).collect()
+    assert {(r["stratum"], r["one"]) for r in drawn} == {("a", 60.0), ("b", 30.0)} and len(drawn) == 600
+    assert np.std([r["v"] / 60 for r in drawn if r["stratum"] == "a"]) == pytest.approx(26 / 60**0.5, rel=0.25)
+    for cluster in (None, "artist"):
+        r = ranking.paired_intervals(rows.withColumn("artist", F.col("query") % 30), ["v"], 300, cluster=cluster).first()
+        assert r["low"] < r["point"] < r["high"] and r["point"] == pytest.approx(44.25) and 0 < r["samples"] <= 300
+
+
+def test_report_rankings(spark):
+    """The learned lists begin with places in turn with audio, unknown scores come last, and the cold list leaves out what audio alone found."""
+    from tessera.operators import recommend
+    from tessera.queries import recommend as queries
+
+    raw = [f for f in recommend.FEATURES if f not in ("audio_tag_interaction", "graph_bfs_interaction")]
+    rows = []
+    for i in range(30):
+        known = {"cos_audio": i / 30, "cos_graph": 0.5 if i == 3 else 0.0, "has_graph": float(i == 3), "has_bfs": float(i in (4, 5)), "bfs_score": {4: 0.5, 5: 1.0}.get(i, 0.9), "tag_tfidf_cosine": 1 - i / 30}
+        rows.append((0, i, ["audio"] if i >= 25 else ["audio", "tag"], *(known.get(f, 0.0) for f in raw)))
+    whole = spark.createDataFrame(rows, "query int, candidate int, sources array<string>, " + ", ".join(f"{f} double" for f in raw))
+    whole = whole.withColumn("audio_tag_interaction", F.col("cos_audio") * F.col("tag_tfidf_cosine")).withColumn("graph_bfs_interaction", F.col("cos_graph") * F.col("bfs_score"))
+    got = {r["candidate"]: r for r in queries.rankings(whole, spark.createDataFrame([(0.5,)], "_cos_audio double")).collect()}
+    order = lambda n: sorted((c for c in got if got[c][n] is not None), key=lambda c: got[c][n])
+    assert order("c1_only") == list(range(29, -1, -1)) and order("c2_only")[0] == 3 and order("bfs")[:2] == [5, 4] and order("bfs")[2] == 0
+    assert order("precomputed_acoustic_cold") and not set(order("precomputed_acoustic_cold")) & set(range(25, 30))
+    assert sorted(order("full")) == list(range(30)) and sorted(got[c]["full"] for c in got) == list(range(1, 31))
+
+
+def test_report_is_whole(spark):
+    """All parts are there, each with every scorer, group, cutoff and baseline; and digests follow contents."""
+    from tessera.queries import recommend as queries
+
+    rows = queries.e_dev_report(spark, "/root/testdata/sf0.001").collect()
+    got = {(r["part"], r["measure"]): r for r in rows}
+    assert len(got) == len(rows)
+    parts = {"queries", "group_eligibility", "candidate_counts", "candidates", "candidate_layer", "ranking", "query_bootstrap", "artist_cluster_bootstrap", "catalog", "coverage", "decade", "made_from"}
+    assert {p for p, _ in got} == parts
+    for scorer in (*queries.REPORTED, "random_expectation"):
+        for group in ("audio", "relation", "mixed", "three_strata_macro"):
+            for metric in ("mrr", *(f"{m}@{k}" for k in (10, 20, 50) for m in ("recall", "hit", "ndcg"))):
+                assert 0 <= got["ranking", f"{scorer}/{group}/{metric}"]["value"] <= 1 + 1e-9
+    for baseline in ("random", "c1_only", "c2_only", "handcrafted", "bfs", "no_hard_neg"):
+        for part, draws in (("query_bootstrap", 2000), ("artist_cluster_bootstrap", 1000)):
+            low, point, high = (got[part, f"{baseline}/{m}"]["value"] for m in ("ci95_low", "point_difference", "ci95_high"))
+            assert low <= point <= high and 0 < got[part, f"{baseline}/samples"]["value"] <= draws
+    a, b, c = (spark.createDataFrame(r, "x int, y string") for r in ([(1, None), (2, "b")], [(2, "b"), (1, None)], [(1, "b"), (2, None)]))
+    digest = lambda df: queries.content_digest(df).first()["digest"]
+    assert digest(a) == digest(b) != digest(c)
